@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .fmindex import contamination, report
+from .langid import fit, held_out, predict
 from .minhash import near_duplicates
 
 
@@ -15,12 +16,19 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = predict(docs.select("doc_id", "text"), fit(docs))
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
 def op10_fmindex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_minhash": op7_minhash,
+    "op8_language_id": op8_language_id,
     "op10_fmindex": op10_fmindex,
 }
 
