@@ -273,7 +273,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, bands: i
     # every set of a document that is a candidate, whole texts: repeated rows and copies are left out by (rep, set)
     reps = signed.join(sets.select("set_hi", "set_lo", "rep"), ["set_hi", "set_lo"]).where("doc_id = rep").select("doc_id").distinct()
     wanted = tasks.join(reps, F.col("id") == F.col("doc_id"), "left_semi")
-    bodies = text.where("doc_id is not null").join(wanted, F.col("doc_id") == F.col("id")).select("doc_id", "text", "g1", "g2", "g3", "g4")
+    # always by shuffle: the ids grow with the input, so a broadcast of them would hold for small inputs only
+    bodies = text.where("doc_id is not null").join(wanted.hint("merge"), F.col("doc_id") == F.col("id")).select("doc_id", "text", "g1", "g2", "g3", "g4")
     keys = ["g1", "g2", "g3", "g4"]
     links = bodies.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(confirm(width, percent), LINKS)
     same = signed.where("doc_id is not null and n_shingles > 0").join(sets.where("rep <> last").select("set_hi", "set_lo", "rep"), ["set_hi", "set_lo"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
