@@ -6,12 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import cube, shards
 from .common import table
 from .fmindex import contamination, report
 from .langid import fit, held_out, predict
 from .minhash import near_duplicates
 
 
+def op4_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cube.report(cube.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")))
+
+
+def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.shard(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
@@ -27,6 +36,8 @@ def op10_fmindex(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_cube_mix": op4_cube_mix,
+    "op6_shards": op6_shards,
     "op7_minhash": op7_minhash,
     "op8_language_id": op8_language_id,
     "op10_fmindex": op10_fmindex,
@@ -38,6 +49,12 @@ PLAIN_WORDS = r"list_filter(regexp_split_to_array(translate({text}, 'ABCDEFGHIJK
 ALNUM_WORDS = r"list_filter(regexp_split_to_array(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 
 SQL: dict[str, str] = {
+    "op6_shards": f"""
+WITH d AS (SELECT doc_id, coalesce(strlen(text), 0) AS n_bytes, ('0x' || md5(coalesce(doc_id::VARCHAR, 't' || text, 't'))[1:15])::BIGINT AS bits FROM documents),
+l AS (SELECT n AS depth, bits >> (60 - n) AS prefix, sum(n_bytes)::BIGINT AS bytes, count(*) AS docs FROM d, range(0, 61) t(n) GROUP BY 1, 2),
+b AS (SELECT d.doc_id, d.n_bytes, d.bits, min(l.depth) AS depth FROM d JOIN l ON l.prefix = d.bits >> (60 - l.depth) WHERE l.bytes <= {shards.LIMIT} OR l.depth = 60 GROUP BY ALL)
+SELECT b.doc_id, b.n_bytes, right(lpad(bin(b.bits >> (60 - b.depth)), 60, '0'), b.depth::INT) AS shard, b.depth::INT AS shard_depth, l.bytes AS shard_bytes, l.docs AS shard_docs, l.bytes > {shards.LIMIT} AS oversize
+FROM b JOIN l ON l.depth = b.depth AND l.prefix = b.bits >> (60 - b.depth)""",
     "op7_minhash": f"""
 WITH RECURSIVE w AS (SELECT doc_id, {PLAIN_WORDS.format(text="coalesce(text, '')")} AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ') || ' .'] ELSE [] END) AS s FROM w),
