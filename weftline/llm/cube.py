@@ -111,14 +111,14 @@ COLUMNS = "key string, doc_id long, source_no int, size long, rows long, source_
 
 
 def flight(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One block of one source."""
-    pdf = pdf.assign(_draw=[uniform(SEED, k, s) for k, s in zip(pdf["key"], pdf["size"], strict=True)]).sort_values(["_draw", "key", "size"], kind="stable")
+    """One block of one source. The largest fly first, so that the last ones, which must be landed, are small."""
+    pdf = pdf.assign(_words=-pdf["size"] * pdf["rows"], _draw=[uniform(SEED, k, s) for k, s in zip(pdf["key"], pdf["size"], strict=True)]).sort_values(["_words", "_draw", "key", "size"], kind="stable")
     words, docs = (pdf["size"] * pdf["rows"]).to_numpy(dtype=float), pdf["rows"].to_numpy(dtype=float)
     draws = np.array([uniform(SEED + 1, k, s) for k, s in zip(pdf["key"], pdf["size"], strict=True)])
     p = fly(pdf["p"].to_numpy(), words, docs, draws)
     if int(pdf["blocks"].iloc[0]) == 1:
         p = land(p, words, docs)
-    return pdf.drop(columns="_draw").assign(p=p)
+    return pdf.drop(columns=["_draw", "_words"]).assign(p=p)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
