@@ -107,6 +107,31 @@ def land(p: np.ndarray, words: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return out
 
 
+def settle(p: np.ndarray, words: np.ndarray, docs: np.ndarray, draws: np.ndarray, rounds: int = 8) -> np.ndarray:
+    """Flight and landing of a source's last block. Where one of the landed documents is large, its rounding is paid for by the rest:
+
+    it is held as landed, the others' probabilities are scaled to the words that are left, and they fly again.
+    """
+    want = float(words @ p)
+    small = float(np.median(words[words > 0])) / 2 if (words > 0).any() else 0.0
+    held, start, best = np.zeros(len(p), dtype=bool), p, None
+    for _ in range(rounds):
+        flown = fly(start, words, docs, draws)
+        landed = land(flown, words, docs)
+        off = abs(float(words @ landed) - want)
+        if best is None or off < best[0]:
+            best = off, landed
+        open_ = (flown > 0) & (flown < 1)
+        held |= open_
+        free = ~held & (p > EPS) & (p < 1 - EPS)
+        mass = float((words * p)[free].sum())
+        if off <= small or not open_.any() or mass <= 0:
+            break
+        fixed = np.where(held, np.where(open_, landed, start), p)
+        start = np.where(free, np.clip(p * (want - float((words * fixed)[~free].sum())) / mass, 0, 1), fixed)
+    return best[1]
+
+
 COLUMNS = "key string, doc_id long, source_no int, size long, rows long, source_size long, target double, whole int, p double, blocks long"
 
 
@@ -115,9 +140,7 @@ def flight(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.assign(_words=-pdf["size"] * pdf["rows"], _draw=[uniform(SEED, k, s) for k, s in zip(pdf["key"], pdf["size"], strict=True)]).sort_values(["_words", "_draw", "key", "size"], kind="stable")
     words, docs = (pdf["size"] * pdf["rows"]).to_numpy(dtype=float), pdf["rows"].to_numpy(dtype=float)
     draws = np.array([uniform(SEED + 1, k, s) for k, s in zip(pdf["key"], pdf["size"], strict=True)])
-    p = fly(pdf["p"].to_numpy(), words, docs, draws)
-    if int(pdf["blocks"].iloc[0]) == 1:
-        p = land(p, words, docs)
+    p = (settle if int(pdf["blocks"].iloc[0]) == 1 else fly)(pdf["p"].to_numpy(), words, docs, draws)
     return pdf.drop(columns=["_draw", "_words"]).assign(p=p)
 
 
