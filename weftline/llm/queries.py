@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cube, shards
+from . import cube, quality, shards
 from .common import table
 from .fmindex import contamination, report
 from .langid import fit, held_out, predict
 from .minhash import near_duplicates
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.judge(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op4_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cube.report(cube.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")))
 
@@ -36,6 +41,7 @@ def op10_fmindex(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_quality_rules": op3_quality_rules,
     "op4_cube_mix": op4_cube_mix,
     "op6_shards": op6_shards,
     "op7_minhash": op7_minhash,
@@ -48,7 +54,20 @@ PLAIN_WORDS = r"list_filter(regexp_split_to_array(translate({text}, 'ABCDEFGHIJK
 
 ALNUM_WORDS = r"list_filter(regexp_split_to_array(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 
+STOP_LIST = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
+
 SQL: dict[str, str] = {
+    "op3_quality_rules": f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w,
+  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM documents),
+k AS (SELECT doc_id, k, array_to_string(w[k:k + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS k FROM d WHERE len(w) >= 5)),
+r AS (SELECT doc_id, k FROM (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, s) AS c FROM k) WHERE c > 1),
+c AS (SELECT doc_id, count(DISTINCT pos) AS n FROM (SELECT doc_id, unnest(range(k, k + 5)) AS pos FROM r) GROUP BY 1),
+m AS (SELECT d.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) AS n_lines,
+  len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, len(list_filter(w, lambda x: lower(x) IN ({STOP_LIST}))) AS n_stop FROM d LEFT JOIN c ON c.doc_id = d.doc_id),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND {" AND ".join(quality.sql(r) for r in quality.RULES)} AS kept FROM b""",
     "op6_shards": f"""
 WITH d AS (SELECT doc_id, coalesce(strlen(text), 0) AS n_bytes, ('0x' || md5(coalesce(doc_id::VARCHAR, 't' || text, 't'))[1:15])::BIGINT AS bits FROM documents),
 l AS (SELECT n AS depth, bits >> (60 - n) AS prefix, sum(n_bytes)::BIGINT AS bytes, count(*) AS docs FROM d, range(0, 61) t(n) GROUP BY 1, 2),
