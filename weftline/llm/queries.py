@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cube, quality, shards
+from . import cube, lines, quality, shards
 from .common import table
 from .fmindex import contamination, report
 from .langid import fit, held_out, predict
@@ -22,6 +22,10 @@ def op4_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cube.report(cube.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
@@ -43,6 +47,7 @@ def op10_fmindex(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_cube_mix": op4_cube_mix,
+    "op5_line_dedup": op5_line_dedup,
     "op6_shards": op6_shards,
     "op7_minhash": op7_minhash,
     "op8_language_id": op8_language_id,
@@ -68,6 +73,13 @@ m AS (SELECT d.doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, la
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND {" AND ".join(quality.sql(r) for r in quality.RULES)} AS kept FROM b""",
+    "op5_line_dedup": r"""
+WITH d AS (SELECT doc_id, text, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+w AS (SELECT doc_id, k, array_to_string(l[k:k + 2], chr(10)) AS s FROM (SELECT doc_id, l, unnest(range(1, len(l) - 1)) AS k FROM d WHERE len(l) >= 3 AND doc_id IS NOT NULL)),
+o AS (SELECT doc_id, k, rank() OVER (PARTITION BY s ORDER BY doc_id, k) AS n FROM w),
+g AS (SELECT doc_id, list_distinct(flatten(list(range(k, k + 3)))) AS gone FROM o WHERE n > 1 GROUP BY 1)
+SELECT d.doc_id, CASE WHEN g.gone IS NULL THEN d.text ELSE coalesce(array_to_string(list_filter(l, lambda x, i: NOT list_contains(g.gone, i)), chr(10)), '') END AS text, len(l) AS n_lines, coalesce(len(g.gone), 0) AS n_removed
+FROM d LEFT JOIN g ON g.doc_id = d.doc_id""",
     "op6_shards": f"""
 WITH d AS (SELECT doc_id, coalesce(strlen(text), 0) AS n_bytes, ('0x' || md5(coalesce(doc_id::VARCHAR, 't' || text, 't'))[1:15])::BIGINT AS bits FROM documents),
 l AS (SELECT n AS depth, bits >> (60 - n) AS prefix, sum(n_bytes)::BIGINT AS bytes, count(*) AS docs FROM d, range(0, 61) t(n) GROUP BY 1, 2),
