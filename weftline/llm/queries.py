@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cube, licenses, lines, quality, shards, toxicity
+from . import cube, licenses, lines, quality, shards, toxicity, wrapper
 from .common import table
 from .fmindex import contamination, report
 from .langid import fit, held_out, predict
 from .minhash import near_duplicates
 
 
+def op1_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.main_text(table(spark, sf_dir, "pages"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity.predict(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))).drop("text")
@@ -54,6 +58,7 @@ def op10_fmindex(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_wrapper_text": op1_wrapper_text,
     "op2_toxicity": op2_toxicity,
     "op3_quality_rules": op3_quality_rules,
     "op4_cube_mix": op4_cube_mix,
