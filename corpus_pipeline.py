@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import cube, fmindex, langid, minhash, shards
-from weftline.llm.common import n_words, shared_dir, table
+from weftline.llm.common import n_words, shared_dir, small_batches, table
 
 #: Bytes of text in a shard.
 SHARD_BYTES = 4 << 20
@@ -20,6 +20,7 @@ SHARD_BYTES = 4 << 20
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language was recognized. What was learned comes from the table's own rows that aren't held out."""
+    small_batches(spark)
     found = langid.predict(docs, langid.fit(docs))
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= langid.LEAST_SCORE)).select(*docs.columns)
 

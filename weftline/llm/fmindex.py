@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from .common import alnum_words, slices
 
 #: Words of the text that make a shard, before those outside the vocabulary go.
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 500_000
 #: Every so many places of the sequence the suffix array is kept.
 SAMPLE = 8
 #: Text of benchmark items searched in one pass.
