@@ -1,6 +1,6 @@
 """Language identification in two steps: first the family, then one linear support vector machine for each pair within it.
 
-A document is the mean over its words of hashed features: the word itself and its character bigrams and trigrams with its edges.
+A document is the mean over its words of hashed features: its character trigrams with its edges, and a short word itself.
 All machines are linear, so each distinct word has one score for each machine, kept in a table; a document's scores are means of
 those rows. Words are letter runs of the whole text in lower case, so digits, symbols and mark-up don't count.
 
@@ -18,6 +18,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import least_hashes, slices
 
 # Families of ISO 639-1 codes.
 FAMILIES = {
@@ -42,6 +43,8 @@ FAMILIES = {
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
 
 BITS = 18
+#: Letters up to which a word is a feature of its own.
+SHORT = 6
 LETTERS = re.compile(r"[^\W\d_]+")
 PER_LANG, SAMPLE = 300, 3000
 CACHE = 200_000
@@ -49,10 +52,23 @@ CACHE = 200_000
 LEAST_SCORE = 0.2
 
 
-def features(word: str) -> list[int]:
+class Grams(dict):
+    """gram -> its bucket. Few grams stand behind many words."""
+
+    def __missing__(self, gram: str) -> int:
+        if len(self) > CACHE:
+            self.clear()
+        value = self[gram] = xxhash.xxh3_64_intdigest(gram.encode("utf-8", "surrogatepass")) >> (64 - BITS)
+        return value
+
+
+def features(word: str, grams: Grams) -> list[int]:
+    """Buckets of the trigrams of a word with its edges, and of a short word itself."""
     edged = f"<{word}>"
-    parts = [edged, *(edged[i : i + 2] for i in range(len(edged) - 1)), *(edged[i : i + 3] for i in range(len(edged) - 2))]
-    return [xxhash.xxh3_64_intdigest(p.encode("utf-8", "surrogatepass")) >> (64 - BITS) for p in parts]
+    out = [grams[edged[i : i + 3]] for i in range(len(word))]
+    if len(word) <= SHORT:
+        out.append(grams[edged])
+    return out
 
 
 def words(text: str | None) -> list[str]:
@@ -123,13 +139,11 @@ def machine(rows: Rows, y: np.ndarray, rounds: int = 60, penalty: float = 1e-4)
     return w, b
 
 
-def vector(text: str | None, known: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray]:
+def vector(text: str | None, grams: Grams) -> tuple[np.ndarray, np.ndarray]:
     counts = Counter(words(text))
     total = Counter()
     for word, n in counts.items():
-        if word not in known:
-            known[word] = features(word)
-        for f in known[word]:
+        for f in features(word, grams):
             total[f] += n
     index = np.fromiter(total.keys(), dtype=np.int64, count=len(total))
     value = np.fromiter(total.values(), dtype=np.float64, count=len(total))
@@ -138,9 +152,9 @@ def vector(text: str | None, known: dict[str, list[int]]) -> tuple[np.ndarray, n
 
 def learn(sample: Iterator[tuple[str, str | None]]) -> Model | None:
     """sample: (lang, text)."""
-    docs, langs, known = [], [], {}
+    docs, langs, grams = [], [], Grams()
     for lang, text in sample:
-        x = vector(text, known)
+        x = vector(text, grams)
         if len(x[0]):
             docs.append(x)
             langs.append(lang)
@@ -166,13 +180,13 @@ class WordScores(dict):
     """word -> its row in a table of scores, one for each machine."""
 
     def __init__(self, weights: np.ndarray):
-        self.weights, self.table = weights, np.empty((1 << 12, weights.shape[1]), dtype=np.float32)
+        self.grams, self.weights, self.table = Grams(), weights, np.empty((1 << 12, weights.shape[1]), dtype=np.float32)
 
     def __missing__(self, word: str) -> int:
         k = len(self)
         if k == len(self.table):
             self.table = np.concatenate([self.table, np.empty_like(self.table)])
-        self.table[k] = self.weights[features(word)].sum(axis=0)
+        self.table[k] = self.weights[features(word, self.grams)].sum(axis=0)
         self[word] = k
         return k
 
@@ -191,7 +205,7 @@ def scorer(model: Model | None, text: str):
                 if model and n.sum():
                     if len(known) > CACHE:
                         known = WordScores(model.weights)
-                    index = np.fromiter((known[w] for d in docs for w in d), dtype=np.int64, count=int(n.sum()))
+                    index = np.fromiter(map(known.__getitem__, chain.from_iterable(docs)), dtype=np.int64, count=int(n.sum()))
                     full = np.flatnonzero(n)
                     starts = np.cumsum(n[full]) - n[full]
                     means = np.add.reduceat(known.table[index].astype(np.float64), starts, axis=0) / n[full][:, None] + model.bias
@@ -212,6 +226,7 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG, sample: int = SAMPLE) -> Mode
     """A model from docs (doc_id, text, lang) that aren't held out."""
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id"))
     keys = known.select(F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("h"), "doc_id")
+    keys = least_hashes(keys, "lang", "h", per_lang)
     first = keys.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("k") <= per_lang)
     chosen = [r.doc_id for r in first.orderBy("k", "lang").limit(sample).collect()]
     if not chosen:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import alnum_words, slices
+from .common import alnum_words, least_hashes, slices
 
 BITS = 18
 PER_CLASS = 2500
@@ -118,7 +118,8 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model | None:
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("_of")).agg(F.max("toxic").cast("int").alias("toxic"))
-    held = known.withColumn("k", F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("_of"), "_of"))).where(F.col("k") <= per_class)
+    known = known.withColumn("h", F.xxhash64("_of"))
+    held = least_hashes(known, "toxic", "h", per_class).withColumn("k", F.row_number().over(Window.partitionBy("toxic").orderBy("h", "_of"))).where(F.col("k") <= per_class)
     chosen = {r["_of"]: r["toxic"] for r in held.collect()}
     if not chosen:
         return None
