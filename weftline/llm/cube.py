@@ -29,7 +29,7 @@ from .common import materialize, n_words
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, CAP = 1.5, 2.0
 #: Units that fly in one task.
-BLOCK = 20_000
+BLOCK = 2_000
 #: Sources come to the driver as one row each; beyond so many this operator stops with an error.
 MAX_SOURCES = 200_000
 SEED = 11
