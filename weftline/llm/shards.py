@@ -33,12 +33,18 @@ def hash_bits() -> F.Column:
 
 
 def leaves(cells: DataFrame, depth: int, least: int, limit: int) -> DataFrame:
-    """For cells (cell, n_bytes, n_docs) of `depth` bits the shortest prefix that fits, of at least `least` bits, or all bits: cell, shard_depth, shard_bits, shard_bytes, shard_docs."""
+    """The directory over cells (cell, n_bytes, n_docs) of `depth` bits: cell, shard_depth, shard_bits, shard_bytes, shard_docs.
+
+    A prefix of `least` to `depth` bits is a shard if it fits, or has all bits, and what it was split from doesn't fit. Sums are made
+    with partial sums, a prefix meets only the one above it, and a shard lists its cells by itself, so no prefix gathers them.
+    """
     levels = cells.withColumn("shard_depth", F.explode(F.sequence(F.lit(least), F.lit(depth)))).withColumn("shard_bits", F.expr(f"shiftright(cell, {depth} - shard_depth)"))
-    sums = levels.groupBy("shard_depth", "shard_bits").agg(F.sum("n_bytes").alias("shard_bytes"), F.sum("n_docs").alias("shard_docs"))
-    fit = levels.select("cell", "shard_depth", "shard_bits").join(sums, ["shard_depth", "shard_bits"]).where(f"shard_bytes <= {limit} or shard_depth = {depth}")
-    best = fit.groupBy("cell").agg(F.min(F.struct("shard_depth", "shard_bits", "shard_bytes", "shard_docs")).alias("b"))
-    return best.select("cell", "b.*")
+    nodes = levels.groupBy("shard_depth", "shard_bits").agg(F.sum("n_bytes").alias("shard_bytes"), F.sum("n_docs").alias("shard_docs"))
+    above = nodes.where(f"shard_bytes > {limit}").select((F.col("shard_depth") + 1).alias("_d"), F.col("shard_bits").alias("_b"))
+    fit = nodes.where(f"shard_bytes <= {limit} or shard_depth = {depth}")
+    split = fit.join(above, (F.col("shard_depth") == F.col("_d")) & (F.shiftright("shard_bits", 1) == F.col("_b")), "left").where(f"shard_depth = {least} or _d is not null")
+    own = F.expr(f"sequence(shiftleft(shard_bits, {depth} - shard_depth), shiftleft(shard_bits + 1, {depth} - shard_depth) - 1)")
+    return split.select(F.explode(own).alias("cell"), "shard_depth", "shard_bits", "shard_bytes", "shard_docs")
 
 
 def shard(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
