@@ -11,8 +11,8 @@ forms, scripts, styles and reader comments are told by their elements, roles and
 element, only slots inside it are content.
 
 Wrappers are fitted on a bounded sample, the `sample` pages of each host with the least hash; every page is then aligned with its
-host's wrapper. Wrappers meet pages in a join on the host, which goes by the tables' sizes; a host that has a third of all pages is
-dealt to SALTS tasks, its wrapper being repeated for each.
+host's wrapper. Wrappers are written once and their bytes summed up: up to BROADCAST_BYTES they are broadcast, and no page is shuffled;
+beyond that they meet pages in a shuffled join on the host, a host that has a third of all pages being dealt to SALTS tasks.
 
 Defined results: null and empty html give an empty text; a null url is a host of its own, as is one without a host; text after a
 tag that was cut off at the end is kept, the cut tag is not; with fewer than `least` distinct sampled pages nothing counts as
@@ -32,12 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import lean, materialize, slices
 
 SAMPLE = 12
 #: Distinct pages that a wrapper needs before a text can be template, and the share of them that must have it.
 LEAST, CONSTANT = 4, 0.8
-SALTS = 8
+SALTS = 64
+#: Bytes of all wrappers that are sent to every executor rather than joined by shuffle.
+BROADCAST_BYTES = 16 << 20
 #: Distinct texts of a node that a wrapper remembers; all are counted while pages are aligned.
 TEXTS = 64
 
@@ -314,18 +316,26 @@ def host_of(url: str) -> F.Column:
 def wrappers(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """of (host) and wrapper, from each host's `sample` pages with the least hash. Only hosts, hashes and ids are ranked."""
     keyed = pages.select(host_of("url").alias("host"), F.xxhash64("html").alias("h"), "html").where(F.length("html") > 0)
-    ranked = keyed.select("host", "h").distinct().withColumn("k", F.row_number().over(Window.partitionBy("host").orderBy("h"))).where(F.col("k") <= sample)
+    salt = F.pmod(F.col("h"), F.lit(SALTS))
+    first = keyed.select("host", "h").distinct().withColumn("k", F.row_number().over(Window.partitionBy("host", salt).orderBy("h"))).where(F.col("k") <= sample)
+    ranked = first.withColumn("k", F.row_number().over(Window.partitionBy("host").orderBy("h"))).where(F.col("k") <= sample)
     chosen = ranked.select(F.col("host").alias("of_host"), F.col("h").alias("of_h"))
     # of pages with the same html one is enough; they agree, so any is the same
     bodies = keyed.join(chosen, (F.col("host") == F.col("of_host")) & (F.col("h") == F.col("of_h")), "left_semi").groupBy("host", "h").agg(F.min("html").alias("html"))
-    return bodies.select("host", "html").repartition("host").sortWithinPartitions("host", "html").mapInArrow(inducer, "of string, wrapper string")
+    return bodies.select("host", "html").repartition("host").sortWithinPartitions("host", "html").mapInArrow(lean(inducer), "of string, wrapper string")
 
 
-def main_text(pages: DataFrame, sample: int = SAMPLE, salts: int = SALTS) -> DataFrame:
+def main_text(pages: DataFrame, sample: int = SAMPLE, salts: int = SALTS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """page_id, url, text and n_chars of each row of pages (page_id, url, html)."""
     own = pages.select("page_id", "url", F.col("html").cast("string").alias("html"))
-    models = wrappers(own, sample).withColumn("of_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    keyed = own.withColumns({"host": host_of("url"), "salt": F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")})
-    both = keyed.join(models, (F.col("host") == F.col("of")) & (F.col("salt") == F.col("of_salt")), "left").select("page_id", "url", "html", "wrapper")
+    models = materialize(wrappers(own, sample), "wrappers")
+    size = models.agg(F.sum(F.octet_length("of") + F.octet_length("wrapper"))).first()[0] or 0
+    keyed = own.withColumn("host", host_of("url"))
+    if size <= broadcast_bytes:
+        both = keyed.join(F.broadcast(models), F.col("host") == F.col("of"), "left")
+    else:
+        models = models.withColumn("of_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        keyed = keyed.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int"))
+        both = keyed.join(models.hint("merge"), (F.col("host") == F.col("of")) & (F.col("salt") == F.col("of_salt")), "left")
     id_type = dict(own.dtypes)["page_id"]
-    return both.mapInArrow(extractor, f"page_id {id_type}, url string, text string, n_chars long")
+    return both.select("page_id", "url", "html", "wrapper").mapInArrow(lean(extractor), f"page_id {id_type}, url string, text string, n_chars long")
