@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,12 +19,12 @@ from pyspark.sql import functions as F
 #: White space that ends a plain word: space and \t \n \x0b \f \r.
 BLANKS = " \t\n\x0b\x0c\r"
 #: Bytes of text that a Python worker splits into words at a time; one longer text is a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
     """Keeps batches to Python workers small where the session has Spark's own bounds: long texts make 10,000 rows too many."""
-    for key, spark_own, ours in (("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000, 2_000),):
+    for key, spark_own, ours in (("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000, 500),):
         if int(spark.conf.get(key)) == spark_own:
             spark.conf.set(key, ours)
 
@@ -49,6 +53,22 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """run, and afterwards its worker's free memory back to the system: workers stay for later stages, idle ones too."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux":
+                with contextlib.suppress(OSError, AttributeError):  # not every C library can
+                    ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def least_hashes(rows: DataFrame, group: str, h: str, n: int) -> DataFrame:
     """Rows that may be among the n of their group with the least 64-bit hash h, a few n at most: so that ranking them is cheap at every size."""
     counts = {r[group]: r["count"] for r in rows.groupBy(group).count().collect()}

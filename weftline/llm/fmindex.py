@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import alnum_words, slices
+from .common import alnum_words, lean, slices
 
 #: Words of the text that make a shard, before those outside the vocabulary go.
 SHARD_WORDS = 500_000
@@ -239,7 +239,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, ch
     for k in range(chunks):  # each holds about chunk_bytes
         part = items if chunks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(chunks)) == k)
         windows = Windows([(r.item_id, r.text) for r in part.toLocalIterator()], width)
-        out = out.mapInArrow(search(windows, "text", k > 0), T.StructType([*own.schema.fields, *FOUND_SPARK]))
+        out = out.mapInArrow(lean(search(windows, "text", k > 0)), T.StructType([*own.schema.fields, *FOUND_SPARK]))
     return out
 
 
@@ -263,7 +263,7 @@ def clean(found: DataFrame, columns: list[str], least_items: int = 2) -> DataFra
             cols = [pa.array(texts, type=batch.schema.field("text").type) if c == "text" else batch.column(c) for c in columns]
             yield pa.RecordBatch.from_arrays(cols, names=columns)
 
-    return found.mapInArrow(run, schema)
+    return found.mapInArrow(lean(run), schema)
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:

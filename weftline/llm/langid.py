@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import least_hashes, slices
+from .common import lean, least_hashes, slices
 
 # Families of ISO 639-1 codes.
 FAMILIES = {
@@ -239,4 +239,4 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG, sample: int = SAMPLE) -> Mode
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs (any columns, with text), lang_pred and score."""
     own = docs.drop("lang_pred", "score")
-    return own.mapInArrow(scorer(model, "text"), T.StructType([*own.schema.fields, *PREDICTED]))
+    return own.mapInArrow(lean(scorer(model, "text")), T.StructType([*own.schema.fields, *PREDICTED]))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import alnum_words, slices
+from .common import alnum_words, lean, slices
 
 # The phrases whose places are counted, and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -188,4 +188,4 @@ def finder(text: str):
 def scan(docs: DataFrame) -> DataFrame:
     """docs (any columns, with text), n_words, n_base, first_word, last_word, base_labels, labels and score."""
     own = docs.drop(*FOUND)
-    return own.mapInArrow(finder("text"), T.StructType([*own.schema.fields, *FOUND_SPARK]))
+    return own.mapInArrow(lean(finder("text")), T.StructType([*own.schema.fields, *FOUND_SPARK]))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, plain_words, slices
+from .common import lean, materialize, plain_words, slices
 
 #: 36 bands of 5 rows: two documents that share 80 % of their shingles miss each other with a chance below 1e-6.
 BANDS, ROWS = 36, 5
@@ -174,12 +174,17 @@ def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
     """For each set the smallest position that it reaches by links of at least `percent` Jaccard similarity."""
     n = len(sets)
     size = np.array([len(s) for s in sets], dtype=np.int64)
-    shared = intersections(sets).astype(np.int64)
-    near = (shared > 0) & (100 * shared >= percent * (size[:, None] + size[None, :] - shared))
+    shared = intersections(sets)
+    near = np.zeros((n, n), dtype=bool)
+    blocks = [slice(a, min(a + 256, n)) for a in range(0, n, 256)]  # so that no scratch array has n x n wide numbers
+    for b in blocks:
+        k = shared[b].astype(np.int64)
+        near[b] = (k > 0) & (100 * k >= percent * (size[b, None] + size[None, :] - k))
+    del shared
     near |= near.T
     label = np.arange(n)
     while True:
-        found = np.minimum(label, np.where(near, label[None, :], n).min(axis=1))
+        found = np.concatenate([np.minimum(label[b], np.where(near[b], label[None, :], n).min(axis=1)) for b in blocks])
         found = found[found]
         if (found == label).all():
             return label
@@ -254,7 +259,7 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, bands: int = BANDS, rows: int = ROWS, group_docs: int = GROUP_DOCS, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text)."""
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = materialize(text.mapInArrow(sign(width, bands, rows), SIGNED), "signed")
+    signed = materialize(text.mapInArrow(lean(sign(width, bands, rows)), SIGNED), "signed")
     sets = signed.where("doc_id is not null and n_shingles > 0").groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.min("n_shingles").alias("size"), F.first("bands").alias("bands"))
     sets = materialize(sets, "sets")
     # a doc_id may stand in several rows with other texts: all its sets belong to the same document
@@ -276,7 +281,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, bands: i
     # always by shuffle: the ids grow with the input, so a broadcast of them would hold for small inputs only
     bodies = text.where("doc_id is not null").join(wanted.hint("merge"), F.col("doc_id") == F.col("id")).select("doc_id", "text", "g1", "g2", "g3", "g4")
     keys = ["g1", "g2", "g3", "g4"]
-    links = bodies.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(confirm(width, percent), LINKS)
+    links = bodies.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lean(confirm(width, percent)), LINKS)
     same = signed.where("doc_id is not null and n_shingles > 0").join(sets.where("rep <> last").select("set_hi", "set_lo", "rep"), ["set_hi", "set_lo"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     found = components(links.union(same))
     out = signed.select("doc_id", "n_shingles").join(found, F.col("doc_id") == F.col("id"), "left")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import alnum_words, least_hashes, slices
+from .common import alnum_words, lean, least_hashes, slices
 
 BITS = 18
 PER_CLASS = 2500
@@ -125,7 +125,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model
         return None
     count = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     texts = docs.where(F.col("doc_id").isin(list(chosen))).select(F.lit(0).alias("toxic"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.mapInArrow(counted, "toxic int, doc_id long, words array<int>").toArrow()
+    rows = texts.mapInArrow(lean(counted), "toxic int, doc_id long, words array<int>").toArrow()
     ids, words = rows.column("doc_id").to_pylist(), rows.column("words").combine_chunks()
     sample = [(chosen[i], np.asarray(words[k].values, dtype=np.int64), len(words[k])) for k, i in enumerate(ids)]
     order = sorted(range(len(ids)), key=lambda k: (ids[k], len(sample[k][1])))
@@ -157,4 +157,4 @@ def scorer(model: Model | None):
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs (any columns, with text), severity (0 to 2), p_toxic, grade and toxic."""
     own = docs.drop(*[f.name for f in FOUND])
-    return own.mapInArrow(scorer(model), T.StructType([*own.schema.fields, *FOUND]))
+    return own.mapInArrow(lean(scorer(model)), T.StructType([*own.schema.fields, *FOUND]))
