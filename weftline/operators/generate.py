@@ -281,7 +281,7 @@ class Generator:
         elif rule:
             out = rule(c)
         elif f.type in ("integer", "long"):
-            return D.integer(c.u(), int(low) if low is not None else 0, int(high) if high is not None else max(10_000, int(low or 0)))
+            out = D.integer(c.u(), int(low) if low is not None else 0, int(high) if high is not None else max(10_000, int(low or 0)))
         else:
             out = D.number(c.u(), low if low is not None else 0, high if high is not None else max(10_000, low or 0))
         out = out.cast("double")

@@ -261,7 +261,7 @@ def execute(statements: list[Statement], run: Callable[[str], object], allow_des
 CHECKS = [
     (re.compile(r"(?:char_)?length\(\(?\"?(\w+)\"?\)?(?:::\w+)?\)\s*(>=|<=|>|<)\s*(\d+)", re.I), "length"),
     (re.compile(r"\(?\"?(\w+)\"?\)?(?:::[\w ]+)?\s+between\s+\(?(-?[\d.]+)\)?\s+and\s+\(?(-?[\d.]+)", re.I), "between"),
-    (re.compile(r"\"?(\w+)\"?(?:::[\w ]+)?\)?\s*(?:=\s*ANY\s*\(+ARRAY\[|in\s*\()([^\])]*)[\])]", re.I), "in"),
+    (re.compile(r"\(?\"?(?<!:)\b(\w+)\"?\)?(?:::[\w ]+?)?\)?\s*(?:=\s*ANY\s*\(+ARRAY\[|in\s*\()([^\])]*)[\])]", re.I), "in"),
     (re.compile(r"\(?\"?(\w+)\"?\)?(?:::[\w ]+)?\s*(>=|<=|>|<)\s*\(?'?(-?\d[\d.]*)'?", re.I), "bound"),
     (re.compile(r"\"?([a-zA-Z_]\w*)\"?\s*(>=|<=|>|<)\s*\"?([a-zA-Z_]\w*)\"?", re.I), "columns"),
 ]

@@ -50,37 +50,49 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def reported(rules: list[C.Rule], table: str):
-    return lambda spark, sf_dir: C.report(t(spark, sf_dir, table), rules)
-
-
 def report_sql(table: str, rules: dict[str, str]) -> str:
     """The SQL twin of constraints.report(): conditions under which each rule is broken."""
     every = {**rules, "*": " OR ".join(f"coalesce({c}, false)" for c in rules.values())}
     return " UNION ALL ".join("SELECT '{}' AS rule, count(*) AS checked, coalesce(sum(CASE WHEN {} THEN 1 ELSE 0 END), 0)::BIGINT AS violations FROM {}".format(n.replace("'", "''"), c, table) for n, c in every.items())
 
 
-def rule_query(name: str, table: str, rules: list[C.Rule], sql: list[str]) -> None:
-    query(report_sql(table, {r.name: s for r, s in zip(rules, sql, strict=True)}), name)(reported(rules, table))
+def rule_query(name: str, table: str, rules: Callable[[], list[C.Rule]], sql: dict[str, str]) -> None:
+    """sql: for each rule's name, when it is broken. Rules are made on call, as columns need a session."""
+    query(report_sql(table, sql), name)(lambda spark, sf_dir: C.report(t(spark, sf_dir, table), rules()))
+
+
+def discount_ranges() -> list[C.Rule]:
+    closed, open_ = C.number_range("l_discount", 0.02, 0.08), C.number_range("l_discount", 0.02, 0.08, exclusive=True)
+    open_.name = "range:l_discount:exclusive"
+    return [closed, open_]
 
 
 # Validators: how many rows break each rule.
-low_high = C.number_range("l_discount", 0.02, 0.08)
-open_ends = C.number_range("l_discount", 0.02, 0.08, exclusive=True)
-open_ends.name = "range:l_discount:exclusive"
-rule_query("v_range", "lineitem", [low_high, open_ends], ["l_discount < 0.02 OR l_discount > 0.08", "l_discount <= 0.02 OR l_discount >= 0.08"])
-rule_query("v_length", "part", [C.length("p_name", 10, 20), C.length("p_type", None, 12)], ["length(p_name) < 10 OR length(p_name) > 20", "length(p_type) > 12"])
-rule_query("v_pattern", "customer", [C.pattern("c_name", "^Customer#[0-9]{9}$"), C.pattern("c_mktsegment", "^[A-M]")], ["NOT regexp_matches(c_name, '^Customer#[0-9]{9}$')", "NOT regexp_matches(c_mktsegment, '^[A-M]')"])
-rule_query("v_enum", "orders", [C.enum("o_orderstatus", ["F", "O"]), C.enum("o_orderpriority", ["1-URGENT", "2-HIGH"])], ["o_orderstatus NOT IN ('F', 'O')", "o_orderpriority NOT IN ('1-URGENT', '2-HIGH')"])
-rule_query("v_url", "pages", [C.url("url")], [r"NOT regexp_matches(url, '(?i)^https?://[^\s/$.?#].[^\s]*$')"])
-rule_query("v_required", "events", [C.required("value"), C.required("props"), C.required("user_id")], ["value IS NULL", "props IS NULL", "user_id IS NULL"])
-rule_query("v_multiple_of", "lineitem", [C.multiple_of("l_quantity", 5)], ["abs(l_quantity / 5.0 - round(l_quantity / 5.0)) > 1e-9"])
-rule_query("v_percentage_of", "lineitem", [C.percentage_of("l_discount", "l_tax", "l_quantity", 1.0)], ["l_discount IS NOT NULL AND coalesce(abs(l_discount - (CASE WHEN l_quantity <> 0 THEN l_tax / l_quantity END) * 100.0) > 1.0, true)"])
-rule_query("v_ratio_of", "lineitem", [C.ratio_of("l_extendedprice", "l_quantity", "l_tax", 5000.0)], ["l_extendedprice IS NOT NULL AND coalesce(abs(l_extendedprice - (CASE WHEN l_tax <> 0 THEN l_quantity / l_tax END) * 1.0) > 5000.0, true)"])
+rule_query("v_range", "lineitem", discount_ranges, {"range:l_discount": "l_discount < 0.02 OR l_discount > 0.08", "range:l_discount:exclusive": "l_discount <= 0.02 OR l_discount >= 0.08"})
+rule_query("v_length", "part", lambda: [C.length("p_name", 10, 20), C.length("p_type", None, 12)], {"length:p_name": "length(p_name) < 10 OR length(p_name) > 20", "length:p_type": "length(p_type) > 12"})
+rule_query(
+    "v_pattern", "customer", lambda: [C.pattern("c_name", "^Customer#[0-9]{9}$"), C.pattern("c_mktsegment", "^[A-M]")],
+    {"pattern:c_name": "NOT regexp_matches(c_name, '^Customer#[0-9]{9}$')", "pattern:c_mktsegment": "NOT regexp_matches(c_mktsegment, '^[A-M]')"},
+)
+rule_query(
+    "v_enum", "orders", lambda: [C.enum("o_orderstatus", ["F", "O"]), C.enum("o_orderpriority", ["1-URGENT", "2-HIGH"])],
+    {"enum:o_orderstatus": "o_orderstatus NOT IN ('F', 'O')", "enum:o_orderpriority": "o_orderpriority NOT IN ('1-URGENT', '2-HIGH')"},
+)
+rule_query("v_url", "pages", lambda: [C.url("url")], {"url:url": r"NOT regexp_matches(url, '(?i)^https?://[^\s/$.?#].[^\s]*$')"})
+rule_query("v_required", "events", lambda: [C.required(c) for c in ("value", "props", "user_id")], {f"required:{c}": f"{c} IS NULL" for c in ("value", "props", "user_id")})
+rule_query("v_multiple_of", "lineitem", lambda: [C.multiple_of("l_quantity", 5)], {"multipleOf:l_quantity": "abs(l_quantity / 5.0 - round(l_quantity / 5.0)) > 1e-9"})
+rule_query(
+    "v_percentage_of", "lineitem", lambda: [C.percentage_of("l_discount", "l_tax", "l_quantity", 1.0)],
+    {"percentage_of:l_discount": "l_discount IS NOT NULL AND coalesce(abs(l_discount - (CASE WHEN l_quantity <> 0 THEN l_tax / l_quantity END) * 100.0) > 1.0, true)"},
+)
+rule_query(
+    "v_ratio_of", "lineitem", lambda: [C.ratio_of("l_extendedprice", "l_quantity", "l_tax", 5000.0)],
+    {"ratio_of:l_extendedprice": "l_extendedprice IS NOT NULL AND coalesce(abs(l_extendedprice - (CASE WHEN l_tax <> 0 THEN l_quantity / l_tax END) * 1.0) > 5000.0, true)"},
+)
 rule_query(
     "v_conditional", "orders",
-    [C.conditional("o_totalprice", C.condition("o_orderstatus", "eq", "F"), F.col("o_totalprice") > 100000.0, F.col("o_totalprice") <= 400000.0)],
-    ["NOT coalesce(CASE WHEN coalesce(o_orderstatus = 'F', false) THEN o_totalprice > 100000 ELSE o_totalprice <= 400000 END, false)"],
+    lambda: [C.conditional("o_totalprice", C.condition("o_orderstatus", "eq", "F"), F.col("o_totalprice") > 100000.0, F.col("o_totalprice") <= 400000.0)],
+    {"conditional:o_totalprice": "NOT coalesce(CASE WHEN coalesce(o_orderstatus = 'F', false) THEN o_totalprice > 100000 ELSE o_totalprice <= 400000 END, false)"},
 )
 
 
@@ -163,18 +175,28 @@ def v_mutex(spark, sf_dir):
     return C.report(df, [C.mutually_exclusive("a", ["b", "c"]), C.mutually_exclusive("b", ["a"])])
 
 
-ORDER_RULES = {
-    "range:o_totalprice": (C.number_range("o_totalprice", 1000, 300000), "o_totalprice < 1000 OR o_totalprice > 300000"),
-    "enum:o_orderstatus": (C.enum("o_orderstatus", ["F", "O"]), "o_orderstatus NOT IN ('F', 'O')"),
-    "pattern:o_orderpriority": (C.pattern("o_orderpriority", "^[1-3]-"), "NOT regexp_matches(o_orderpriority, '^[1-3]-')"),
-    "after:o_orderdate": (C.temporal("o_orderdate", "after", "1993-01-01"), "o_orderdate IS NOT NULL AND NOT coalesce(o_orderdate > TIMESTAMP '1993-01-01', false)"),
-}
-rule_query("v_report", "orders", [r for r, _ in ORDER_RULES.values()], [s for _, s in ORDER_RULES.values()])
+def total_in_range() -> C.Rule:
+    return C.number_range("o_totalprice", 1000, 300000)
+
+
+def known_status() -> C.Rule:
+    return C.enum("o_orderstatus", ["F", "O"])
+
+
+rule_query(
+    "v_report", "orders", lambda: [total_in_range(), known_status(), C.pattern("o_orderpriority", "^[1-3]-"), C.temporal("o_orderdate", "after", "1993-01-01")],
+    {
+        "range:o_totalprice": "o_totalprice < 1000 OR o_totalprice > 300000",
+        "enum:o_orderstatus": "o_orderstatus NOT IN ('F', 'O')",
+        "pattern:o_orderpriority": "NOT regexp_matches(o_orderpriority, '^[1-3]-')",
+        "after:o_orderdate": "o_orderdate IS NOT NULL AND NOT coalesce(o_orderdate > TIMESTAMP '1993-01-01', false)",
+    },
+)
 
 
 @query("SELECT o_orderkey, CASE WHEN o_totalprice < 1000 THEN 1000.0 WHEN o_totalprice > 300000 THEN 300000.0 ELSE o_totalprice END AS o_totalprice, CASE WHEN o_orderstatus NOT IN ('F', 'O') THEN 'F' ELSE o_orderstatus END AS o_orderstatus FROM orders")
 def v_correct(spark, sf_dir):
-    return C.correct(t(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus"), [ORDER_RULES["range:o_totalprice"][0], ORDER_RULES["enum:o_orderstatus"][0]])
+    return C.correct(t(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus"), [total_in_range(), known_status()])
 
 
 @query("""
@@ -182,7 +204,7 @@ SELECT o_orderkey, concat_ws(',', CASE WHEN o_totalprice < 1000 OR o_totalprice
 WHERE o_totalprice < 1000 OR o_totalprice > 300000 OR o_orderstatus NOT IN ('F', 'O')
 """)
 def v_rows(spark, sf_dir):
-    found = C.validate(t(spark, sf_dir, "orders"), [ORDER_RULES["range:o_totalprice"][0], ORDER_RULES["enum:o_orderstatus"][0]])
+    found = C.validate(t(spark, sf_dir, "orders"), [total_in_range(), known_status()])
     return found.where(F.size("_violations") > 0).select("o_orderkey", F.array_join(F.transform("_violations", lambda v: v["rule"]), ",").alias("rules"))
 
 

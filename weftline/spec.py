@@ -158,7 +158,9 @@ class Schema:
     version: str = "1"
 
     def table(self, name: str | None) -> Table | None:
-        return next((t for t in self.tables if name in (t.name, t.id)), None) or next((t for t in self.tables if name and t.name.lower() == name.lower()), None)
+        if not name:
+            return None
+        return next((t for t in self.tables if name in (t.name, t.id)), None) or next((t for t in self.tables if t.name.lower() == name.lower()), None)
 
     def to_json(self) -> str:
         return json.dumps(asdict(self), default=str)
