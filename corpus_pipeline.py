@@ -18,26 +18,34 @@ from weftline.llm.common import n_words, shared_dir, small_batches, table
 SHARD_BYTES = 4 << 20
 
 
+def apart(docs: DataFrame, names: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns that are called like a result renamed, and how to rename them back."""
+    own = {c: f"__w_own_{c}" for c in docs.columns if c.lower() in names}
+    return docs.withColumnsRenamed(own), {v: k for k, v in own.items()}
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language was recognized. What was learned comes from the table's own rows that aren't held out."""
     small_batches(spark)
-    found = langid.predict(docs, langid.fit(docs))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= langid.LEAST_SCORE)).select(*docs.columns)
+    own, back = apart(docs, ["lang_pred", "score"])
+    found = langid.predict(own, langid.fit(docs))
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= langid.LEAST_SCORE)).select(*own.columns).withColumnsRenamed(back)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: the one with the smallest id. Documents without an id stay."""
-    gone = minhash.near_duplicates(docs.select("doc_id", "text"), percent=80).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone.hint("merge"), F.col("doc_id") == F.col("gone_id"), "left_anti")
+    gone = minhash.near_duplicates(docs.select("doc_id", "text"), percent=80).where("not kept").select(F.col("doc_id").alias("__w_gone")).distinct()
+    return docs.join(gone.hint("merge"), F.col("doc_id") == F.col("__w_gone"), "left_anti")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the benchmark's passages. A document of which no word is left goes; n_chars is counted anew where the text changed."""
-    found = fmindex.contamination(docs, table(spark, sf_dir, "benchmark"))
-    left = fmindex.clean(found, [*docs.columns, "spans"], least_items=1)
+    own, back = apart(docs, ["n_words", "spans", "items"])
+    found = fmindex.contamination(own, table(spark, sf_dir, "benchmark"))
+    left = fmindex.clean(found, [*own.columns, "spans"], least_items=1)
     cut = F.size("spans") > 0
     left = left.where(~cut | (n_words(F.col("text")) > 0))
-    return left.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
+    return left.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*own.columns).withColumnsRenamed(back)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1 +1,8 @@
 """Operators for training-data pipelines. Nothing else in the library imports this subpackage."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this subpackage travel to executors with their code, so that nothing has to be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

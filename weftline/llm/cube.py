@@ -145,16 +145,16 @@ def flight(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """docs with the columns that tell units apart: _key, _source and _size."""
+    """docs with the columns that tell units apart: __w_key, __w_source and __w_size."""
     text = F.col("text").cast("string")
     key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("h"), F.coalesce(F.hex(F.xxhash64(text)), F.lit(""))))
-    return docs.withColumns({"_key": key, "_source": F.col("source").cast("string"), "_size": n_words(text)})
+    return docs.withColumns({"__w_key": key, "__w_source": F.col("source").cast("string"), "__w_size": n_words(text)})
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, block: int = BLOCK) -> DataFrame:
     """A row for each unit: key, doc_id, source, size, rows (of docs), source_size, target, copies (0 to 2)."""
     spark = docs.sparkSession
-    units = keyed(docs).groupBy(F.col("_key").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("_source").alias("source"), F.col("_size").alias("size")).agg(F.count("*").alias("rows"))
+    units = keyed(docs).groupBy(F.col("__w_key").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("__w_source").alias("source"), F.col("__w_size").alias("size")).agg(F.count("*").alias("rows"))
     units = materialize(units, "units")
     sums = units.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("size"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(sums) > MAX_SOURCES:
@@ -188,9 +188,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """docs as the mix takes them: each row as often as its unit is taken, in its own columns."""
-    units = mix(docs.select("doc_id", "source", "text"), **options).where("copies > 0").select(F.col("key").alias("u_key"), F.col("source").alias("u_source"), F.col("size").alias("u_size"), F.col("copies").alias("u_copies"))
-    both = keyed(docs).join(units.hint("merge"), (F.col("_key") == F.col("u_key")) & F.col("_source").eqNullSafe(F.col("u_source")) & (F.col("_size") == F.col("u_size")))
-    return both.select(*[F.col(c) for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("u_copies"))).alias("u_copy")).drop("u_copy")
+    units = mix(docs.select("doc_id", "source", "text"), **options).where("copies > 0").select(F.col("key").alias("__w_u_key"), F.col("source").alias("__w_u_source"), F.col("size").alias("__w_u_size"), F.col("copies").alias("__w_u_copies"))
+    both = keyed(docs).join(units.hint("merge"), (F.col("__w_key") == F.col("__w_u_key")) & F.col("__w_source").eqNullSafe(F.col("__w_u_source")) & (F.col("__w_size") == F.col("__w_u_size")))
+    return both.select(*[F.col(c) for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__w_u_copies"))).alias("__w_u_copy")).drop("__w_u_copy")
 
 
 def report(units: DataFrame) -> DataFrame:

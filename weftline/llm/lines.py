@@ -52,12 +52,12 @@ def later_windows(docs: DataFrame, width: int = WINDOW, salts: int = SALTS) -> D
 
 def dedup_lines(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     """docs (doc_id, text, others), its text without the lines that later windows cover, with n_lines and n_removed."""
-    own = docs.drop("n_lines", "n_removed", "_of", "_places")
-    later = later_windows(own.select("doc_id", "text"), width).select(F.col("doc_id").alias("_of"), F.col("places").alias("_places"))
-    both = own.join(later.hint("merge"), F.col("doc_id") == F.col("_of"), "left")
-    covered = F.array_distinct(F.flatten(F.transform("_places", lambda p: F.sequence(p, p + width - 1))))
-    d = both.withColumns({"_lines": full_lines(F.col("text").cast("string")), "_gone": F.coalesce(covered, F.array().cast("array<int>"))})
-    kept = F.array_except(F.when(F.size("_lines") > 0, F.sequence(F.lit(0), F.size("_lines") - 1)).otherwise(F.array().cast("array<int>")), F.col("_gone"))
-    text = F.when(F.size("_gone") == 0, F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n"))
-    d = d.withColumn("_text", text)
-    return d.select(*[F.col("_text").alias("text") if c == "text" else F.col(c) for c in own.columns], F.size("_lines").cast("long").alias("n_lines"), F.size("_gone").cast("long").alias("n_removed"))
+    own = docs.drop("n_lines", "n_removed")
+    later = later_windows(own.select("doc_id", "text"), width).select(F.col("doc_id").alias("__w_of"), F.col("places").alias("__w_places"))
+    both = own.join(later.hint("merge"), F.col("doc_id") == F.col("__w_of"), "left")
+    covered = F.array_distinct(F.flatten(F.transform("__w_places", lambda p: F.sequence(p, p + width - 1))))
+    d = both.withColumns({"__w_lines": full_lines(F.col("text").cast("string")), "__w_gone": F.coalesce(covered, F.array().cast("array<int>"))})
+    kept = F.array_except(F.when(F.size("__w_lines") > 0, F.sequence(F.lit(0), F.size("__w_lines") - 1)).otherwise(F.array().cast("array<int>")), F.col("__w_gone"))
+    text = F.when(F.size("__w_gone") == 0, F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("__w_lines", i)), "\n"))
+    d = d.withColumn("__w_text", text)
+    return d.select(*[F.col("__w_text").alias("text") if c == "text" else F.col(c) for c in own.columns], F.size("__w_lines").cast("long").alias("n_lines"), F.size("__w_gone").cast("long").alias("n_removed"))

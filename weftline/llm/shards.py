@@ -50,14 +50,14 @@ def leaves(cells: DataFrame, depth: int, least: int, limit: int) -> DataFrame:
 def shard(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     """docs (doc_id, text, others) with n_bytes, shard (its bits as text), shard_depth, shard_bytes, shard_docs and oversize."""
     made = ["n_bytes", "shard", "shard_depth", "shard_bytes", "shard_docs", "oversize"]
-    own = docs.drop(*made).withColumns({"n_bytes": F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long"), "_bits": hash_bits()})
-    keys = own.select("_bits", "n_bytes")
+    own = docs.drop(*made).withColumns({"n_bytes": F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long"), "__w_bits": hash_bits()})
+    keys = own.select("__w_bits", "n_bytes")
     total = keys.agg(F.sum("n_bytes")).first()[0] or 0
     depth = min(BITS, max(1, math.ceil(math.log2(max(1, total) / limit))) + SPARE) if total > limit else 1
     least, parts, rest = 0, [], None
     while True:
-        cell = F.shiftright("_bits", BITS - depth)
-        source = keys if rest is None else keys.join(rest, F.shiftright("_bits", BITS - least + 1) == F.col("_over"), "left_semi")
+        cell = F.shiftright("__w_bits", BITS - depth)
+        source = keys if rest is None else keys.join(rest, F.shiftright("__w_bits", BITS - least + 1) == F.col("_over"), "left_semi")
         cells = source.groupBy(cell.alias("cell")).agg(F.sum("n_bytes").alias("n_bytes"), F.count("*").alias("n_docs"))
         found = materialize(leaves(cells, depth, least, limit), "directory")
         over = (F.col("shard_bytes") > limit) & (F.col("shard_depth") == depth) & F.lit(depth < BITS) & (F.col("shard_docs") > 1)
@@ -68,8 +68,8 @@ def shard(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
         least, depth = depth + 1, min(BITS, depth + STEP)
     out = None
     for depth, found in parts:
-        named = found.select("cell", F.expr(f"right(lpad(bin(shard_bits), {BITS}, '0'), shard_depth)").alias("shard"), F.col("shard_depth").cast("int").alias("shard_depth"), "shard_bytes", "shard_docs", (F.col("shard_bytes") > limit).alias("oversize"))
-        part = own.join(named, F.shiftright("_bits", BITS - depth) == F.col("cell"))
+        named = found.select(F.col("cell").alias("__w_cell"), F.expr(f"right(lpad(bin(shard_bits), {BITS}, '0'), shard_depth)").alias("shard"), F.col("shard_depth").cast("int").alias("shard_depth"), "shard_bytes", "shard_docs", (F.col("shard_bytes") > limit).alias("oversize"))
+        part = own.join(named, F.shiftright("__w_bits", BITS - depth) == F.col("__w_cell"))
         part = part.select(*[c for c in docs.columns if c not in made], *made)
         out = part if out is None else out.unionByName(part)
     return out

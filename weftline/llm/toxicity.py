@@ -2,8 +2,8 @@
 
 P(grade > k) = sigmoid(w x - cut_k): the weights w of the sparse features are shared by all thresholds, which are kept in order. The
 features are the distinct words of the whole text, hashed; expected severity is the sum of P(grade > k). Grades of the training rows:
-0 where toxic is 0; a toxic row has grade 1 or 2, as its share of marker words (words with a far larger share of the toxic
-training rows) is at most or above the toxic rows' median.
+0 where toxic is 0; a toxic row has grade 1 or 2, as it has at most or more distinct marker words (words that stand in a far larger
+share of the toxic training rows) than the median of the toxic rows that have any.
 
 Fitted on a bounded sample: of labelled rows of each class the `per_class` with the least hash of their id. Scoring keeps each
 distinct word's weight in a table.
@@ -30,8 +30,9 @@ from .common import alnum_words, lean, least_hashes, slices
 BITS = 18
 PER_CLASS = 2500
 GRADES = 3
-#: Training rows that must have a feature, as a share of the rarer class.
-SUPPORT = 0.02
+#: A word is a feature if its share of the toxic training rows is above its share of the others by so many standard errors, and it stands
+#: in such a share of the rarer class. Most words pass neither; and no number of harmless words makes a text less toxic.
+SCREEN, SUPPORT = 5.0, 0.02
 CACHE = 300_000
 #: P(grade > 0) from which on a text counts as toxic: a missed one costs more than a second look at a clean one.
 TOXIC_FROM = 0.3
@@ -62,10 +63,10 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit_ordinal(docs: list[np.ndarray], grades: np.ndarray, n_grades: int = GRADES, rounds: int = 300, penalty: float = 3e-4) -> Model:
+def fit_ordinal(docs: list[np.ndarray], grades: np.ndarray, n_grades: int = GRADES, rounds: int = 400, penalty: float = 3e-5) -> Model:
     """docs: the features of each. Gradient steps with momentum (Adam) on the cumulative logits."""
     doc = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-    names, col = np.unique(np.concatenate(docs), return_inverse=True)
+    names, col = np.unique(np.concatenate(docs).astype(np.int64), return_inverse=True)
     w = np.zeros(len(names))
     raw = np.r_[0.0, np.zeros(n_grades - 2)]  # the first cut, then logs of the steps up
     above = (grades[:, None] > np.arange(n_grades - 1)[None, :]).astype(float)
@@ -81,7 +82,7 @@ def fit_ordinal(docs: list[np.ndarray], grades: np.ndarray, n_grades: int = GRAD
         tail = np.cumsum(per_cut[::-1])[::-1]
         g = np.r_[gw, tail[0], tail[1:] * steps]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        move = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-4)
+        move = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         w, raw = w - move[: len(w)], raw - move[len(w) :]
     weights = np.zeros(1 << BITS, dtype=np.float32)
     weights[names] = w
@@ -96,14 +97,18 @@ def learn(sample: list[tuple[int, np.ndarray, int]], odds: float | None = None)
     sets = [np.unique(f) for _, f, _ in sample]
     seen = [np.bincount(np.concatenate([s for s, t in zip(sets, toxic, strict=True) if t == c]), minlength=1 << BITS) / max(1, (toxic == c).sum()) for c in (0, 1)]
     n = (toxic == 1).sum()
-    marker = seen[1] > 8 * seen[0] + 3 / n
-    density = np.array([marker[f].sum() / max(1, k) for _, f, k in sample])
-    middle = np.median(density[toxic == 1])
-    grades = np.where(toxic == 1, 1 + (density > middle), 0)
-    # a feature that few rows of the rarer class could support says nothing about other texts
-    least = max(3, SUPPORT * min(n, len(toxic) - n))
-    common = np.bincount(np.concatenate(sets), minlength=1 << BITS) >= least
-    model = fit_ordinal([s[common[s]] for s in sets], grades)
+    clean = len(toxic) - n
+    both = (seen[0] * clean + seen[1] * n) / len(toxic)
+    error = np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / n + 1 / clean))
+    common = seen[1] - seen[0] >= SCREEN * error
+    common &= both * len(toxic) >= max(3, SUPPORT * min(n, clean))
+    if not common.any():
+        return None
+    sets = [x[common[x]] for x in sets]
+    markers = np.array([len(x) for x in sets])
+    some = markers[(toxic == 1) & (markers > 0)]
+    grades = np.where(toxic == 1, 1 + (markers > np.median(some) if len(some) else 0), 0)
+    model = fit_ordinal(sets, grades)
     if odds:
         model.cuts += np.log(n / (len(toxic) - n) / odds)
     return model
