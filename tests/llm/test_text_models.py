@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.llm import langid, licenses, quality, queries, toxicity, wrapper
+from weftline.llm.common import materialize
 
 
 # Main text.
@@ -76,7 +77,7 @@ def test_quality_measures(documents, odd, make):
 
 def test_quality_agrees_with_labels(spark):
     sf = "/root/testdata/sf0.01"
-    found = quality.judge(spark.read.parquet(f"{sf}/documents.parquet")).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
+    found = materialize(quality.judge(spark.read.parquet(f"{sf}/documents.parquet")), "judged").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
     good = found.where("quality = 1 and not base_failed").agg(F.avg(F.col("kept").cast("int"))).first()[0]
     bad = found.where("quality = 0").agg(F.avg(F.col("kept").cast("int"))).first()[0]
     assert good > 0.98 and bad < 0.15
