@@ -51,6 +51,24 @@ def test_what_a_host_repeats_is_template(spark):
     assert wrapper.main_text(df.limit(0)).count() == 0
 
 
+def texts_of(spark, pages, **options):
+    df = spark.createDataFrame([(k, "https://host.example/", p) for k, p in enumerate(pages)], "page_id long, url string, html string")
+    return {r["page_id"]: r["text"].split("\n") for r in wrapper.main_text(df, **options).collect()}
+
+
+@pytest.mark.parametrize("limit", [16 << 20, 0])
+def test_template_is_counted_in_all_pages(spark, limit):
+    # 85 % is template and 60 % is not, whichever pages the tree starts from; every third row is a repeated page
+    pages = [f"<body><div><p>Story {k}</p></div><div class=x><h4>{'Always' if k % 20 < 17 else f'Now {k}'}</h4><h5>{'Often' if k % 5 < 3 else f'Else {k}'}</h5></div></body>" for k in range(200)]
+    got = texts_of(spark, pages + pages[:1] * 100, broadcast_bytes=limit)
+    assert len(got) == 300 and not any("Always" in x for x in got.values()) and sum("Often" in x for k, x in got.items() if k < 200) == 120
+    assert all(f"Story {k}" in got[k] for k in range(200))
+    # a layout that isn't among the pages of the tree
+    few = [f"<body><table class=t><tr><td><h3>Rare</h3><h6>Item {k}</h6></td></tr></table></body>" for k in range(8)]
+    got = texts_of(spark, pages + few, sample=2, broadcast_bytes=limit)
+    assert all(got[200 + k] == [f"Item {k}"] for k in range(8))
+
+
 # Quality rules.
 def brute_quality(text):
     w = [x for x in re.split(r"[\x20\x09-\x0D]+", text or "") if x]

@@ -6,16 +6,20 @@ children of their own are folded into one node that holds all their texts, so a
 ten. The wrapper is the tree of the host's pages with, at each node, how many pages had it and in how many each of its texts stood.
 A text that stands at its node in most pages is template; a node whose texts vary is a slot.
 
+The tree starts from a bounded sample, the `sample` pages of each host with the least hash; it says which nodes of two pages are the same
+and nothing else. Every page is aligned with it in the workers; nodes without a partner are told by their parent, label and turn among
+such siblings, so layouts that the sample lacks have nodes too. Counts are of all distinct pages: each worker adds up (node, text) before
+the shuffle, and template is decided from the whole sums. Of a page that stands in n rows each row counts 1/n.
+
 Varying slots are content unless their place says otherwise: menus, headers and footers of the page, sidebars, notices, adverts,
 forms, scripts, styles and reader comments are told by their elements, roles and class names. Where a page has an article or main
 element, only slots inside it are content.
 
-Wrappers are fitted on a bounded sample, the `sample` pages of each host with the least hash; every page is then aligned with its
-host's wrapper. Wrappers are written once and their bytes summed up: up to BROADCAST_BYTES they are broadcast, and no page is shuffled;
-beyond that they meet pages in a shuffled join on the host, a host that has a third of all pages being dealt to SALTS tasks.
+Trees, wrappers and repeated pages are written once and their bytes summed up: up to BROADCAST_BYTES they are broadcast, and no page is
+shuffled; beyond that they meet pages in a shuffled join, a host that has a third of all pages being dealt to SALTS tasks.
 
 Defined results: null and empty html give an empty text; a null url is a host of its own, as is one without a host; text after a
-tag that was cut off at the end is kept, the cut tag is not; with fewer than `least` distinct sampled pages nothing counts as
+tag that was cut off at the end is kept, the cut tag is not; with fewer than LEAST distinct pages of a host nothing counts as
 template. Pages are independent of each other but for the wrapper; repeated rows give equal rows; other columns are dropped.
 """
 
@@ -24,24 +28,25 @@ from __future__ import annotations
 import html
 import json
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import lean, materialize, slices
 
+#: Distinct pages of a host that its tree starts from.
 SAMPLE = 12
 #: Distinct pages that a wrapper needs before a text can be template, and the share of them that must have it.
 LEAST, CONSTANT = 4, 0.8
 SALTS = 64
 #: Bytes of all wrappers that are sent to every executor rather than joined by shuffle.
 BROADCAST_BYTES = 16 << 20
-#: Distinct texts of a node that a wrapper remembers; all are counted while pages are aligned.
-TEXTS = 64
+#: (node, text) sums that a worker holds before it passes them on.
+SUMS = 200_000
 
 # Elements by their part in a page.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -183,15 +188,22 @@ def holds_main(node: Node) -> bool:
 
 @dataclass
 class Slot:
-    """A node of a wrapper. seen: pages that have it; texts: in how many of them each text stands."""
+    """A node of a host's tree. key tells it from all nodes of all hosts."""
 
     label: str
-    seen: int = 0
-    texts: Counter = field(default_factory=Counter)
     children: list[Slot] = field(default_factory=list)
+    key: int = 0
+
+    def dump(self) -> list:
+        return [self.label, [c.dump() for c in self.children]]
+
+    @classmethod
+    def load(cls, x: list, key: int) -> Slot:
+        return cls(x[0], [cls.load(c, digest(key, i, c[0])) for i, c in enumerate(x[1])], key)
+
 
-    def dump(self, needed: float) -> list:
-        return [self.label, [t for t, n in self.texts.most_common(TEXTS) if n >= needed], [c.dump(needed) for c in self.children]]
+def digest(*parts) -> int:
+    return xxhash.xxh3_64_intdigest("\x1f".join(map(str, parts)).encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
 def match(a: list, b: list) -> list[tuple[int, int]]:
@@ -222,15 +234,13 @@ def weight(a, b) -> int:
 
 
 def learn_page(slot: Slot, node: Node) -> None:
-    """Aligns a page with the wrapper and adds what it has; nodes without a partner are new slots."""
-    slot.seen += 1
-    slot.texts.update(set(node.texts))
+    """Aligns a page with the tree; nodes without a partner are new slots."""
     pairs = {j: i for i, j in match(slot.children, node.children)}
     children, last = list(slot.children), -1
     for j, child in enumerate(node.children):
         if j in pairs:
             own = slot.children[pairs[j]]
-            last = children.index(own)
+            last = next(k for k, c in enumerate(children) if c is own)
         else:
             own = Slot(child.label)
             last += 1
@@ -239,24 +249,46 @@ def learn_page(slot: Slot, node: Node) -> None:
     slot.children = children
 
 
-def induce(pages: list[str], least: int = LEAST, constant: float = CONSTANT) -> str:
-    """The wrapper of a host's pages: [label, template texts, children] as JSON."""
-    pages = sorted(set(pages))
+def induce(pages: list[str]) -> str:
+    """The tree of some of a host's pages: [label, children] as JSON."""
     root = Slot("#root")
-    for p in pages:
+    for p in sorted(set(pages)):
         learn_page(root, fold(parse(p)))
-    return json.dumps(root.dump(constant * len(pages) if len(pages) >= least else float("inf")))
+    return json.dumps(root.dump())
+
+
+def aligned(root: Node, tree: Slot | None) -> Iterator[tuple[Node, int | None, bool]]:
+    """The nodes with texts that aren't outside: with their keys, and whether they stand inside an article or main element."""
+
+    def walk(node: Node, own: Slot | None, key: int | None, inside: bool) -> Iterator[tuple[Node, int | None, bool]]:
+        if node.outside:
+            return
+        inside = inside or node.label.split(".")[0] in ("article", "main")
+        if node.texts:
+            yield node, key, inside
+        partner = {j: own.children[i] for i, j in match(own.children, node.children)} if own else {}
+        turn: dict[str, int] = {}
+        for j, c in enumerate(node.children):
+            if j in partner:
+                yield from walk(c, partner[j], partner[j].key, inside)
+            else:
+                turn[c.label] = turn.get(c.label, 0) + 1
+                yield from walk(c, None, None if key is None else digest(key, "new", turn[c.label], c.label), inside)
+
+    return walk(root, tree, tree.key if tree else None, False)
 
 
 @dataclass
 class Wrapper:
-    label: str
-    template: frozenset[str]
-    children: list[Wrapper]
+    """A host's tree and the digests of (key, text) of its template texts."""
+
+    tree: Slot
+    template: frozenset[int]
 
     @classmethod
-    def load(cls, x: list) -> Wrapper:
-        return cls(x[0], frozenset(x[1]), [cls.load(c) for c in x[2]])
+    def load(cls, host: str, dumped: str) -> Wrapper:
+        x = json.loads(dumped)
+        return cls(Slot.load(json.loads(x["tree"]), digest("host", host)), frozenset(x.get("template") or ()))
 
 
 def extract(page: str | None, wrapper: Wrapper | None) -> str:
@@ -264,35 +296,57 @@ def extract(page: str | None, wrapper: Wrapper | None) -> str:
         return ""
     root = fold(parse(page))
     found: list[tuple[int, str, bool]] = []
-
-    def walk(node: Node, own: Wrapper | None, inside: bool) -> None:
-        if node.outside:
-            return
-        inside = inside or node.label.split(".")[0] in ("article", "main")
+    for node, key, inside in aligned(root, wrapper.tree if wrapper else None):
         for text, order in zip(node.texts, node.order, strict=True):
-            if not own or text not in own.template:
+            if not wrapper or digest(key, text) not in wrapper.template:
                 found.append((order, text, inside))
-        partner = {j: own.children[i] for i, j in match(own.children, node.children)} if own else {}
-        for j, c in enumerate(node.children):
-            walk(c, partner.get(j), inside)
-
     main = holds_main(root)
-    walk(root, wrapper, False)
     return "\n".join(t for _, t, inside in sorted(found) if inside or not main)
 
 
 def inducer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by host: a wrapper for each."""
+    """Rows sorted by host: a tree for each."""
     host, pages = None, []
     for batch in batches:
         for h, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
             if h != host:
                 if pages:
-                    yield pa.RecordBatch.from_pydict({"of": [host], "wrapper": [induce(pages)]})
+                    yield pa.RecordBatch.from_pydict({"of": [host], "tree": [induce(pages)]})
                 host, pages = h, []
             pages.append(page)
     if pages:
-        yield pa.RecordBatch.from_pydict({"of": [host], "wrapper": [induce(pages)]})
+        yield pa.RecordBatch.from_pydict({"of": [host], "tree": [induce(pages)]})
+
+
+SUMMED = pa.schema([("host", pa.string()), ("node", pa.int64()), ("text", pa.int64()), ("pages", pa.float64())])
+
+
+def counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial sums: in how many pages a node stands (text is null, host is given) and in how many each of its texts."""
+    trees: dict[str, Slot] = {}
+    sums: dict[tuple[str | None, int, int | None], float] = {}
+
+    def out() -> pa.RecordBatch:
+        keys = list(zip(*sums, strict=True))
+        got = pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip([*keys, list(sums.values())], SUMMED, strict=True)], schema=SUMMED)
+        sums.clear()
+        return got
+
+    for batch in batches:
+        for part in slices(batch, "html"):
+            for page, host, tree, n in zip(*(part.column(c).to_pylist() for c in ("html", "host", "tree", "n")), strict=True):
+                if host not in trees:
+                    if len(trees) > 500:
+                        trees.clear()
+                    trees[host] = Slot.load(json.loads(tree), digest("host", host))
+                share = 1.0 / n
+                for node, key, _ in aligned(fold(parse(page)), trees[host]):
+                    for at in ((host, key, None), *((None, key, digest(key, t)) for t in set(node.texts))):
+                        sums[at] = sums.get(at, 0.0) + share
+            if len(sums) > SUMS:
+                yield out()
+    if sums:
+        yield out()
 
 
 def extractor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,12 +354,12 @@ def extractor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "html"):
             texts = []
-            for page, dumped in zip(part.column("html").to_pylist(), part.column("wrapper").to_pylist(), strict=True):
-                if dumped and dumped not in loaded:
+            for page, host, dumped in zip(*(part.column(c).to_pylist() for c in ("html", "host", "wrapper")), strict=True):
+                if dumped and host not in loaded:
                     if len(loaded) > 500:
                         loaded.clear()
-                    loaded[dumped] = Wrapper.load(json.loads(dumped))
-                texts.append(extract(page, loaded.get(dumped)))
+                    loaded[host] = Wrapper.load(host, dumped)
+                texts.append(extract(page, loaded.get(host)))
             yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, type=pa.string()), pa.array([len(t) for t in texts], type=pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
@@ -313,29 +367,50 @@ def host_of(url: str) -> F.Column:
     return F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
 
 
-def wrappers(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """of (host) and wrapper, from each host's `sample` pages with the least hash. Only hosts, hashes and ids are ranked."""
-    keyed = pages.select(host_of("url").alias("host"), F.xxhash64("html").alias("h"), "html").where(F.length("html") > 0)
+def attach(rows: DataFrame, few: DataFrame, keys: dict[str, str], how: str, salt: F.Column, salts: int, broadcast_bytes: int) -> DataFrame:
+    """rows joined with few (a written table) on keys (row's to few's): broadcast up to broadcast_bytes, else shuffled, each of few dealt to all salts."""
+    size = few.agg(F.sum(sum((F.octet_length(c) if t == "string" else F.lit(8) for c, t in few.dtypes), F.lit(0)))).first()[0] or 0
+    same = [F.col(a) == F.col(b) for a, b in keys.items()]
+    if size <= broadcast_bytes:
+        return rows.join(F.broadcast(few), same, how).drop(*keys.values())
+    few = few.withColumn("__w_of_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    rows = rows.withColumn("__w_salt", F.pmod(salt, F.lit(salts)).cast("int"))
+    return rows.join(few.hint("merge"), [*same, F.col("__w_salt") == F.col("__w_of_salt")], how).drop(*keys.values(), "__w_salt", "__w_of_salt")
+
+
+def wrappers(keyed: DataFrame, sample: int = SAMPLE, salts: int = SALTS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """of (host) and wrapper of keyed (page_id, url, html, host): trees from each host's `sample` pages with the least hash, counts from all."""
+    keyed = keyed.where(F.length("html") > 0).withColumn("h", F.xxhash64("html"))
+    row_salt = F.xxhash64("page_id", "url")
+    hashes = materialize(keyed.groupBy("host", "h").agg(F.count("*").alias("n")), "hashes")
     salt = F.pmod(F.col("h"), F.lit(SALTS))
-    first = keyed.select("host", "h").distinct().withColumn("k", F.row_number().over(Window.partitionBy("host", salt).orderBy("h"))).where(F.col("k") <= sample)
+    first = hashes.withColumn("k", F.row_number().over(Window.partitionBy("host", salt).orderBy("h"))).where(F.col("k") <= sample)
     ranked = first.withColumn("k", F.row_number().over(Window.partitionBy("host").orderBy("h"))).where(F.col("k") <= sample)
-    chosen = ranked.select(F.col("host").alias("of_host"), F.col("h").alias("of_h"))
+    chosen = materialize(ranked.select(F.col("host").alias("of_host"), F.col("h").alias("of_h")), "chosen")
     # of pages with the same html one is enough; they agree, so any is the same
-    bodies = keyed.join(chosen, (F.col("host") == F.col("of_host")) & (F.col("h") == F.col("of_h")), "left_semi").groupBy("host", "h").agg(F.min("html").alias("html"))
-    return bodies.select("host", "html").repartition("host").sortWithinPartitions("host", "html").mapInArrow(lean(inducer), "of string, wrapper string")
+    bodies = attach(keyed, chosen, {"host": "of_host", "h": "of_h"}, "inner", row_salt, salts, broadcast_bytes).groupBy("host", "h").agg(F.min("html").alias("html"))
+    trees = materialize(bodies.select("host", "html").repartition("host").sortWithinPartitions("host", "html").mapInArrow(lean(inducer), "of string, tree string"), "trees")
+    repeats = materialize(hashes.where("n > 1").select(F.col("host").alias("of_host"), F.col("h").alias("of_h"), "n"), "repeats")
+    shares = attach(attach(keyed, trees, {"host": "of"}, "inner", row_salt, salts, broadcast_bytes), repeats, {"host": "of_host", "h": "of_h"}, "left", row_salt, salts, broadcast_bytes)
+    parts = shares.select("html", F.col("host"), "tree", F.coalesce("n", F.lit(1)).alias("n")).mapInArrow(lean(counter), "host string, node long, text long, pages double")
+    counts = materialize(parts.groupBy("node", "text").agg(F.max("host").alias("host"), F.round(F.sum("pages")).cast("long").alias("pages")), "counts")
+    return decide(counts, trees, salts, broadcast_bytes)
+
+
+def decide(counts: DataFrame, trees: DataFrame, salts: int, broadcast_bytes: int) -> DataFrame:
+    """of and wrapper: a text is template that stands in CONSTANT of the pages that have its node, if these are LEAST or more."""
+    nodes = materialize(counts.where(F.col("text").isNull() & (F.col("pages") >= LEAST)).select(F.col("node").alias("of_node"), F.col("host").alias("of"), F.col("pages").alias("seen")), "nodes")
+    often = counts.where(F.col("text").isNotNull() & (F.col("pages") >= CONSTANT * LEAST)).drop("host")
+    # a node has as many template texts at most as a page has texts there, by 1 / CONSTANT
+    template = attach(often, nodes, {"node": "of_node"}, "inner", F.col("text"), salts, broadcast_bytes).where(F.col("pages") >= CONSTANT * F.col("seen") - 1e-9)
+    found = template.groupBy("of").agg(F.sort_array(F.collect_list("text")).alias("template"))
+    return trees.join(found, "of", "left").select("of", F.to_json(F.struct("tree", "template")).alias("wrapper"))
 
 
 def main_text(pages: DataFrame, sample: int = SAMPLE, salts: int = SALTS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """page_id, url, text and n_chars of each row of pages (page_id, url, html)."""
-    own = pages.select("page_id", "url", F.col("html").cast("string").alias("html"))
-    models = materialize(wrappers(own, sample), "wrappers")
-    size = models.agg(F.sum(F.octet_length("of") + F.octet_length("wrapper"))).first()[0] or 0
-    keyed = own.withColumn("host", host_of("url"))
-    if size <= broadcast_bytes:
-        both = keyed.join(F.broadcast(models), F.col("host") == F.col("of"), "left")
-    else:
-        models = models.withColumn("of_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        keyed = keyed.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int"))
-        both = keyed.join(models.hint("merge"), (F.col("host") == F.col("of")) & (F.col("salt") == F.col("of_salt")), "left")
+    own = pages.select("page_id", "url", F.col("html").cast("string").alias("html")).withColumn("host", host_of("url"))
+    models = materialize(wrappers(own, sample, salts, broadcast_bytes), "wrappers")
+    both = attach(own, models, {"host": "of"}, "left", F.xxhash64("page_id", "url"), salts, broadcast_bytes)
     id_type = dict(own.dtypes)["page_id"]
-    return both.select("page_id", "url", "html", "wrapper").mapInArrow(lean(extractor), f"page_id {id_type}, url string, text string, n_chars long")
+    return both.select("page_id", "url", "html", "host", "wrapper").mapInArrow(lean(extractor), f"page_id {id_type}, url string, text string, n_chars long")
