@@ -69,6 +69,12 @@ def test_template_is_counted_in_all_pages(spark, limit):
     assert all(got[200 + k] == [f"Item {k}"] for k in range(8))
 
 
+def test_all_template_texts_of_a_node_are_told(spark):
+    links = "".join(f"<li>Category {k}</li>" for k in range(150))
+    got = texts_of(spark, [f"<body><ul>{links}<li>Story {k}</li></ul></body>" for k in range(10)])
+    assert got == {k: [f"Story {k}"] for k in range(10)}
+
+
 # Quality rules.
 def brute_quality(text):
     w = [x for x in re.split(r"[\x20\x09-\x0D]+", text or "") if x]
