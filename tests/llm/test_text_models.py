@@ -75,6 +75,13 @@ def test_all_template_texts_of_a_node_are_told(spark):
     assert got == {k: [f"Story {k}"] for k in range(10)}
 
 
+def test_template_of_a_layout_or_an_optional_block(spark):
+    story = [f"<body><section><h2>Story {k}</h2><h5>{'Printed in our paper' if k != 5 else 'Online'}</h5></section>{'<h6>Late edition</h6>' if k % 2 else ''}</body>" for k in range(12)]
+    product = [f"<body><table><tr><td><h3>Thing {k}</h3><h4>Add to basket</h4></td></tr></table></body>" for k in range(8)]
+    got = texts_of(spark, story + product)
+    assert got == {k: [f"Story {k}"] + ["Online"] * (k == 5) for k in range(12)} | {12 + k: [f"Thing {k}"] for k in range(8)}
+
+
 # Quality rules.
 def brute_quality(text):
     w = [x for x in re.split(r"[\x20\x09-\x0D]+", text or "") if x]
