@@ -82,6 +82,19 @@ def test_template_of_a_layout_or_an_optional_block(spark):
     assert got == {k: [f"Story {k}"] + ["Online"] * (k == 5) for k in range(12)} | {12 + k: [f"Thing {k}"] for k in range(8)}
 
 
+def test_shifted_siblings_are_matched():
+    tree = lambda x: wrapper.fold(wrapper.parse(x)).children
+    ad, story, promo = "<div><h3>Ad</h3><h4>x</h4></div>", "<div><p>Story</p><h5>By us</h5><ul><li>a</ul></div>", "<div><ul><li>Promo</ul><h6>y</h6></div>"
+    assert wrapper.match(tree(ad + story), tree(story + promo), {}) == [(1, 0)]
+    assert wrapper.match(tree(ad + story), tree(ad + story), {}) == [(0, 0), (1, 1)] == wrapper.match(tree("<div>a</div><h2>b</h2>"), tree("<div><p>a<hr>b</div><h2>b</h2>"), {})
+
+
+def test_shifted_siblings_are_counted_together(spark):
+    shifted = [f"<body><div><h3>Ad {k}</h3></div><div><p>Story {k}</p><h5>By us</h5></div></body>" if k % 2 else f"<body><div><p>Story {k}</p><h5>By us</h5></div><div><ul><li>Promo {k}</ul><h6>y</h6></div></body>" for k in range(12)]
+    got = texts_of(spark, shifted)
+    assert all(f"Story {k}" in got[k] and "By us" not in got[k] for k in range(12))
+
+
 # Quality rules.
 def brute_quality(text):
     w = [x for x in re.split(r"[\x20\x09-\x0D]+", text or "") if x]

@@ -71,6 +71,7 @@ class Node:
     order: list[int] = field(default_factory=list)
     #: Outside only by its class name, which says nothing if the article stands inside.
     by_name: bool = False
+    shape: tuple[int, int] | None = None
 
 
 def parse(page: str) -> Node:
@@ -193,6 +194,7 @@ class Slot:
     label: str
     children: list[Slot] = field(default_factory=list)
     key: int = 0
+    shape: tuple[int, int] | None = None
 
     def dump(self) -> list:
         return [self.label, [c.dump() for c in self.children]]
@@ -206,14 +208,24 @@ def digest(*parts) -> int:
     return xxhash.xxh3_64_intdigest("\x1f".join(map(str, parts)).encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def match(a: list, b: list) -> list[tuple[int, int]]:
-    """Pairs of equal-labelled children, in order, that match most nodes in all: simple tree matching."""
+def measure(x: Node | Slot) -> tuple[int, int]:
+    """A number that equal trees share, and how many nodes x has."""
+    if x.shape is None:
+        below = [measure(c) for c in x.children]
+        x.shape = hash((x.label, *(h for h, _ in below))), 1 + sum(n for _, n in below)
+    return x.shape
+
+
+def match(a: list, b: list, known: dict[tuple[int, int], int]) -> list[tuple[int, int]]:
+    """Pairs of equal-labelled children, in order, that match most nodes in all: simple tree matching. known: weights of this page's pairs."""
     if len(a) == len(b) and all(x.label == y.label for x, y in zip(a, b, strict=True)):
-        return [(i, i) for i in range(len(a))]
+        # no other pairs match more if each has one partner at most or all match in full
+        if len({x.label for x in a}) == len(a) or all(measure(x) == measure(y) for x, y in zip(a, b, strict=True)):
+            return [(i, i) for i in range(len(a))]
     score = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(1, len(a) + 1):
         for j in range(1, len(b) + 1):
-            both = score[i - 1][j - 1] + weight(a[i - 1], b[j - 1])
+            both = score[i - 1][j - 1] + weight(a[i - 1], b[j - 1], known)
             score[i][j] = max(score[i - 1][j], score[i][j - 1], both)
     out, i, j = [], len(a), len(b)
     while i and j:
@@ -227,15 +239,20 @@ def match(a: list, b: list) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def weight(a, b) -> int:
+def weight(a, b, known: dict[tuple[int, int], int]) -> int:
     if a.label != b.label:
         return 0
-    return 1 + sum(weight(a.children[i], b.children[j]) for i, j in match(a.children, b.children))
+    if measure(a) == measure(b):
+        return measure(a)[1]
+    at = id(a), id(b)
+    if at not in known:
+        known[at] = 1 + sum(weight(a.children[i], b.children[j], known) for i, j in match(a.children, b.children, known))
+    return known[at]
 
 
-def learn_page(slot: Slot, node: Node) -> None:
+def learn_page(slot: Slot, node: Node, known: dict[tuple[int, int], int]) -> None:
     """Aligns a page with the tree; nodes without a partner are new slots."""
-    pairs = {j: i for i, j in match(slot.children, node.children)}
+    pairs = {j: i for i, j in match(slot.children, node.children, known)}
     children, last = list(slot.children), -1
     for j, child in enumerate(node.children):
         if j in pairs:
@@ -245,7 +262,7 @@ def learn_page(slot: Slot, node: Node) -> None:
             own = Slot(child.label)
             last += 1
             children.insert(last, own)
-        learn_page(own, child)
+        learn_page(own, child, known)
     slot.children = children
 
 
@@ -253,12 +270,14 @@ def induce(pages: list[str]) -> str:
     """The tree of some of a host's pages: [label, children] as JSON."""
     root = Slot("#root")
     for p in sorted(set(pages)):
-        learn_page(root, fold(parse(p)))
+        learn_page(root, fold(parse(p)), {})
+        root = Slot.load(root.dump(), 0)  # without the measures of what it was
     return json.dumps(root.dump())
 
 
 def aligned(root: Node, tree: Slot | None) -> Iterator[tuple[Node, int | None, bool]]:
     """The nodes with texts that aren't outside: with their keys, and whether they stand inside an article or main element."""
+    known: dict[tuple[int, int], int] = {}
 
     def walk(node: Node, own: Slot | None, key: int | None, inside: bool) -> Iterator[tuple[Node, int | None, bool]]:
         if node.outside:
@@ -266,7 +285,7 @@ def aligned(root: Node, tree: Slot | None) -> Iterator[tuple[Node, int | None, b
         inside = inside or node.label.split(".")[0] in ("article", "main")
         if node.texts:
             yield node, key, inside
-        partner = {j: own.children[i] for i, j in match(own.children, node.children)} if own else {}
+        partner = {j: own.children[i] for i, j in match(own.children, node.children, known)} if own else {}
         turn: dict[str, int] = {}
         for j, c in enumerate(node.children):
             if j in partner:
