@@ -95,6 +95,19 @@ def test_shifted_siblings_are_counted_together(spark):
     assert all(f"Story {k}" in got[k] and "By us" not in got[k] for k in range(12))
 
 
+def test_wrapper_chooses_the_region(spark):
+    # stories in a plain div beside a teaser card; a section of the story called like a notice; links to other stories
+    plain = [f'<body><div class="body"><p>Story {k} tells {"much " * 20}{k}</p><section id="discussion"><h4>Discussion</h4><p>What {k} means to us</p></section></div><div class="related"><h5>Story {k % 3}</h5></div><article class="card"><h6>Also {k % 3}</h6></article></body>' for k in range(12)]
+    got = texts_of(spark, plain)
+    assert all(f"Story {k} tells {'much ' * 20}{k}" in x and f"What {k} means to us" in x and "Discussion" not in x and f"Story {k % 3}" not in x for k, x in got.items())
+    # an article that holds most, with a short varying text beside it
+    marked = [f'<body><div class="x"><p>Seen {k} times</p></div><article><p>Story {k} {"long " * 20}</p><section class="related-work"><p>Others {k} did</p></section><section class="comments"><p>Nice {k}!</p></section></article></body>' for k in range(12)]
+    got = texts_of(spark, marked)
+    assert got == {k: [f"Story {k} {'long ' * 20}".strip(), f"Others {k} did"] for k in range(12)}
+    # one page alone leaves all open, and names decide
+    assert wrapper.extract(marked[0], None) == f"Story 0 {'long ' * 20}".strip()
+
+
 # Quality rules.
 def brute_quality(text):
     w = [x for x in re.split(r"[\x20\x09-\x0D]+", text or "") if x]

@@ -11,9 +11,11 @@ and nothing else. Every page is aligned with it in the workers; nodes without a
 such siblings, so layouts that the sample lacks have nodes too. Counts are of all distinct pages: each worker adds up (node, text) before
 the shuffle, and template is decided from the whole sums. Of a page that stands in n rows each row counts 1/n.
 
-Varying slots are content unless their place says otherwise: menus, headers and footers of the page, sidebars, notices, adverts,
-forms, scripts, styles and reader comments are told by their elements, roles and class names. Where a page has an article or main
-element, only slots inside it are content.
+Varying slots are content unless their place says otherwise: menus, headers and footers of the page, sidebars, adverts, forms, scripts,
+styles and reader comments are told by their elements, roles and class names, as they vary like content does. Names that sections of
+the text have too (MAYBE) decide only where the wrapper leaves a section open, having none of its nodes in LEAST pages; elsewhere the
+section is content if its texts, by length, are mostly ones that stand in a single page of the host. Where a page has an article or main
+element, only slots inside it are content, unless its nodes outside hold more varying text in the host's pages than those inside.
 
 Trees, wrappers and repeated pages are written once and their bytes summed up: up to BROADCAST_BYTES they are broadcast, and no page is
 shuffled; beyond that they meet pages in a shuffled join, a host that has a third of all pages being dealt to SALTS tasks.
@@ -56,7 +58,9 @@ INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i i
 CLOSES_P = set("address article aside blockquote center details dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "p": {"p"}}
 # Words in class names, ids and roles of what isn't main text.
-OUTSIDE = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice|notification|alert|popup|modal|newsletter|subscribe|signup|share|sharing|social|nav|navbar|navigation|menu|breadcrumb\w*|sidebar|side|aside|widget|related|recommend\w*|footer|foot|masthead|topbar|comment|comments|commentlist|respond|reply|replies|disqus|discussion|search|login|skip|pagination|pager|complementary|contentinfo|legal|disclaimer)(?:$|[\s_-])", re.I)
+OUTSIDE = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookie\w*|popup|modal|newsletter|nav|navbar|navigation|menu|breadcrumb\w*|sidebar|aside|widget|footer|masthead|topbar|comment|comments|commentlist|respond|reply|replies|disqus|pagination|pager|complementary|contentinfo)(?:$|[\s_-])", re.I)
+# Such words that sections of the text have too.
+MAYBE = re.compile(r"(?:^|[\s_-])(?:notice|notification|alert|consent|gdpr|subscribe|signup|share|sharing|social|side|related|recommend\w*|foot|discussion|search|login|skip|legal|disclaimer)(?:$|[\s_-])", re.I)
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
@@ -71,6 +75,8 @@ class Node:
     order: list[int] = field(default_factory=list)
     #: Outside only by its class name, which says nothing if the article stands inside.
     by_name: bool = False
+    #: Has one of the names that are left to the wrapper.
+    maybe: bool = False
     shape: tuple[int, int] | None = None
 
 
@@ -146,7 +152,7 @@ def parse(page: str) -> Node:
         inside_article = any(n in ("article", "main") for n, _ in stack)
         outside = name in SKIP or (name == "header" and not inside_article) or hidden(attributes)
         by_name = not outside and bool(OUTSIDE.search(kind)) and name not in ("article", "main", "body", "html")
-        node = Node(f"{name}.{found.get('class') or ''}".rstrip("."), outside or by_name, by_name=by_name)
+        node = Node(f"{name}.{found.get('class') or ''}".rstrip("."), outside or by_name, by_name=by_name, maybe=not outside and not by_name and bool(MAYBE.search(kind)) and name not in ("article", "main", "body", "html"))
         stack[-1][1].children.append(node)
         if name not in VOID and not attributes.rstrip().endswith("/"):
             stack.append((name, node))
@@ -166,25 +172,25 @@ def hidden(attributes: str) -> bool:
 def fold(node: Node) -> Node:
     """Blocks with one text become leaves; runs of leaves with equal labels become one node."""
     if node.texts:
-        return Node(node.label, node.outside, texts=list(node.texts), order=list(node.order))
+        return Node(node.label, node.outside, texts=list(node.texts), order=list(node.order), maybe=node.maybe)
     children = [fold(c) for c in node.children]
     if len(children) == 1 and children[0].label == "#text" and node.label != "#root":
-        return Node(node.label, node.outside, texts=children[0].texts, order=children[0].order)
+        return Node(node.label, node.outside, texts=children[0].texts, order=children[0].order, maybe=node.maybe)
     out: list[Node] = []
     for c in children:
         if not c.children and not c.texts:
             continue
-        if out and not c.children and not out[-1].children and out[-1].label == c.label and out[-1].outside == c.outside:
+        if out and not c.children and not out[-1].children and out[-1].label == c.label and (out[-1].outside, out[-1].maybe) == (c.outside, c.maybe):
             out[-1].texts += c.texts
             out[-1].order += c.order
         else:
             out.append(c)
     outside = node.outside and not (node.by_name and any(map(holds_main, out)))
-    return Node(node.label, outside, out)
+    return Node(node.label, outside, out, maybe=node.maybe and not any(map(holds_main, out)))
 
 
 def holds_main(node: Node) -> bool:
-    return not node.outside and (node.label.split(".")[0] in ("article", "main") or any(map(holds_main, node.children)))
+    return not node.outside and not node.maybe and (node.label.split(".")[0] in ("article", "main") or any(map(holds_main, node.children)))
 
 
 @dataclass
@@ -275,51 +281,66 @@ def induce(pages: list[str]) -> str:
     return json.dumps(root.dump())
 
 
-def aligned(root: Node, tree: Slot | None) -> Iterator[tuple[Node, int | None, bool]]:
-    """The nodes with texts that aren't outside: with their keys, and whether they stand inside an article or main element."""
+def aligned(root: Node, tree: Slot | None) -> Iterator[tuple[Node, int | None, bool, Node | None]]:
+    """The nodes with texts that aren't outside: with their keys, whether they stand in an article or main element, and in which MAYBE section."""
     known: dict[tuple[int, int], int] = {}
 
-    def walk(node: Node, own: Slot | None, key: int | None, inside: bool) -> Iterator[tuple[Node, int | None, bool]]:
+    def walk(node: Node, own: Slot | None, key: int | None, inside: bool, section: Node | None) -> Iterator[tuple[Node, int | None, bool, Node | None]]:
         if node.outside:
             return
         inside = inside or node.label.split(".")[0] in ("article", "main")
+        section = section or (node if node.maybe else None)
         if node.texts:
-            yield node, key, inside
+            yield node, key, inside, section
         partner = {j: own.children[i] for i, j in match(own.children, node.children, known)} if own else {}
         turn: dict[str, int] = {}
         for j, c in enumerate(node.children):
             if j in partner:
-                yield from walk(c, partner[j], partner[j].key, inside)
+                yield from walk(c, partner[j], partner[j].key, inside, section)
             else:
                 turn[c.label] = turn.get(c.label, 0) + 1
-                yield from walk(c, None, None if key is None else digest(key, "new", turn[c.label], c.label), inside)
+                yield from walk(c, None, None if key is None else digest(key, "new", turn[c.label], c.label), inside, section)
 
-    return walk(root, tree, tree.key if tree else None, False)
+    return walk(root, tree, tree.key if tree else None, False, None)
 
 
 @dataclass
 class Wrapper:
-    """A host's tree and the digests of (key, text) of its template texts."""
+    """A host's tree, the digests of (key, text) of its template texts, and of its slots that LEAST pages have: characters a page of texts
+    that aren't template, and whether most of these texts stand in a single page."""
 
     tree: Slot
     template: frozenset[int]
+    slots: dict[int, tuple[float, bool]]
 
     @classmethod
     def load(cls, host: str, dumped: str) -> Wrapper:
         x = json.loads(dumped)
-        return cls(Slot.load(json.loads(x["tree"]), digest("host", host)), frozenset(x.get("template") or ()))
+        return cls(Slot.load(json.loads(x["tree"]), digest("host", host)), frozenset(x.get("template") or ()), {n["node"]: (n["varying"], n["single"]) for n in x.get("slots") or ()})
 
 
 def extract(page: str | None, wrapper: Wrapper | None) -> str:
     if not page:
         return ""
     root = fold(parse(page))
+    nodes = list(aligned(root, wrapper.tree if wrapper else None))
+    slots = wrapper.slots if wrapper else {}
+    sections: dict[int, float] = {}  # varying characters of texts of a single page, less those of others
+    for _, key, _, section in nodes:
+        if section and key in slots:
+            varying, single = slots[key]
+            sections[id(section)] = sections.get(id(section), 0.0) + (varying if single else -varying)
+    nodes = [x for x in nodes if not x[3] or sections.get(id(x[3]), 0.0) > 0]
     found: list[tuple[int, str, bool]] = []
-    for node, key, inside in aligned(root, wrapper.tree if wrapper else None):
-        for text, order in zip(node.texts, node.order, strict=True):
-            if not wrapper or digest(key, text) not in wrapper.template:
-                found.append((order, text, inside))
-    main = holds_main(root)
+    held = {True: 0.0, False: 0.0}  # varying characters inside and outside article and main
+    for node, key, inside, _ in nodes:
+        own = [(order, text, inside) for text, order in zip(node.texts, node.order, strict=True) if not wrapper or digest(key, text) not in wrapper.template]
+        found += own
+        if key in slots:
+            held[inside] += slots[key][0]
+        elif inside:
+            held[inside] += sum(len(t) for _, t, _ in own)
+    main = holds_main(root) and held[True] >= held[False]
     return "\n".join(t for _, t, inside in sorted(found) if inside or not main)
 
 
@@ -337,13 +358,13 @@ def inducer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"of": [host], "tree": [induce(pages)]})
 
 
-SUMMED = pa.schema([("host", pa.string()), ("node", pa.int64()), ("text", pa.int64()), ("pages", pa.float64())])
+SUMMED = pa.schema([("host", pa.string()), ("node", pa.int64()), ("text", pa.int64()), ("length", pa.int64()), ("pages", pa.float64())])
 
 
 def counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial sums: in how many pages a node stands (text is null, host is given) and in how many each of its texts."""
     trees: dict[str, Slot] = {}
-    sums: dict[tuple[str | None, int, int | None], float] = {}
+    sums: dict[tuple[str | None, int, int | None, int], float] = {}
 
     def out() -> pa.RecordBatch:
         keys = list(zip(*sums, strict=True))
@@ -359,8 +380,8 @@ def counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         trees.clear()
                     trees[host] = Slot.load(json.loads(tree), digest("host", host))
                 share = 1.0 / n
-                for node, key, _ in aligned(fold(parse(page)), trees[host]):
-                    for at in ((host, key, None), *((None, key, digest(key, t)) for t in set(node.texts))):
+                for node, key, _, _ in aligned(fold(parse(page)), trees[host]):
+                    for at in ((host, key, None, 0), *((None, key, digest(key, t), len(t)) for t in set(node.texts))):
                         sums[at] = sums.get(at, 0.0) + share
             if len(sums) > SUMS:
                 yield out()
@@ -386,15 +407,16 @@ def host_of(url: str) -> F.Column:
     return F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
 
 
-def attach(rows: DataFrame, few: DataFrame, keys: dict[str, str], how: str, salt: F.Column, salts: int, broadcast_bytes: int) -> DataFrame:
+def attach(rows: DataFrame, few: DataFrame, keys: dict[str, str], how: str, salt: F.Column, salts: int, broadcast_bytes: int, keep: bool = False) -> DataFrame:
     """rows joined with few (a written table) on keys (row's to few's): broadcast up to broadcast_bytes, else shuffled, each of few dealt to all salts."""
     size = few.agg(F.sum(sum((F.octet_length(c) if t == "string" else F.lit(8) for c, t in few.dtypes), F.lit(0)))).first()[0] or 0
     same = [F.col(a) == F.col(b) for a, b in keys.items()]
+    gone = [] if keep else list(keys.values())
     if size <= broadcast_bytes:
-        return rows.join(F.broadcast(few), same, how).drop(*keys.values())
+        return rows.join(F.broadcast(few), same, how).drop(*gone)
     few = few.withColumn("__w_of_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     rows = rows.withColumn("__w_salt", F.pmod(salt, F.lit(salts)).cast("int"))
-    return rows.join(few.hint("merge"), [*same, F.col("__w_salt") == F.col("__w_of_salt")], how).drop(*keys.values(), "__w_salt", "__w_of_salt")
+    return rows.join(few.hint("merge"), [*same, F.col("__w_salt") == F.col("__w_of_salt")], how).drop(*gone, "__w_salt", "__w_of_salt")
 
 
 def wrappers(keyed: DataFrame, sample: int = SAMPLE, salts: int = SALTS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -411,19 +433,30 @@ def wrappers(keyed: DataFrame, sample: int = SAMPLE, salts: int = SALTS, broadca
     trees = materialize(bodies.select("host", "html").repartition("host").sortWithinPartitions("host", "html").mapInArrow(lean(inducer), "of string, tree string"), "trees")
     repeats = materialize(hashes.where("n > 1").select(F.col("host").alias("of_host"), F.col("h").alias("of_h"), "n"), "repeats")
     shares = attach(attach(keyed, trees, {"host": "of"}, "inner", row_salt, salts, broadcast_bytes), repeats, {"host": "of_host", "h": "of_h"}, "left", row_salt, salts, broadcast_bytes)
-    parts = shares.select("html", F.col("host"), "tree", F.coalesce("n", F.lit(1)).alias("n")).mapInArrow(lean(counter), "host string, node long, text long, pages double")
-    counts = materialize(parts.groupBy("node", "text").agg(F.max("host").alias("host"), F.round(F.sum("pages")).cast("long").alias("pages")), "counts")
+    parts = shares.select("html", F.col("host"), "tree", F.coalesce("n", F.lit(1)).alias("n")).mapInArrow(lean(counter), "host string, node long, text long, length long, pages double")
+    counts = materialize(parts.groupBy("node", "text").agg(F.max("host").alias("host"), F.max("length").alias("length"), F.round(F.sum("pages")).cast("long").alias("pages")), "counts")
     return decide(counts, trees, salts, broadcast_bytes)
 
 
 def decide(counts: DataFrame, trees: DataFrame, salts: int, broadcast_bytes: int) -> DataFrame:
     """of and wrapper: a text is template that stands in CONSTANT of the pages that have its node, if these are LEAST or more."""
-    nodes = materialize(counts.where(F.col("text").isNull() & (F.col("pages") >= LEAST)).select(F.col("node").alias("of_node"), F.col("host").alias("of"), F.col("pages").alias("seen")), "nodes")
-    often = counts.where(F.col("text").isNotNull() & (F.col("pages") >= CONSTANT * LEAST)).drop("host")
+    count = lambda which, what="pages": F.coalesce(F.sum(F.when(which, F.col(what))), F.lit(0))
+    counts = counts.withColumn("chars", F.col("pages") * F.col("length"))
+    a_text = F.col("text").isNotNull()
+    sums = counts.groupBy(F.col("node").alias("of_node")).agg(F.max("host").alias("of"), count(~a_text).alias("seen"), count(a_text).alias("texts"), count(a_text & (F.col("pages") <= 1)).alias("singles"), count(a_text, "chars").alias("all_chars"))
+    nodes = materialize(sums.where(F.col("seen") >= LEAST), "nodes")
+    often = counts.where(a_text & (F.col("pages") >= CONSTANT * LEAST)).drop("host")
     # a node has as many template texts at most as a page has texts there, by 1 / CONSTANT
-    template = attach(often, nodes, {"node": "of_node"}, "inner", F.col("text"), salts, broadcast_bytes).where(F.col("pages") >= CONSTANT * F.col("seen") - 1e-9)
-    found = template.groupBy("of").agg(F.sort_array(F.collect_list("text")).alias("template"))
-    return trees.join(found, "of", "left").select("of", F.to_json(F.struct("tree", "template")).alias("wrapper"))
+    template = attach(often, nodes.select("of_node", "of", "seen"), {"node": "of_node"}, "inner", F.col("text"), salts, broadcast_bytes, keep=True).where(F.col("pages") >= CONSTANT * F.col("seen") - 1e-9)
+    template = materialize(template.select("of", "of_node", "text", "pages", "chars"), "template")
+    gone = template.groupBy(F.col("of_node").alias("gone_node")).agg(F.sum("pages").alias("gone"), F.sum("chars").alias("gone_chars"))
+    left = nodes.join(gone, F.col("of_node") == F.col("gone_node"), "left")
+    varying = (F.col("all_chars") - F.coalesce("gone_chars", F.lit(0))) / F.col("seen")
+    single = 2 * F.col("singles") > F.col("texts") - F.coalesce("gone", F.lit(0))
+    slots = left.groupBy(F.col("of").alias("slots_of")).agg(F.sort_array(F.collect_list(F.struct(F.col("of_node").alias("node"), varying.alias("varying"), single.alias("single")))).alias("slots"))
+    found = template.groupBy(F.col("of").alias("template_of")).agg(F.sort_array(F.collect_list("text")).alias("template"))
+    both = trees.join(slots, F.col("of") == F.col("slots_of"), "left").join(found, F.col("of") == F.col("template_of"), "left")
+    return both.select("of", F.to_json(F.struct("tree", "template", "slots")).alias("wrapper"))
 
 
 def main_text(pages: DataFrame, sample: int = SAMPLE, salts: int = SALTS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
