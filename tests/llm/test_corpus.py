@@ -141,3 +141,14 @@ def test_pipeline_stages_on_odd_rows(spark, sf, odd):
             docs = stage(spark, docs, sf)
             assert set(rows.columns) <= set(docs.columns), name
         assert docs.count() >= 0 and all(r["score"] == r["spans"] == r["items"] == 7 for r in docs.collect() if "score" in rows.columns)
+
+
+def test_targets_of_a_table_of_sources(spark):
+    sizes = {f"é{k}": (k * k * 37) % 1000 for k in range(300)} | {None: 5, "": 70, "\U0001f600": 3, "\uffff": 4}
+    for own in (sizes, {"a": 100, "b": 1}, {"a": 0}, {}):
+        rows = spark.createDataFrame([(s, n, 1) for s, n in own.items()], "source string, size long, n long")
+        got = {r["source"]: (r["source_no"], r["target"]) for r in cube.planned(rows).collect()}
+        want = cube.targets(own)
+        assert [s for s, _ in sorted(got.items(), key=lambda x: x[1][0])] == sorted(own, key=lambda s: (s is None, s or "")) and sorted(n for n, _ in got.values()) == list(range(len(own)))
+        assert all(got[s][1] == pytest.approx(want[s]) for s in own)
+    assert not hasattr(cube, "MAX_SOURCES")

@@ -30,8 +30,6 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, CAP = 1.5, 2.0
 #: Units that fly in one task.
 BLOCK = 2_000
-#: Sources come to the driver as one row each; beyond so many this operator stops with an error.
-MAX_SOURCES = 200_000
 SEED = 11
 EPS = 1e-9
 
@@ -132,7 +130,7 @@ def settle(p: np.ndarray, words: np.ndarray, docs: np.ndarray, draws: np.ndarray
     return best[1]
 
 
-COLUMNS = "key string, doc_id long, source_no int, size long, rows long, source_size long, target double, whole int, p double, blocks long"
+COLUMNS = "key string, doc_id long, source_no long, size long, rows long, source_size long, target double, whole int, p double, blocks long"
 
 
 def flight(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -151,26 +149,51 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"__w_key": key, "__w_source": F.col("source").cast("string"), "__w_size": n_words(text)})
 
 
+def planned(sums: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """sums (source, size, n), a row each, with source_no and target as `targets` has it; only sums over all sources come to the driver.
+
+    Numbers are places in a range sort. A source is capped if left * weight / total > cap * size. As capped sources leave, left / total
+    grows, so those capped once stay so, and a round is one aggregate over the written table.
+    """
+    by = [F.col("source").isNull(), F.col("source")]
+    dealt = sums.repartitionByRange(*by).sortWithinPartitions(*by)
+    dealt = materialize(dealt.select("source", F.col("size").cast("long").alias("size"), "n", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("place")), "sources")
+    before, offsets = 0, []
+    for r in dealt.groupBy("part").count().orderBy("part").collect():
+        offsets += [F.lit(r["part"]), F.lit(before)]
+        before += r["count"]
+    first = F.element_at(F.create_map(*offsets), F.col("part")) if offsets else F.lit(0)
+    no = (first + F.col("place")).cast("long")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(no, F.lit(len(weights))) + 1).cast("int"))
+    numbered = dealt.select("source", "size", "n", no.alias("source_no"), weight.alias("weight"))
+    most = cap * F.col("size")
+    amount = lambda which, what: F.coalesce(F.sum(F.when(which, what)), F.lit(0.0))
+    capped, even, known = F.lit(False), F.lit(0.0), -1
+    while True:
+        r = numbered.agg(F.sum("size").alias("size"), amount(~capped, F.col("weight")).alias("total"), amount(capped, most).alias("gone"), F.count(F.when(capped, 1)).alias("n"), F.count("*").alias("all")).first()
+        if r["n"] in (known, r["all"]):
+            break
+        known = r["n"]
+        even = F.lit(float(share * (r["size"] or 0) - r["gone"])) * F.col("weight") / F.lit(float(r["total"]))
+        capped = even > most
+    return numbered.withColumn("target", F.when(capped, most).otherwise(even))
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP, block: int = BLOCK) -> DataFrame:
     """A row for each unit: key, doc_id, source, size, rows (of docs), source_size, target, copies (0 to 2)."""
-    spark = docs.sparkSession
     units = keyed(docs).groupBy(F.col("__w_key").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("__w_source").alias("source"), F.col("__w_size").alias("size")).agg(F.count("*").alias("rows"))
     units = materialize(units, "units")
-    sums = units.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("size"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(sums) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources; group them first")
-    target = targets({r["source"]: r["size"] for r in sums}, weights, share, cap)
-    plan = []
-    for no, r in enumerate(sorted(sums, key=lambda r: (r["source"] is None, r["source"] or ""))):
-        p = target[r["source"]] / r["size"] if r["size"] else 0.0
-        whole = math.floor(p + EPS)
-        plan.append((r["source"], no, r["size"], float(target[r["source"]]), whole, max(0.0, p - whole), max(1, math.ceil(r["n"] / block))))
-    plan = spark.createDataFrame(plan, "plan_source string, source_no int, source_size long, target double, whole int, p double, blocks long")
+    sums = units.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("size"), F.count("*").alias("n"))
+    plan = planned(sums, weights, share, cap)
+    p = F.when(F.col("size") > 0, F.col("target") / F.col("size")).otherwise(F.lit(0.0))
+    whole = F.floor(p + EPS).cast("int")
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / block)).cast("long")
+    plan = plan.select(F.col("source").alias("plan_source"), "source_no", F.col("size").alias("source_size"), "target", whole.alias("whole"), F.greatest(F.lit(0.0), p - whole).alias("p"), blocks.alias("blocks"))
     state = units.join(plan, F.col("source").eqNullSafe(F.col("plan_source")))
     names = plan.select(F.col("source_no").alias("_no"), F.col("plan_source").alias("source"))
     state = state.select("key", "doc_id", "source_no", "size", "rows", "source_size", "target", "whole", "p", "blocks")
     done = None
-    most = max([1, *(math.ceil(r["n"] / block) for r in sums)])
+    most = plan.agg(F.max("blocks")).first()[0] or 1
     while True:
         dealt = state.withColumn("_block", F.pmod(F.xxhash64("key", "size", F.col("blocks")), F.col("blocks")))
         state = materialize(dealt.groupBy("source_no", "_block").applyInPandas(lambda pdf: flight(pdf.drop(columns="_block")), COLUMNS), "flown")
