@@ -25,10 +25,16 @@ def apart(docs: DataFrame, names: list[str]) -> tuple[DataFrame, dict[str, str]]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language was recognized. What was learned comes from the table's own rows that aren't held out."""
+    """Documents in which a language was recognized. What was learned comes from the table's own rows that aren't held out.
+
+    Where they teach nothing (none has a language), no document can be told from another and all that have a letter stay.
+    """
     small_batches(spark)
+    model = langid.fit(docs)
+    if model is None:
+        return langid.with_letters(docs)
     own, back = apart(docs, ["lang_pred", "score"])
-    found = langid.predict(own, langid.fit(docs))
+    found = langid.predict(own, model)
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= langid.LEAST_SCORE)).select(*own.columns).withColumnsRenamed(back)
 
 

@@ -143,6 +143,14 @@ def test_pipeline_stages_on_odd_rows(spark, sf, odd):
         assert docs.count() >= 0 and all(r["score"] == r["spans"] == r["items"] == 7 for r in docs.collect() if "score" in rows.columns)
 
 
+def test_documents_without_languages_stay(spark, make):
+    import corpus_pipeline
+
+    rows = [(k, f"plain words number {k}", None, "a") for k in range(20)] + [(20, None), (21, "12 _ 34"), (22, "")]
+    got = corpus_pipeline.language(spark, make(rows), "")
+    assert got.columns == make(rows).columns and sorted(r["doc_id"] for r in got.collect()) == list(range(20))
+
+
 def test_targets_of_a_table_of_sources(spark):
     sizes = {f"é{k}": (k * k * 37) % 1000 for k in range(300)} | {None: 5, "": 70, "\U0001f600": 3, "\uffff": 4}
     for own in (sizes, {"a": 100, "b": 1}, {"a": 0}, {}):

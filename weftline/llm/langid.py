@@ -240,3 +240,14 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """docs (any columns, with text), lang_pred and score."""
     own = docs.drop("lang_pred", "score")
     return own.mapInArrow(lean(scorer(model, "text")), T.StructType([*own.schema.fields, *PREDICTED]))
+
+
+def lettered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, "text"):
+            yield part.filter(pa.array([bool(LETTERS.search(t or "")) for t in part.column("text").to_pylist()], type=pa.bool_()))
+
+
+def with_letters(docs: DataFrame) -> DataFrame:
+    """The rows of docs whose text has a letter: those that predict could call other than `und`."""
+    return docs.mapInArrow(lean(lettered), docs.schema)
