@@ -237,18 +237,95 @@ def test_phrases_equal_brute_force(documents, odd, make):
 
 @pytest.mark.parametrize("expression, labels, score", [
     ("MIT", {"mit"}, 0.25), ("(MIT OR GPL-3.0-only)", {"mit"}, 0.25), ("MIT AND GPL-2.0+", {"mit", "gpl"}, 0.75), ("GPL-2.0-only WITH Classpath-exception-2.0", {"gpl"}, 0.5), ("MIT OR Apache-2.0 AND GPL-3.0-only", {"mit"}, 0.25),
-    ("(MIT OR Apache-2.0) AND LGPL-2.1-only", {"mit", "apache", "lgpl"}, 0.5), ("Strange-1.0", {"strange-1.0"}, 0.9), ("MIT */ more prose", {"mit"}, 0.25),
+    ("(MIT OR Apache-2.0) AND LGPL-2.1-only", {"mit", "apache", "lgpl"}, 0.5), ("Strange-1.0", {"strange-1.0"}, 0.9), ("MIT */ more prose", {"mit"}, 0.25), ("MIT and other words follow", {"mit"}, 0.25), ("tag in each file", set(), 0.0),
+    ("MIT OR", {"mit"}, 0.25), ("(MIT", set(), 0.9), ("MIT) and more", {"mit"}, 0.25), ("", set(), 0.0), ("and MIT", set(), 0.0), ("LicenseRef-Own AND MIT", {"licenseref-own", "mit"}, 0.9), ("GPL-2.0 with care", {"gpl"}, 0.75), ("((MIT))", {"mit"}, 0.25), ("MIT AND (Apache-2.0 OR", {"mit"}, 0.25),
 ])
 def test_expressions(expression, labels, score):
     assert licenses.evaluate(expression) == (labels, score)
 
 
-def test_malformed_expressions():
-    assert all(licenses.postfix(x) is None for x in ("", "AND", "MIT OR", "(MIT", "MIT)", "( )", "OR MIT"))
-    assert licenses.postfix("A OR B AND C WITH D") == ["A", "B", "C", "D", "with", "and", "or"]
+def descent(tokens):
+    """An expression's labels and score by recursive descent: or, and, with, operand."""
+    at = 0
+
+    def level(k):
+        nonlocal at
+        if k == 3:
+            at += 1
+            if tokens[at - 1] == "(":
+                out = level(0)
+                at += 1
+                return out
+            name = licenses.family(tokens[at - 1])
+            return {name}, licenses.STRICTNESS.get(name, licenses.UNKNOWN)
+        a, x = level(k + 1)
+        while at < len(tokens) and tokens[at].lower() == ("or", "and", "with")[k]:
+            at += 1
+            b, y = level(k + 1)
+            if k == 2:
+                x = max(0.0, x - 0.25)
+            elif k == 1:
+                a, x = a | b, max(x, y)
+            else:
+                a, x = (a | b if x == y else a if x < y else b), min(x, y)
+        return a, x
+
+    return level(0)
+
+
+def test_expressions_equal_recursive_descent():
+    import random
+
+    r = random.Random(4)
+
+    def made(depth):
+        if depth == 0 or r.random() < 0.3:
+            one = [r.choice(["MIT", "Apache-2.0", "GPL-3.0-only", "LGPL-2.1+", "Odd-2.0", "CC-BY-NC-4.0", "CC0-1.0"])]
+            return [*one, "WITH", "Some-exception-1.0"] if r.random() < 0.2 else one
+        inner = [*made(depth - 1), r.choice(["AND", "OR", "and", "or"]), *made(depth - 1)]
+        return ["(", *inner, ")"] if r.random() < 0.5 else inner
+
+    for _ in range(400):
+        tokens = made(r.randint(0, 4))
+        assert licenses.evaluate(" ".join(tokens)) == descent(tokens)
+
+
+def brute_labels(text):
+    """Notices by trying every place, a longer one from the same word first, and every tag's line."""
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+    all_, labels = {**licenses.BASE, **licenses.NOTICES}, set()
+    for k in range(len(w)):
+        here = [p for p in all_ if w[k : k + len(p.split())] == p.split()]
+        labels |= {all_[p] for p in here if p in licenses.BASE or p == max(here, key=len)}
+    score = max([licenses.STRICTNESS[x] for x in labels], default=0.0)
+    for line in re.split(r"[\r\n]", text or ""):
+        for part in re.split(r"(?i)spdx-license-identifier:", line)[1:]:
+            own, strict = licenses.evaluate(part)
+            labels, score = labels | own, max(score, strict)
+    return ",".join(sorted(labels)), score
+
+
+def test_labels_equal_brute_force(documents, odd, make):
+    import random
+
+    r = random.Random(6)
+    words = ["mit", "license", "cc", "by", "nc", "sa", "cc0", "lesser", "general", "public", "apache", "bsd", "all rights reserved", "x", "SPDX-License-Identifier: MIT OR GPL-2.0\n", "SPDX-License-Identifier: none here\n", "spdx-license-identifier: ISC"]
+    rows = [(k, " ".join(r.choice(words) for _ in range(r.randint(0, 40)))) for k in range(200)]
+    for df in (make(rows), odd, documents):
+        got = sorted((str(r["doc_id"]), r["labels"], r["score"]) for r in licenses.scan(df).collect())
+        assert got == sorted((str(r["doc_id"]), *brute_labels(r["text"])) for r in df.collect())
 
 
 def test_labels(make):
-    rows = [(1, "// SPDX-License-Identifier: Apache-2.0 OR MIT\ncode"), (2, "Licensed under CC BY-NC 4.0."), (3, "All rights reserved. MIT License"), (4, "SPDX-License-Identifier: (MIT"), (5, "nothing")]
+    rows = [(1, "// SPDX-License-Identifier: Apache-2.0 OR MIT\ncode"), (2, "Licensed under CC BY-NC 4.0."), (3, "All rights reserved. MIT License"), (4, "SPDX-License-Identifier: (MIT"), (5, "nothing"), (6, "SPDX-License-Identifier: MIT and other words follow"), (7, "Use an SPDX-License-Identifier: tag in each file")]
     got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan(make(rows)).collect()}
-    assert got == {1: ("apache,mit", 0.25), 2: ("cc-by-nc", 1.0), 3: ("mit,reserved", 1.0), 4: ("", 0.9), 5: ("", 0.0)}
+    assert got == {1: ("apache,mit", 0.25), 2: ("cc-by-nc", 1.0), 3: ("mit,reserved", 1.0), 4: ("", 0.9), 5: ("", 0.0), 6: ("mit", 0.25), 7: ("", 0.0)}
+
+
+def test_long_licence_texts_take_linear_time():
+    import time
+
+    machine, began = licenses.automaton(), time.time()
+    n, places, labels, _ = licenses.scan_text("SPDX-License-Identifier: MIT OR Apache-2.0\n" * 60_000 + "SPDX-License-Identifier: MIT or " * 60_000 + "mit license " * 200_000, machine)
+    assert n == 60_000 * 13 + 400_000 and len(places) == 200_000 and places[-1][0] == n - 2 and labels == {"mit", "apache"} and time.time() - began < 20

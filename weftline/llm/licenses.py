@@ -2,14 +2,19 @@
 
 The automaton runs once over each whole text, as its lower-case words between single spaces, so a phrase is found wherever its words
 stand one after another, overlaps included. Where it meets the words of an identifier tag, the expression behind each tag of the raw
-text is read to the end of its line, brought into postfix order (with binds closer than and, and closer than or) and evaluated:
-`or` lets the reader choose the freer side, `and` binds to the stricter one, `with` takes a step off for its exception.
+text is read up to where its line stops being one, brought into postfix order (with binds closer than and, and closer than or) and
+evaluated: `or` lets the reader choose the freer side, `and` binds to the stricter one, `with` takes a step off for its exception.
+Each text is passed over a fixed number of times, however many phrases and tags it has.
+
+An operand is an identifier of a known family, a LicenseRef, or a name with a version (Strange-1.0); any other word is prose and ends
+the expression, as does a word behind a full one. Behind `with` a word with a hyphen is an exception.
 
 score: how strict the strictest notice is, 0 (none) over permissive 0.25, weak copyleft 0.5 and copyleft 0.75 to 1 (reserved rights);
 an unknown identifier counts 0.9.
 
-Defined results: a null or empty text has no words, labels or places; an expression that can't be parsed gives no label and counts as
-unknown; rows are independent of each other, and other columns are kept by scan().
+Defined results: a null or empty text has no words, labels or places; a tag followed by prose says nothing; one followed by the
+start of an expression that never gets whole, such as (MIT, gives no label and counts as unknown; rows are independent of each other,
+and other columns are kept by scan().
 """
 
 from __future__ import annotations
@@ -50,7 +55,7 @@ NOTICES = {
     "all rights reserved": "reserved",
 }
 TAG = "spdx license identifier"
-TAG_LINE = re.compile(r"spdx-license-identifier:[ \t]*([^\r\n]*)", re.I)
+TAG_HERE, LINE_END = re.compile(r"spdx-license-identifier:", re.I), re.compile(r"[\r\n]|\Z")
 
 # How strict a licence family is.
 STRICT = {
@@ -64,58 +69,74 @@ STRICTNESS = {name: level for level, names in STRICT.items() for name in names.s
 UNKNOWN = 0.9
 BINDS = {"or": 1, "and": 2, "with": 3}
 TOKEN = re.compile(r"\(|\)|[A-Za-z0-9][A-Za-z0-9.+:_-]*")
+#: What an identifier outside the known families looks like.
+NAMED = re.compile(r"(?:documentref-[^:]+:)?licenseref-.+|[a-z][a-z0-9]*(?:-[a-z0-9.]+)*-v?\d+(?:\.\d+)*\+?(?:-only|-or-later)?", re.I)
 
 
 def family(identifier: str) -> str:
     """The longest known family that an identifier starts with; the identifier in lower case if none."""
-    low = identifier.lower()
+    low = identifier.lower().rstrip("+.:")
     known = [f for f in STRICTNESS if low == f or low.startswith(f"{f}-")]
     return max(known, key=len, default=low)
 
 
-def postfix(expression: str) -> list[str] | None:
-    """Shunting-yard. None if the expression isn't one."""
+def is_licence(token: str) -> bool:
+    return family(token) in STRICTNESS or bool(NAMED.fullmatch(token.rstrip(".:")))
+
+
+def expression(text: str, first: int = 0, end: int | None = None) -> tuple[list[str], bool]:
+    """The longest expression that text[first:end] starts with, in tokens (none if there is no whole one), and whether one starts there at all."""
+    tokens: list[str] = []
+    whole, depth, operand, exception = 0, 0, True, False  # operand: one must come next; exception: behind `with`
+    for m in TOKEN.finditer(text, first, len(text) if end is None else end):
+        token, low = m[0], m[0].lower()
+        if operand:
+            if token == "(" and not exception:
+                depth += 1
+            elif low in BINDS or not ("-" in token if exception else is_licence(token)):
+                break
+            else:
+                operand = exception = False
+        elif token == ")" and depth:
+            depth -= 1
+        elif low in BINDS:
+            operand, exception = True, low == "with"
+        else:
+            break
+        tokens.append(token)
+        if not operand and not depth:
+            whole = len(tokens)
+    return tokens[:whole], bool(tokens)
+
+
+def postfix(tokens: list[str]) -> list[str]:
+    """Shunting-yard over the tokens of a whole expression."""
     out: list[str] = []
     waiting: list[str] = []
-    operand = True  # whether one must come next
-    for token in TOKEN.findall(expression):
+    for token in tokens:
         low = token.lower()
         if low in BINDS:
-            if operand:
-                return None
             while waiting and waiting[-1] != "(" and BINDS[waiting[-1]] >= BINDS[low]:
                 out.append(waiting.pop())
             waiting.append(low)
-            operand = True
         elif token == "(":
-            if not operand:
-                return None
             waiting.append(token)
         elif token == ")":
-            if operand:
-                return None
-            while waiting and waiting[-1] != "(":
+            while waiting[-1] != "(":
                 out.append(waiting.pop())
-            if not waiting:
-                return None
             waiting.pop()
-        elif operand:
+        else:
             out.append(token)
-            operand = False
-        else:  # a word after a full expression: prose, or the end of a comment
-            break
-    if operand or "(" in waiting:
-        return None
     return out + waiting[::-1]
 
 
-def evaluate(expression: str) -> tuple[set[str], float] | None:
-    """The licence families that bind, and how strict they are together."""
-    order = postfix(expression)
-    if order is None:
-        return None
+def evaluate(text: str, first: int = 0, end: int | None = None) -> tuple[set[str], float]:
+    """The licence families that bind by the expression that text[first:end] starts with, and how strict they are together."""
+    tokens, started = expression(text, first, end)
+    if not tokens:
+        return set(), UNKNOWN if started else 0.0
     stack: list[tuple[set[str], float]] = []
-    for token in order:
+    for token in postfix(tokens):
         if token in BINDS:
             (b, y), (a, x) = stack.pop(), stack.pop()
             if token == "with":
@@ -142,25 +163,28 @@ def scan_text(text: str | None, machine: ahocorasick.Automaton) -> tuple[int, li
     """Number of words, places and labels of the base phrases, all labels, score."""
     words = alnum_words(text)
     joined = f" {b' '.join(words).decode('utf-8', 'surrogatepass')} "
-    places, labels, score = [], set(), 0.0
-    found_at = [(end - len(phrase) - 1, end, phrase) for end, phrase in machine.iter(joined)]
-    longest: dict[int, int] = {}
-    for start, end, _ in found_at:
-        longest[start] = max(end, longest.get(start, 0))
-    for start, end, phrase in found_at:
+    places, labels, score, tagged = [], set(), 0.0, False
+    found = sorted((end - len(phrase) - 1, end, phrase) for end, phrase in machine.iter(joined))
+    word, counted = 0, 0  # spaces before `counted`
+    for k, (start, end, phrase) in enumerate(found):
         if phrase == TAG:
-            for line in TAG_LINE.findall(text):
-                found = evaluate(line)
-                labels |= found[0] if found else set()
-                score = max(score, found[1] if found else UNKNOWN)
+            tagged = True
             continue
         label = BASE.get(phrase) or NOTICES[phrase]
         if phrase in BASE:
-            places.append((joined.count(" ", 0, start), label))
-        elif end < longest[start]:  # a longer notice starts here, such as cc by nc for cc by
+            word, counted = word + joined.count(" ", counted, start), start
+            places.append((word, label))
+        elif k + 1 < len(found) and found[k + 1][0] == start:  # a longer notice starts here, such as cc by nc for cc by
             continue
         labels.add(label)
         score = max(score, STRICTNESS[label])
+    line_end = -1
+    for m in TAG_HERE.finditer(text) if tagged else ():
+        if line_end < m.end():
+            line_end = LINE_END.search(text, m.end()).start()
+        own, strict = evaluate(text, m.end(), line_end)
+        labels |= own
+        score = max(score, strict)
     return len(words), places, labels, score
 
 
