@@ -40,6 +40,53 @@ def test_markup():
         assert wrapper.extract(page, None) == want
 
 
+def test_odd_tags():
+    for page, want in (
+        ("<p class=it's>text one</p><p>text two</p>", "text one\ntext two"), ("<SPAN hidden>x</SPAN> real text <span>more</span>", "real text more"), ("<p>a <span hidden>x <span>y</span> z</span> b</p>", "a b"), ("<p>a <b hidden>x<p>next</p>", "a\nnext"),
+        ('<p title="a>b" data-x=\'"\'>c</p>', "c"), ('<p title="never closed>a</p><p>b</p>', "a\nb"), ("<p a=b\"c>d</p>", "d"), ("<div class='legal'><p>law</p></div>", "law"), ("<article><div class='post search-results'><p>x</p></div></article>", "x"), ("<article><p>the story</p><div class='legal'><p>law</p></div></article>", "the story"),
+        ("<i aria-hidden=true>x</i>y<br>z", "y z"), ("a</p>b", "a\nb"), ("<TEXTAREA>x</textarea >b", "b"), ("<a href=x?y=1&z=\"2\">l</a>", "l"),
+    ):
+        assert wrapper.extract(page, None) == want, page
+
+
+def test_deep_and_wide_pages_are_bounded():
+    import json
+    import time
+
+    deep = "<div>" * 5000 + "<p>bottom</p>" + "<aside><p>no</p></aside>" + "<p>last</p>"
+    assert wrapper.extract(deep, None) == "bottom\nlast"
+    began = time.time()
+    layouts = ["<div><p>{k}</p><ul><li>x</ul>" * 100 + "</div>" * 100, "<div><h2>{k}</h2><p>a</p>" * 100 + "</div>" * 100, "<h3>a</h3><p>{k}</p>" * 3000, "<h3>a</h3><p>{k}</p><h4>b</h4>" * 3000]
+    tree = wrapper.induce([x.replace("{k}", str(k)) for x in layouts for k in range(2)])
+    own = wrapper.Slot.load(json.loads(tree), 0)
+    assert all(len(list(wrapper.aligned(wrapper.fold(wrapper.parse(x)), own))) > 100 for x in layouts) and time.time() - began < 20
+
+
+def test_pairs_by_turn_keep_order():
+    node = wrapper.Node
+    a, b = [node(x) for x in "abcab"], [node(x) for x in "xabab"]
+    assert wrapper.by_turn(a, b) == [(0, 1), (1, 2), (3, 3), (4, 4)] and wrapper.by_turn([], b) == [] and wrapper.by_turn([node("b"), node("a")], [node("a"), node("b")]) in ([(0, 1)], [(1, 0)])
+
+
+def test_equal_ends_match_as_much_as_all_pairs():
+    import random
+
+    r = random.Random(8)
+
+    def made(depth):
+        return wrapper.Node(r.choice("abc"), children=[made(depth - 1) for _ in range(r.randint(0, 3 if depth else 0))])
+
+    def most(a, b):  # the weight of the best matching, by the plain recurrence
+        if not a or not b:
+            return 0
+        both = 1 + most(a[0].children, b[0].children) + most(a[1:], b[1:]) if a[0].label == b[0].label else 0
+        return max(both, most(a[1:], b), most(a, b[1:]))
+
+    for _ in range(150):
+        a, b = made(2).children, made(2).children
+        assert sum(wrapper.weight(a[i], b[j], {}) for i, j in wrapper.match(a, b, {})) == most(a, b)
+
+
 def test_what_a_host_repeats_is_template(spark):
     page = lambda k: f"<body><div><p>Welcome to our site</p></div><div><h2>Story {k}</h2><p>Text number {k} tells more.</p><p>All about {k * 7}.</p><p>Call us today</p></div></body>"
     rows = [(k, f"https://Host.example/{k}", page(k)) for k in range(10)] + [(50, "https://one.example/", page(50)), (51, None, page(51)), (52, "no host", None), (53, "https://Host.example/x", page(3)), (53, "https://Host.example/x", page(3))]

@@ -13,16 +13,19 @@ the shuffle, and template is decided from the whole sums. Of a page that stands
 
 Varying slots are content unless their place says otherwise: menus, headers and footers of the page, sidebars, adverts, forms, scripts,
 styles and reader comments are told by their elements, roles and class names, as they vary like content does. Names that sections of
-the text have too (MAYBE) decide only where the wrapper leaves a section open, having none of its nodes in LEAST pages; elsewhere the
-section is content if its texts, by length, are mostly ones that stand in a single page of the host. Where a page has an article or main
+the text have too (MAYBE) decide only where the wrapper leaves a section open, having none of its nodes in LEAST pages, and the section
+isn't most of the page's text; elsewhere the section is content if its texts, by length, are mostly ones that stand in a single page of the host. Where a page has an article or main
 element, only slots inside it are content, unless its nodes outside hold more varying text in the host's pages than those inside.
 
 Trees, wrappers and repeated pages are written once and their bytes summed up: up to BROADCAST_BYTES they are broadcast, and no page is
 shuffled; beyond that they meet pages in a shuffled join, a host that has a third of all pages being dealt to SALTS tasks.
 
-Defined results: null and empty html give an empty text; a null url is a host of its own, as is one without a host; text after a
-tag that was cut off at the end is kept, the cut tag is not; with fewer than LEAST distinct pages of a host nothing counts as
-template. Pages are independent of each other but for the wrapper; repeated rows give equal rows; other columns are dropped.
+Alignment is bounded: a tree is DEPTH levels deep, what stands deeper hangs side by side at the last level; equal subtrees at either end
+of two child lists are paired first, and lists whose product is still above CELLS are paired by label and turn, in order.
+
+Defined results: null and empty html give an empty text; a null url is a host of its own, as is one without a host; text before a
+tag that was cut off at the end is kept, the cut tag is not; a quote that is never closed ends with its tag; a hidden inline element ends
+with the block at the latest; with fewer than LEAST distinct pages of a host nothing counts as template. Pages are independent of each other but for the wrapper; repeated rows give equal rows; other columns are dropped.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ from __future__ import annotations
 import html
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -49,6 +53,8 @@ SALTS = 64
 BROADCAST_BYTES = 16 << 20
 #: (node, text) sums that a worker holds before it passes them on.
 SUMS = 200_000
+#: Levels of a tree, and pairs of children that are tried for two nodes.
+DEPTH, CELLS = 100, 100_000
 
 # Elements by their part in a page.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -61,7 +67,9 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 OUTSIDE = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookie\w*|popup|modal|newsletter|nav|navbar|navigation|menu|breadcrumb\w*|sidebar|aside|widget|footer|masthead|topbar|comment|comments|commentlist|respond|reply|replies|disqus|pagination|pager|complementary|contentinfo)(?:$|[\s_-])", re.I)
 # Such words that sections of the text have too.
 MAYBE = re.compile(r"(?:^|[\s_-])(?:notice|notification|alert|consent|gdpr|subscribe|signup|share|sharing|social|side|related|recommend\w*|foot|discussion|search|login|skip|legal|disclaimer)(?:$|[\s_-])", re.I)
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)", re.S)
+#: A tag; a quote opens a value only behind an equals sign.
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>(?:[^>=]+|=\s*(?:"(?:[^"]*"|[^">]*)|'(?:[^']*'|[^'>]*)|[^\s"'>][^\s>]*)?)*))(>|\Z)""", re.S)
+RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in RAW}
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
 
@@ -77,15 +85,19 @@ class Node:
     by_name: bool = False
     #: Has one of the names that are left to the wrapper.
     maybe: bool = False
+    #: An article or main element that counts stands here or below; known once folded.
+    main: bool = False
     shape: tuple[int, int] | None = None
 
 
 def parse(page: str) -> Node:
     """The tree of block elements. A run of text and inline elements between blocks is a block of its own, #text."""
     root = Node("#root")
-    stack: list[tuple[str, Node]] = [("#root", root)]
+    # name, the node that holds what stands inside, and whether something below the last level is outside
+    stack: list[tuple[str, Node, bool]] = [("#root", root, False)]
     inline: list[str] = []
-    blocks = 0
+    blocks, mains = 0, 0  # mains: open article and main elements
+    muted, depth = "", 0  # a hidden inline element that is open, and how many of its name
 
     def flush() -> None:
         nonlocal blocks
@@ -93,69 +105,78 @@ def parse(page: str) -> Node:
         inline.clear()
         if text:
             blocks += 1
-            stack[-1][1].children.append(Node("#text", texts=[text], order=[blocks]))
+            stack[-1][1].children.append(Node("#text", stack[-1][2], texts=[text], order=[blocks]))
+
+    def leave(k: int) -> None:
+        nonlocal mains
+        mains -= sum(n in ("article", "main") for n, _, _ in stack[k:])
+        del stack[k:]
 
     at, size = 0, len(page)
     while at < size:
         m = TAG.search(page, at)
         if not m:
-            inline.append(page[at:])
+            inline.append(page[at:] if not muted else "")
             break
-        inline.append(page[at : m.start()])
+        if not muted:
+            inline.append(page[at : m.start()])
         at = m.end()
         close, name, attributes = m[1], (m[2] or "").lower(), m[3]
         if not name:
             continue
         if not m[4]:  # the tag was cut off by the end of the page
             break
+        if name in INLINE:
+            if name in VOID:
+                if name == "br":
+                    inline.append(" ")
+            elif muted:
+                depth += (name == muted) * (-1 if close else 1)
+                muted = muted if depth else ""
+            elif not close and hidden(attributes):  # an inline element that isn't shown
+                muted, depth = name, 1
+            continue
+        muted = ""
         if name in RAW and not close:
             flush()
-            end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)", re.I).search(page, at)
-            stop = end.start() if end else size
-            rest = page.find(">", stop)
-            at = size if not end or rest < 0 else rest + 1
-            continue
-        if name in INLINE:
-            if name in ("br", "wbr", "img"):
-                inline.append(" " if name == "br" else "")
-            elif not close and hidden(attributes):  # an inline element that isn't shown or isn't text of the page
-                end = page.find(f"</{name}", at)
-                if end >= 0:
-                    at = page.find(">", end) + 1 or size
+            end = RAW_END[name].search(page, at)
+            rest = page.find(">", end.start()) if end else -1
+            at = size if rest < 0 else rest + 1
             continue
         flush()
         if close:
-            if name == "p" and not any(n == "p" for n, _ in stack):
-                continue
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == name:
-                    del stack[k:]
+                    leave(k)
                     break
             continue
         if name in CLOSES_P:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] == "p":
-                    del stack[k:]
+                    leave(k)
                     break
-                if stack[k][0] not in ("p",) and stack[k][0] in CLOSES_P:
+                if stack[k][0] in CLOSES_P:
                     break
         ends = ENDS.get(name)
         if ends:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] in ends:
-                    del stack[k:]
+                    leave(k)
                     break
                 if stack[k][0] in ("ul", "ol", "dl", "table", "div", "article", "section"):
                     break
         found = {(a[0] or "").lower(): a[1] or a[2] or a[3] for a in ATTRIBUTE.findall(attributes)}
         kind = " ".join(v for k, v in found.items() if k in ("class", "id", "role"))
-        inside_article = any(n in ("article", "main") for n, _ in stack)
-        outside = name in SKIP or (name == "header" and not inside_article) or hidden(attributes)
-        by_name = not outside and bool(OUTSIDE.search(kind)) and name not in ("article", "main", "body", "html")
-        node = Node(f"{name}.{found.get('class') or ''}".rstrip("."), outside or by_name, by_name=by_name, maybe=not outside and not by_name and bool(MAYBE.search(kind)) and name not in ("article", "main", "body", "html"))
-        stack[-1][1].children.append(node)
+        outside = name in SKIP or (name == "header" and not mains) or hidden(attributes)
+        named = not outside and name not in ("article", "main", "body", "html")
+        by_name = named and bool(OUTSIDE.search(kind))
+        node = Node(f"{name}.{found.get('class') or ''}".rstrip("."), outside or by_name, by_name=by_name, maybe=named and not by_name and bool(MAYBE.search(kind)))
+        _, holder, below = stack[-1]
+        node.outside |= below
+        holder.children.append(node)
         if name not in VOID and not attributes.rstrip().endswith("/"):
-            stack.append((name, node))
+            mains += name in ("article", "main")
+            stack.append((name, node, below) if len(stack) < DEPTH else (name, holder, node.outside))
     flush()
     return root
 
@@ -171,26 +192,25 @@ def hidden(attributes: str) -> bool:
 
 def fold(node: Node) -> Node:
     """Blocks with one text become leaves; runs of leaves with equal labels become one node."""
+    own = node.label.split(".")[0] in ("article", "main")
     if node.texts:
         return Node(node.label, node.outside, texts=list(node.texts), order=list(node.order), maybe=node.maybe)
     children = [fold(c) for c in node.children]
     if len(children) == 1 and children[0].label == "#text" and node.label != "#root":
-        return Node(node.label, node.outside, texts=children[0].texts, order=children[0].order, maybe=node.maybe)
+        outside = node.outside or children[0].outside
+        return Node(node.label, outside, texts=children[0].texts, order=children[0].order, maybe=node.maybe, main=own and not outside and not node.maybe)
     out: list[Node] = []
     for c in children:
         if not c.children and not c.texts:
             continue
-        if out and not c.children and not out[-1].children and out[-1].label == c.label and (out[-1].outside, out[-1].maybe) == (c.outside, c.maybe):
+        if out and not c.children and not out[-1].children and out[-1].label == c.label and (out[-1].outside, out[-1].maybe, out[-1].main) == (c.outside, c.maybe, c.main):
             out[-1].texts += c.texts
             out[-1].order += c.order
         else:
             out.append(c)
-    outside = node.outside and not (node.by_name and any(map(holds_main, out)))
-    return Node(node.label, outside, out, maybe=node.maybe and not any(map(holds_main, out)))
-
-
-def holds_main(node: Node) -> bool:
-    return not node.outside and not node.maybe and (node.label.split(".")[0] in ("article", "main") or any(map(holds_main, node.children)))
+    main = any(c.main for c in out)
+    outside, maybe = node.outside and not (node.by_name and main), node.maybe and not main
+    return Node(node.label, outside, out, maybe=maybe, main=not outside and not maybe and (own or main))
 
 
 @dataclass
@@ -228,6 +248,21 @@ def match(a: list, b: list, known: dict[tuple[int, int], int]) -> list[tuple[int
         # no other pairs match more if each has one partner at most or all match in full
         if len({x.label for x in a}) == len(a) or all(measure(x) == measure(y) for x, y in zip(a, b, strict=True)):
             return [(i, i) for i in range(len(a))]
+    # nothing matches more than equal trees at the same end do
+    first, n = 0, min(len(a), len(b))
+    while first < n and measure(a[first]) == measure(b[first]):
+        first += 1
+    last = 0
+    while last < n - first and measure(a[-1 - last]) == measure(b[-1 - last]):
+        last += 1
+    ends = [(i, i) for i in range(first)], [(len(a) - i, len(b) - i) for i in range(last, 0, -1)]
+    middle = between(a[first : len(a) - last], b[first : len(b) - last], known)
+    return [*ends[0], *((i + first, j + first) for i, j in middle), *ends[1]]
+
+
+def between(a: list, b: list, known: dict[tuple[int, int], int]) -> list[tuple[int, int]]:
+    if len(a) * len(b) > CELLS:
+        return by_turn(a, b)
     score = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(1, len(a) + 1):
         for j in range(1, len(b) + 1):
@@ -245,6 +280,32 @@ def match(a: list, b: list, known: dict[tuple[int, int], int]) -> list[tuple[int
     return out[::-1]
 
 
+def by_turn(a: list, b: list) -> list[tuple[int, int]]:
+    """The most pairs, in order, of the first node of a label with the first of the same label, the second with the second and so on."""
+    places: dict[tuple[str, int], int] = {}
+    turn: dict[str, int] = {}
+    for j, y in enumerate(b):
+        turn[y.label] = turn.get(y.label, 0) + 1
+        places[y.label, turn[y.label]] = j
+    turn.clear()
+    ends: list[int] = []  # the least place in b at which a chain of so many pairs can end
+    chain: list[tuple[int, int, int]] = []  # a pair and the one before it
+    tops: list[int] = []
+    for i, x in enumerate(a):
+        turn[x.label] = turn.get(x.label, 0) + 1
+        j = places.get((x.label, turn[x.label]))
+        if j is None:
+            continue
+        k = bisect_left(ends, j)
+        chain.append((i, j, tops[k - 1] if k else -1))
+        ends[k : k + 1], tops[k : k + 1] = [j], [len(chain) - 1]
+    out, at = [], tops[-1] if tops else -1
+    while at >= 0:
+        i, j, at = chain[at]
+        out.append((i, j))
+    return out[::-1]
+
+
 def weight(a, b, known: dict[tuple[int, int], int]) -> int:
     if a.label != b.label:
         return 0
@@ -263,7 +324,9 @@ def learn_page(slot: Slot, node: Node, known: dict[tuple[int, int], int]) -> Non
     for j, child in enumerate(node.children):
         if j in pairs:
             own = slot.children[pairs[j]]
-            last = next(k for k, c in enumerate(children) if c is own)
+            while children[last + 1] is not own:
+                last += 1
+            last += 1
         else:
             own = Slot(child.label)
             last += 1
@@ -330,7 +393,12 @@ def extract(page: str | None, wrapper: Wrapper | None) -> str:
         if section and key in slots:
             varying, single = slots[key]
             sections[id(section)] = sections.get(id(section), 0.0) + (varying if single else -varying)
-    nodes = [x for x in nodes if not x[3] or sections.get(id(x[3]), 0.0) > 0]
+    length = {id(x[3]): 0 for x in nodes}
+    for node, _, _, section in nodes:
+        length[id(section)] += sum(map(len, node.texts))
+    # a section that the wrapper says nothing about is content if it is most of the page
+    most = {x for x, n in length.items() if x not in sections and 2 * n > sum(length.values())}
+    nodes = [x for x in nodes if not x[3] or sections.get(id(x[3]), 0.0) > 0 or id(x[3]) in most]
     found: list[tuple[int, str, bool]] = []
     held = {True: 0.0, False: 0.0}  # varying characters inside and outside article and main
     for node, key, inside, _ in nodes:
@@ -340,7 +408,7 @@ def extract(page: str | None, wrapper: Wrapper | None) -> str:
             held[inside] += slots[key][0]
         elif inside:
             held[inside] += sum(len(t) for _, t, _ in own)
-    main = holds_main(root) and held[True] >= held[False]
+    main = root.main and held[True] >= held[False]
     return "\n".join(t for _, t, inside in sorted(found) if inside or not main)
 
 
