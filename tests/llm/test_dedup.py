@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from weftline.llm import fmindex, lines, minhash
+from weftline.llm import common, fmindex, lines, minhash
 
 
 def shingle_set(text, width=5):
@@ -94,33 +94,53 @@ def test_stars_converge_on_long_chains(spark):
 
 # Lines.
 def brute_lines(rows, width=3):
-    own = {i: [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)] for i, t in rows if i is not None}
-    first: dict = {}
-    for i in sorted(own):
-        for k in range(len(own[i]) - width + 1):
-            first.setdefault(tuple(own[i][k : k + width]), (i, k))
-    out = {}
-    for i, t in rows:
-        if i is None:
-            continue
-        gone = {p for k in range(len(own[i]) - width + 1) if first[tuple(own[i][k : k + width])] < (i, k) for p in range(k, k + width)}
-        out[i] = (t if not gone else "\n".join(x for k, x in enumerate(own[i]) if k not in gone), len(gone))
-    return out
+    """(text, lines removed) of each row, in the order given."""
+    raw = [(t or "").split("\n") for _, t in rows]
+    full = [[k for k, x in enumerate(own) if re.search(r"[^\x20\x09-\x0D]", x)] for own in raw]
+    seen, out = set(), {}
+    for r in sorted(range(len(rows)), key=lambda r: (rows[r][0] is None, rows[r][0] or 0, r)):
+        gone = set()
+        for k in range(len(full[r]) - width + 1):
+            window = tuple(raw[r][p] for p in full[r][k : k + width])
+            gone |= set(range(k, k + width)) if window in seen else set()
+            seen.add(window)
+        cut = {full[r][g] for g in gone} | {p for g in gone if g + 1 in gone for p in range(full[r][g], full[r][g + 1])}
+        out[r] = rows[r][1] if not gone else "\n".join(x for p, x in enumerate(raw[r]) if p not in cut), len(gone)
+    return [out[r] for r in range(len(rows))]
 
 
 def test_line_windows_equal_brute_force(make):
     r = random.Random(5)
-    rows = [(k, "\n".join(r.choice("abcdefgh") + r.choice(["", " ", "x"]) for _ in range(r.randint(0, 14)))) for k in range(60)]
-    rows += [(60, "same\nsame\nsame\nsame\nsame"), (61, "one\n\n two\n\nthree\n"), (62, "one\n two\nthree\nfour")]
+    rows = [(k, "\n".join(r.choice(["", "", *"abcdefgh"]) + r.choice(["", " ", "x"]) for _ in range(r.randint(0, 14)))) for k in range(60)]
+    rows += [(60, "same\nsame\nsame\nsame\nsame"), (61, "one\n\n two\n\nthree\n"), (62, "one\n two\nthree\nfour"), (63, "before\n\none\n\n two\nthree\n\ntail\n\nend")]
     got = {x["doc_id"]: (x["text"], x["n_removed"]) for x in lines.dedup_lines(make(rows)).collect()}
-    assert got == brute_lines(rows)
-    assert got[62] == ("four", 3)
+    assert got == {i: x for (i, _), x in zip(rows, brute_lines(rows), strict=True)}
+    assert got[62] == ("four", 3) and got[63] == ("before\n\n\ntail\n\nend", 3)
+
+
+def test_rows_with_equal_or_no_ids_lose_their_copies(make):
+    passage = "first line\nsecond line\nthird line"
+    rows = [(1, passage), (1, passage), (None, passage), (None, passage + "\n\nown"), (None, "p\nq\nr"), (None, "p\nq\nr"), (0, "a\nb"), (0, "a\nb"), (None, None), (None, None)]
+    got = lines.dedup_lines(make(rows)).collect()
+    assert sorted(map(str, ((r["doc_id"], r["text"], r["n_removed"]) for r in got))) == sorted(map(str, ((i, *x) for (i, _), x in zip(rows, brute_lines(rows), strict=True))))
+    assert sum(r["text"] == passage for r in got) == 1 and sum(r["text"] == "p\nq\nr" for r in got) == 1
 
 
 def test_line_windows_of_odd_rows(odd):
+    rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
     got = lines.dedup_lines(odd.withColumn("_of", F.lit(1)).withColumn("n_removed", F.lit("x"))).collect()
-    assert len(got) == 10 and all(r["n_removed"] == 0 for r in got)
-    assert sorted((r["text"] or "") for r in got) == sorted((r["text"] or "") for r in odd.collect())
+    assert len(got) == 10 and all(r["n_removed"] == 0 for r in got) and all(r["_of"] == 1 for r in got)
+    assert sorted((r["text"] or "") for r in got) == sorted(t or "" for _, t in rows)
+
+
+def test_a_sieve_loses_no_key(spark):
+    rows = spark.range(5000).withColumn("x", F.lit("y"))
+    for ids, bits in (([], 64), ([7], 64), (list(range(0, 5000, 3)), 1 << 12), (list(range(0, 5000, 3)), 1 << 26)):
+        own = spark.createDataFrame([(i,) for i in ids], "k long")
+        may, rest = common.sift(rows, "id", own, bits)
+        passed = {r["id"] for r in may.collect()}
+        assert set(ids) <= passed and passed | {r["id"] for r in rest.collect()} == set(range(5000)) and may.count() + rest.count() == 5000
+        assert bits < 1 << 26 or len(passed) <= len(ids) + 5
 
 
 def test_line_dedup_is_native(make):

@@ -15,13 +15,15 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space that ends a plain word: space and \t \n \x0b \f \r.
 BLANKS = " \t\n\x0b\x0c\r"
 #: Bytes of text that a Python worker splits into words at a time; one longer text is a slice of its own.
 SLICE_BYTES = 1 << 20
+#: Bits of a sieve: a table of a million words at most.
+SIEVE_BITS = 1 << 26
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -72,16 +74,27 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     return wrapped
 
 
-def least_hashes(rows: DataFrame, group: str, h: str, n: int) -> DataFrame:
-    """Rows that may be among the n of their group with the least 64-bit hash h, a few n at most: so that ranking them is cheap at every size."""
-    counts = {r[group]: r["count"] for r in rows.groupBy(group).count().collect()}
-    big = {g: c for g, c in counts.items() if c > 4 * n}
-    if not big:
-        return rows
-    upto = F.lit(None)
-    for g, c in big.items():  # about 3 n rows of the group have a hash below this
-        upto = F.when(F.col(group) == g, F.lit(int(-(2**63) + 2**64 * (3 * n + 50) / c))).otherwise(upto)
-    return rows.where(F.coalesce(F.col(h) <= upto.cast("long"), F.lit(True)))
+def least_hashes(rows: DataFrame, group: str, h: str, n: int, salts: int = 32) -> DataFrame:
+    """The n rows of each group with the least hash h, ties by the other columns: ranked within salts of a group first, so a group that has
+    most rows is no task of its own; tasks pass on n rows of a salt at most."""
+    order = [h, *[c for c in rows.columns if c not in (group, h)]]
+    first = rows.withColumn("__w_k", F.row_number().over(Window.partitionBy(group, F.pmod(F.col(h), F.lit(salts))).orderBy(*order))).where(F.col("__w_k") <= n)
+    return first.withColumn("k", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("k") <= n).drop("__w_k")
+
+
+def sift(rows: DataFrame, key: str, ids: DataFrame, bits: int = SIEVE_BITS) -> tuple[DataFrame, DataFrame]:
+    """Rows whose key (a long) may be among ids (one column), and rows whose key certainly isn't, so that only the first need a shuffled join.
+
+    The ids' hashes are bits of a table of at most bits / 64 words, whatever the number of ids, and that table is broadcast. One in
+    bits / ids of the other rows passes by chance.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    at = place(F.col(ids.columns[0]).cast("long"))
+    words = ids.select(F.shiftright(at, 6).alias("__w_word"), (at % 64).cast("int").alias("__w_bit")).groupBy("__w_word").agg(F.bit_or(F.expr("shiftleft(1L, __w_bit)")).alias("__w_mask"))
+    words = materialize(words, "sieve")
+    own = rows.withColumn("__w_at", place(F.col(key).cast("long"))).join(F.broadcast(words), F.shiftright("__w_at", 6) == F.col("__w_word"), "left")
+    may = F.coalesce(F.expr("shiftright(__w_mask, cast(__w_at % 64 as int)) & 1L") == 1, F.lit(False))
+    return tuple(own.where(x).select(*rows.columns) for x in (may, ~may))
 
 
 def n_words(text) -> F.Column:

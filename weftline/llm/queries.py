@@ -90,12 +90,14 @@ b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_fail
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND {" AND ".join(quality.sql(r) for r in quality.RULES)} AS kept FROM b""",
     "op5_line_dedup": r"""
-WITH d AS (SELECT doc_id, text, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
-w AS (SELECT doc_id, k, array_to_string(l[k:k + 2], chr(10)) AS s FROM (SELECT doc_id, l, unnest(range(1, len(l) - 1)) AS k FROM d WHERE len(l) >= 3 AND doc_id IS NOT NULL)),
-o AS (SELECT doc_id, k, rank() OVER (PARTITION BY s ORDER BY doc_id, k) AS n FROM w),
-g AS (SELECT doc_id, list_distinct(flatten(list(range(k, k + 3)))) AS gone FROM o WHERE n > 1 GROUP BY 1)
-SELECT d.doc_id, CASE WHEN g.gone IS NULL THEN d.text ELSE coalesce(array_to_string(list_filter(l, lambda x, i: NOT list_contains(g.gone, i)), chr(10)), '') END AS text, len(l) AS n_lines, coalesce(len(g.gone), 0) AS n_removed
-FROM d LEFT JOIN g ON g.doc_id = d.doc_id""",
+WITH d AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id NULLS LAST) AS r, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+f AS (SELECT doc_id, r, l, list_filter(range(1, len(l) + 1), lambda i: regexp_matches(l[i], '[^\x20\x09-\x0D]')) AS full_at, text FROM d),
+w AS (SELECT r, k, array_to_string(list_transform(full_at[k:k + 2], lambda i: l[i]), chr(10)) AS s FROM (SELECT r, l, full_at, unnest(range(1, len(full_at) - 1)) AS k FROM f WHERE len(full_at) >= 3)),
+o AS (SELECT r, k, rank() OVER (PARTITION BY s ORDER BY r, k) AS n FROM w),
+g AS (SELECT r, list_distinct(flatten(list(range(k, k + 3)))) AS gone FROM o WHERE n > 1 GROUP BY 1),
+c AS (SELECT g.r, list_distinct(flatten(list_transform(gone, lambda q: range(full_at[q], CASE WHEN list_contains(gone, q + 1) THEN full_at[q + 1] ELSE full_at[q] + 1 END)))) AS cut FROM g JOIN f ON f.r = g.r)
+SELECT f.doc_id, CASE WHEN g.gone IS NULL THEN f.text ELSE coalesce(array_to_string(list_filter(l, lambda x, i: NOT list_contains(c.cut, i)), chr(10)), '') END AS text, len(full_at) AS n_lines, coalesce(len(g.gone), 0) AS n_removed
+FROM f LEFT JOIN g ON g.r = f.r LEFT JOIN c ON c.r = f.r""",
     "op6_shards": f"""
 WITH d AS (SELECT doc_id, coalesce(strlen(text), 0) AS n_bytes, ('0x' || md5(coalesce(doc_id::VARCHAR, 't' || text, 't'))[1:15])::BIGINT AS bits FROM documents),
 l AS (SELECT n AS depth, bits >> (60 - n) AS prefix, sum(n_bytes)::BIGINT AS bytes, count(*) AS docs FROM d, range(0, 61) t(n) GROUP BY 1, 2),
