@@ -74,12 +74,16 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     return wrapped
 
 
-def least_hashes(rows: DataFrame, group: str, h: str, n: int, salts: int = 32) -> DataFrame:
-    """The n rows of each group with the least hash h, ties by the other columns: ranked within salts of a group first, so a group that has
-    most rows is no task of its own; tasks pass on n rows of a salt at most."""
+def least_hashes(rows: DataFrame, group: str, h: str, n: int) -> DataFrame:
+    """The n different rows of each group with the least 64-bit hash h, ties by the other columns, and their rank k.
+
+    Only rows with a hash below what about 3 n of the group's hashes are below get ranked, whatever their number; groups stay in the cluster.
+    """
+    share = F.lit(3.0 * n + 50) / F.greatest(F.approx_count_distinct(h, 0.02), F.lit(1))
+    upto = rows.groupBy(F.col(group).alias("__w_group")).agg(F.when(share < 0.9, (share * float(1 << 64) - float(1 << 63)).cast("long")).alias("__w_upto"))
+    near = rows.join(upto, F.col(group) == F.col("__w_group")).where("__w_upto is null or " + h + " <= __w_upto").select(*rows.columns).distinct()
     order = [h, *[c for c in rows.columns if c not in (group, h)]]
-    first = rows.withColumn("__w_k", F.row_number().over(Window.partitionBy(group, F.pmod(F.col(h), F.lit(salts))).orderBy(*order))).where(F.col("__w_k") <= n)
-    return first.withColumn("k", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("k") <= n).drop("__w_k")
+    return near.withColumn("k", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("k") <= n)
 
 
 def sift(rows: DataFrame, key: str, ids: DataFrame, bits: int = SIEVE_BITS) -> tuple[DataFrame, DataFrame]:

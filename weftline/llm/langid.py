@@ -2,13 +2,15 @@
 
 A document is the mean over its words of hashed features: its character trigrams with its edges, and a short word itself.
 All machines are linear, so each distinct word has one score for each machine, kept in a table; a document's scores are means of
-those rows. Words are letter runs of the whole text in lower case, so digits, symbols and mark-up don't count.
+those rows. Words are runs of letters (Unicode category L) of the whole text in lower case, so digits, numerals, symbols and mark-up
+don't count.
 
-Fitted on a bounded sample: of each known language the `per_lang` training rows (never held-out ones) with the least hash of their
-id, `sample` rows in all; only (lang, hash, doc_id) is ranked, and only so many per task leave the scan.
+Fitted on a bounded sample: of each known language the `per_lang` training ids (never held-out ones) with the least hash, `sample` in
+all; only (lang, hash, doc_id) is ranked, and the workers turn the chosen texts into counts. A model has CELLS weights at most: beyond
+(hundreds of languages) it keeps the features that weigh most.
 
 Defined results: a null text or one without a letter is `und` with score 0; so is every text where nothing could be learned. A null
-doc_id is not held out and not learned from. A language without a family in FAMILIES is a family of its own. Rows are independent
+doc_id is not held out and not learned from; of rows that repeat an id in one language the least text teaches. A language without a family in FAMILIES is a family of its own. Rows are independent
 of each other, so repeated rows get equal results; other columns are kept as they are by predict().
 """
 
@@ -18,12 +20,12 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,9 +47,11 @@ FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in code
 BITS = 18
 #: Letters up to which a word is a feature of its own.
 SHORT = 6
+#: Runs of letters, and of the numerals among which no digit is (such as fractions), which features() leaves out.
 LETTERS = re.compile(r"[^\W\d_]+")
 PER_LANG, SAMPLE = 300, 3000
-CACHE = 200_000
+#: Words, and numbers in all, that a worker keeps scores of; numbers of a model.
+CACHE, CELLS = 200_000, 1 << 23
 #: A prediction below this is a rejection: no family's machine claims the text.
 LEAST_SCORE = 0.2
 
@@ -63,10 +67,12 @@ class Grams(dict):
 
 
 def features(word: str, grams: Grams) -> list[int]:
-    """Buckets of the trigrams of a word with its edges, and of a short word itself."""
+    """Buckets of the trigrams of a word's letters with its edges, and of a short word itself; none without a letter."""
+    if not word.isalpha():
+        word = "".join(filter(str.isalpha, word))
     edged = f"<{word}>"
     out = [grams[edged[i : i + 3]] for i in range(len(word))]
-    if len(word) <= SHORT:
+    if 0 < len(word) <= SHORT:
         out.append(grams[edged])
     return out
 
@@ -77,11 +83,15 @@ def words(text: str | None) -> list[str]:
 
 @dataclass
 class Model:
-    """Columns of weights: a machine for each family (none for a single one), then one for each pair of languages of a family."""
+    """Columns of weights: a machine for each family (none for a single one), then one for each pair of languages of a family.
+
+    row: of each bucket its row of weights; row 0 is of buckets without any.
+    """
 
     families: list[str]
     langs: dict[str, list[str]]
     pairs: list[tuple[str, str]]
+    row: np.ndarray
     weights: np.ndarray
     bias: np.ndarray
 
@@ -140,77 +150,101 @@ def machine(rows: Rows, y: np.ndarray, rounds: int = 60, penalty: float = 1e-4)
 
 
 def vector(text: str | None, grams: Grams) -> tuple[np.ndarray, np.ndarray]:
-    counts = Counter(words(text))
-    total = Counter()
-    for word, n in counts.items():
-        for f in features(word, grams):
-            total[f] += n
+    """Buckets and their counts by word."""
+    total: Counter = Counter()
+    n = 0
+    for word, k in Counter(words(text)).items():
+        found = features(word, grams)
+        n += k if found else 0
+        for f in found:
+            total[f] += k
     index = np.fromiter(total.keys(), dtype=np.int64, count=len(total))
-    value = np.fromiter(total.values(), dtype=np.float64, count=len(total))
-    return index, value / max(1, sum(counts.values()))
-
-
-def learn(sample: Iterator[tuple[str, str | None]]) -> Model | None:
-    """sample: (lang, text)."""
-    docs, langs, grams = [], [], Grams()
-    for lang, text in sample:
-        x = vector(text, grams)
-        if len(x[0]):
-            docs.append(x)
-            langs.append(lang)
-    if not docs:
+    return index, np.fromiter(total.values(), dtype=np.float64, count=len(total)) / max(1, n)
+
+
+def learn(sample: Iterator[tuple[str, np.ndarray, np.ndarray]], cells: int = CELLS) -> Model | None:
+    """sample: a language and a vector."""
+    found = [(lang, (i, v)) for lang, i, v in sample if len(i)]
+    if not found:
         return None
-    scale = 4 / float(np.mean([np.sqrt((v**2).sum()) for _, v in docs]))
-    docs = [(i, v * scale) for i, v in docs]
+    langs = [x for x, _ in found]
+    scale = 4 / float(np.mean([np.sqrt((v**2).sum()) for _, (_, v) in found]))
+    docs = [(i, v * scale) for _, (i, v) in found]
     lang = np.array(langs)
     family = np.array([FAMILY_OF.get(x, x) for x in langs])
     of: dict[str, list[str]] = {f: sorted(set(lang[family == f])) for f in sorted(set(family))}
     pairs = [(a, b) for own in of.values() for i, a in enumerate(own) for b in own[i + 1 :]]
-    tasks = [(np.ones(len(docs), dtype=bool), np.where(family == f, 1.0, -1.0)) for f in of] if len(of) > 1 else []
-    tasks += [((lang == a) | (lang == b), np.where(lang == a, 1.0, -1.0)) for a, b in pairs]
-    weights, bias = np.zeros((1 << BITS, max(1, len(tasks))), dtype=np.float32), np.zeros(max(1, len(tasks)))
-    for k, (mask, y) in enumerate(tasks):
+    tasks = [(None, f) for f in of] if len(of) > 1 else []
+    tasks += pairs
+    n = max(1, len(tasks))
+    most = max(1, cells // n)  # features that are kept
+    bias, strong, total = np.zeros(n), [], np.zeros(1 << BITS)
+    for k, (a, b) in enumerate(tasks):
+        mask = np.ones(len(docs), dtype=bool) if a is None else (lang == a) | (lang == b)
         rows = Rows([docs[i] for i in np.flatnonzero(mask)])
-        w, bias[k] = machine(rows, y[mask])
-        weights[rows.names, k] = w * scale
-    return Model(list(of), of, pairs, weights, bias)
+        w, bias[k] = machine(rows, np.where(family == b if a is None else lang[mask] == a, 1.0, -1.0))
+        total[rows.names] += w * w
+        best = np.argpartition(-np.abs(w), most)[:most] if len(w) > most else np.arange(len(w))
+        strong.append((rows.names[best].astype(np.int32), (w[best] * scale).astype(np.float32)))
+    kept = np.flatnonzero(total)
+    if len(kept) > most:
+        kept = np.sort(np.argpartition(-total, most)[:most])
+    row = np.zeros(1 << BITS, dtype=np.int32)
+    row[kept] = np.arange(1, len(kept) + 1)
+    weights = np.zeros((len(kept) + 1, n), dtype=np.float32)
+    for k, (names, w) in enumerate(strong):
+        weights[row[names], k] = w
+    weights[0] = 0
+    return Model(list(of), of, pairs, row, weights, bias)
 
 
 class WordScores(dict):
-    """word -> its row in a table of scores, one for each machine."""
+    """word -> its row in a table: a score for each machine, then 1, or all 0 if it has no letter."""
 
-    def __init__(self, weights: np.ndarray):
-        self.grams, self.weights, self.table = Grams(), weights, np.empty((1 << 12, weights.shape[1]), dtype=np.float32)
+    def __init__(self, model: Model):
+        self.grams, self.model, self.table = Grams(), model, np.empty((1 << 10, model.weights.shape[1] + 1), dtype=np.float32)
 
     def __missing__(self, word: str) -> int:
         k = len(self)
         if k == len(self.table):
             self.table = np.concatenate([self.table, np.empty_like(self.table)])
-        self.table[k] = self.weights[features(word, self.grams)].sum(axis=0)
+        found = features(word, self.grams)
+        self.table[k, :-1] = self.model.weights[self.model.row[found]].sum(axis=0) if found else 0
+        self.table[k, -1] = bool(found)
         self[word] = k
         return k
 
 
+def sums(docs: list[list[str]], known: WordScores, cells: int = CELLS) -> np.ndarray:
+    """For each document the sum of its words' rows; of so many words at a time that no array has more than `cells` numbers."""
+    lengths = np.array([len(d) for d in docs], dtype=np.int64)
+    width = known.table.shape[1]
+    out, step = np.zeros((len(docs), width)), max(1, cells // width)
+    owner, flat = np.repeat(np.arange(len(docs)), lengths), chain.from_iterable(docs)
+    for at in range(0, len(owner), step):
+        if len(known) > CACHE or (len(known) + step) * width > 2 * cells:
+            known.clear()
+        own = owner[at : at + step]
+        index = np.fromiter(map(known.__getitem__, islice(flat, len(own))), dtype=np.int64, count=len(own))
+        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        out[own[first]] += np.add.reduceat(known.table[index].astype(np.float64), first, axis=0)
+    return out
+
+
 PREDICTED = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
 
 
 def scorer(model: Model | None, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordScores(model.weights) if model else None
+        known = WordScores(model) if model else None
         for batch in batches:
             for part in slices(batch, text):
                 docs = [words(t) for t in part.column(text).to_pylist()]
-                n = np.array([len(d) for d in docs])
                 langs, scores = ["und"] * len(docs), [0.0] * len(docs)
-                if model and n.sum():
-                    if len(known) > CACHE:
-                        known = WordScores(model.weights)
-                    index = np.fromiter(map(known.__getitem__, chain.from_iterable(docs)), dtype=np.int64, count=int(n.sum()))
-                    full = np.flatnonzero(n)
-                    starts = np.cumsum(n[full]) - n[full]
-                    means = np.add.reduceat(known.table[index].astype(np.float64), starts, axis=0) / n[full][:, None] + model.bias
-                    for i, m in zip(full.tolist(), means, strict=True):
-                        langs[i], scores[i] = model.decide(m)
+                if model and any(docs):
+                    found = sums(docs, known)
+                    for i in np.flatnonzero(found[:, -1]).tolist():
+                        langs[i], scores[i] = model.decide(found[i, :-1] / found[i, -1] + model.bias)
                 for (name, kind), v in zip((("lang_pred", pa.string()), ("score", pa.float64())), (langs, scores), strict=True):
                     part = part.append_column(pa.field(name, kind), pa.array(v, type=kind))
                 yield part
@@ -222,18 +256,28 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    grams = Grams()
+    for batch in batches:
+        for part in slices(batch, "text"):
+            found = [vector(t, grams) for t in part.column("text").to_pylist()]
+            made = (pa.array([i for i, _ in found], type=pa.list_(pa.int32())), pa.array([v for _, v in found], type=pa.list_(pa.float64())))
+            yield pa.RecordBatch.from_arrays([part.column("lang"), part.column("doc_id"), *made], names=["lang", "doc_id", "bucket", "share"])
+
+
 def fit(docs: DataFrame, per_lang: int = PER_LANG, sample: int = SAMPLE) -> Model | None:
     """A model from docs (doc_id, text, lang) that aren't held out."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id"))
-    keys = known.select(F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("h"), "doc_id")
-    keys = least_hashes(keys, "lang", "h", per_lang)
-    first = keys.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("k") <= per_lang)
-    chosen = [r.doc_id for r in first.orderBy("k", "lang").limit(sample).collect()]
+    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id")).select(F.col("lang").cast("string").alias("lang"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    first = least_hashes(known.select("lang", F.xxhash64("doc_id").alias("h"), "doc_id"), "lang", "h", per_lang)
+    chosen = {(r.lang, r.doc_id) for r in first.orderBy("k", "lang").limit(sample).collect()}
     if not chosen:
         return None
-    texts = known.where(F.col("doc_id").isin(chosen)).select("lang", "text", "doc_id")
-    rows = ((r.lang, r.text) for r in sorted(texts.collect(), key=lambda r: (r.doc_id, r.lang, r.text)))
-    return learn(rows)
+    texts = known.where(F.col("doc_id").isin(list({i for _, i in chosen}))).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+    found = texts.mapInArrow(lean(vectors), "lang string, doc_id long, bucket array<int>, share array<double>").toArrow()
+    lang, ids = (found.column(c).to_pylist() for c in ("lang", "doc_id"))
+    bucket, share = (found.column(c).combine_chunks() for c in ("bucket", "share"))
+    order = sorted((k for k in range(len(ids)) if (lang[k], ids[k]) in chosen), key=lambda k: (ids[k], lang[k]))
+    return learn((lang[k], np.asarray(bucket[k].values, dtype=np.int64), np.asarray(share[k].values, dtype=np.float64)) for k in order)
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -245,7 +289,8 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 def lettered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
-            yield part.filter(pa.array([bool(LETTERS.search(t or "")) for t in part.column("text").to_pylist()], type=pa.bool_()))
+            found = [any(any(map(str.isalpha, m[0])) for m in LETTERS.finditer(t or "")) for t in part.column("text").to_pylist()]
+            yield part.filter(pa.array(found, type=pa.bool_()))
 
 
 def with_letters(docs: DataFrame) -> DataFrame:

@@ -9,19 +9,18 @@ Fitted on a bounded sample: of labelled rows of each class the `per_class` with
 distinct word's weight in a table.
 
 Defined results: a null or empty text has severity 0 and isn't toxic; without toxic and clean training rows everything is 0. Labels
-without an id or a value are left out; of an id labelled twice, toxic wins. Rows are independent of each other.
+without an id or a value are left out; of an id labelled twice, toxic wins; of rows that repeat an id the least text teaches. Rows are independent of each other.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -89,12 +88,12 @@ def fit_ordinal(docs: list[np.ndarray], grades: np.ndarray, n_grades: int = GRAD
     return Model(weights, np.cumsum(np.r_[raw[0], np.exp(raw[1:])]))
 
 
-def learn(sample: list[tuple[int, np.ndarray, int]], odds: float | None = None) -> Model | None:
-    """sample: (toxic, features of the words, repeats included, number of words). odds: of toxic among all labels, where the sample's differ."""
-    toxic = np.array([t for t, _, _ in sample])
+def learn(sample: list[tuple[int, np.ndarray]], odds: float | None = None) -> Model | None:
+    """sample: toxic and the features, each once. odds: of toxic among all labels, where the sample's differ."""
+    toxic = np.array([t for t, _ in sample])
     if not len(toxic) or not (toxic == 1).any() or not (toxic == 0).any():
         return None
-    sets = [np.unique(f) for _, f, _ in sample]
+    sets = [f for _, f in sample]
     seen = [np.bincount(np.concatenate([s for s, t in zip(sets, toxic, strict=True) if t == c]), minlength=1 << BITS) / max(1, (toxic == c).sum()) for c in (0, 1)]
     n = (toxic == 1).sum()
     clean = len(toxic) - n
@@ -115,26 +114,25 @@ def learn(sample: list[tuple[int, np.ndarray, int]], odds: float | None = None)
 
 
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The features of each text, each once."""
     for batch in batches:
         for part in slices(batch, "text"):
-            rows = [[feature(w) for w in alnum_words(t)] for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("toxic"), part.column("doc_id"), pa.array(rows, type=pa.list_(pa.int32()))], names=["toxic", "doc_id", "words"])
+            rows = [sorted({feature(w) for w in set(alnum_words(t))}) for t in part.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(rows, type=pa.list_(pa.int32()))], names=["doc_id", "words"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model | None:
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("_of")).agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.withColumn("h", F.xxhash64("_of"))
-    held = least_hashes(known, "toxic", "h", per_class).withColumn("k", F.row_number().over(Window.partitionBy("toxic").orderBy("h", "_of"))).where(F.col("k") <= per_class)
-    chosen = {r["_of"]: r["toxic"] for r in held.collect()}
+    chosen = {r["_of"]: r["toxic"] for r in least_hashes(known, "toxic", "h", per_class).collect()}
     if not chosen:
         return None
     count = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
-    texts = docs.where(F.col("doc_id").isin(list(chosen))).select(F.lit(0).alias("toxic"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.mapInArrow(lean(counted), "toxic int, doc_id long, words array<int>").toArrow()
+    texts = docs.where(F.col("doc_id").isin(list(chosen))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.col("text").cast("string")).alias("text"))
+    rows = texts.mapInArrow(lean(counted), "doc_id long, words array<int>").toArrow()
     ids, words = rows.column("doc_id").to_pylist(), rows.column("words").combine_chunks()
-    sample = [(chosen[i], np.asarray(words[k].values, dtype=np.int64), len(words[k])) for k, i in enumerate(ids)]
-    order = sorted(range(len(ids)), key=lambda k: (ids[k], len(sample[k][1])))
-    return learn([sample[k] for k in order], count.get(1, 0) / max(1, count.get(0, 0)) or None)
+    sample = {i: (chosen[i], np.asarray(words[k].values, dtype=np.int64)) for k, i in enumerate(ids)}
+    return learn([sample[i] for i in sorted(sample)], count.get(1, 0) / max(1, count.get(0, 0)) or None)
 
 
 FOUND = [T.StructField("severity", T.DoubleType()), T.StructField("p_toxic", T.DoubleType()), T.StructField("grade", T.IntegerType()), T.StructField("toxic", T.BooleanType())]
