@@ -169,7 +169,7 @@ def brute_hits(text, items, width=8):
     return words, hit, found
 
 
-@pytest.mark.parametrize("shard_words, chunk", [(500_000, 1 << 25), (40, 60)])
+@pytest.mark.parametrize("shard_words, chunk", [(500_000, 4_000_000), (40, 10), (300, 40)])
 def test_decontamination_equals_brute_force(spark, make, monkeypatch, shard_words, chunk):
     """Also with shards and chunks of the benchmark so small that there are many of each."""
     monkeypatch.setattr(fmindex, "SHARD_WORDS", shard_words)
@@ -182,7 +182,7 @@ def test_decontamination_equals_brute_force(spark, make, monkeypatch, shard_word
         docs.append((100 + k, " ".join([*(word() for _ in range(5)), *own[: r.choice([7, 8, 9, 99])], "zz"])))
     docs += [(200, None), (201, ""), (202, "a, b! c"), (202, "a, b! c")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    found = fmindex.contamination(make(docs), bench, chunk_bytes=chunk)
+    found = fmindex.contamination(make(docs), bench, chunk_words=chunk)
     got = sorted(map(tuple, fmindex.report(found).collect()))
     want = []
     for i, t in docs:
@@ -191,6 +191,20 @@ def test_decontamination_equals_brute_force(spark, make, monkeypatch, shard_word
     assert got == sorted(want)
 
 
+def test_chunks_hold_every_window_once(spark):
+    r = random.Random(3)
+    items = [(k, " ".join(f"w{r.randint(0, 9)}" for _ in range(r.choice([2, 5, 8, 30])))) for k in range(40)] + [(1, "w1 w2 w3")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = {(str(i), tuple(map(fmindex.hashed, w[k : k + 8]))) for i, t in items for w in [alnum(t)] for w in [[x.encode() for x in w]] for k in range(max(0, len(w) - 8) + 1)}
+    for most in (7, 50, 10_000):
+        got = []
+        for c in fmindex.chunked(bench, 8, most):
+            assert len(c.words) <= 2 * most + 7
+            for w, (at, n) in enumerate(zip(c.at.tolist(), c.length.tolist(), strict=True)):
+                got += [(c.ids[o], tuple(c.vocabulary[c.words[at : at + n] - 1].tolist())) for o in c.owners[c.first[w] : c.first[w + 1]]]
+        assert set(got) == want and (most < 10_000 or len(got) == len(want))
+
+
 def test_index_against_scan():
     import numpy as np
 

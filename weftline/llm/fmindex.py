@@ -3,11 +3,14 @@
 A shard is what one task reads, cut at a bound of words. Its words become numbers of the benchmark's vocabulary; a word outside it
 can be in no occurrence, so each stretch of such words is one separator, and stretches between separators that are shorter than the
 shortest window are left out. Over that sequence stand a suffix array, its Burrows-Wheeler transform in a wavelet matrix, and every
-`SAMPLE`-th suffix position. Backward search narrows a range of suffixes word by word for all windows at once; each row of the
-final ranges walks back to a sampled position, which locates the occurrence; overlapping occurrences are merged into removal spans.
+`SAMPLE`-th suffix position. Backward search narrows a range of suffixes word by word for many windows at once, those whose range gets
+empty being dropped; each row of the final ranges walks back to a sampled position, which locates the occurrence; overlapping
+occurrences are merged into removal spans.
 
-Memory: a worker holds one shard and one chunk of the benchmark. A benchmark beyond `CHUNK_BYTES` is searched in several chunks, one
-pass of the workers after another, each adding its spans; no row is shuffled.
+Memory: the workers hash the benchmark's words and write them once, long items in parts that overlap. The driver reads them one after
+another and sends them to the workers in chunks of `CHUNK_WORDS` words, a part at most over it; neither it nor a worker ever holds more
+than one chunk. With several chunks the rows are numbered and written once, each chunk but the last is a pass of its own that writes
+what it finds, and the last pass joins all that; only rows with finds are shuffled.
 
 Defined results: a null or empty text has no words; a null or wordless item has no windows; rows that repeat an item_id are one item
 with the windows of all; items without an id are left out; rows of documents are treated one by one, whatever their ids.
@@ -15,23 +18,30 @@ with the windows of all; items without an id are left out; rows of documents are
 
 from __future__ import annotations
 
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import alnum_words, lean, slices
+from .common import alnum_words, lean, materialize, sift, slices
 
 #: Words of the text that make a shard, before those outside the vocabulary go.
 SHARD_WORDS = 500_000
 #: Every so many places of the sequence the suffix array is kept.
 SAMPLE = 8
-#: Text of benchmark items searched in one pass.
-CHUNK_BYTES = 32 << 20
+#: Words of benchmark items searched in one pass, and windows searched at a time.
+CHUNK_WORDS, BLOCK = 4_000_000, 100_000
 WINDOW = 8
+#: Distinct words whose numbers a worker remembers.
+CACHE = 300_000
 
 
 class WaveletMatrix:
@@ -97,9 +107,11 @@ class FMIndex:
     def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """patterns: one in a row. The range of suffixes that start with each."""
         low, high = np.zeros(len(patterns), dtype=np.int64), np.full(len(patterns), self.n, dtype=np.int64)
+        left = np.arange(len(patterns))
         for k in range(patterns.shape[1] - 1, -1, -1):
-            c = patterns[:, k]
-            low, high = self.before[c] + self.wavelet.rank(c, low), self.before[c] + self.wavelet.rank(c, high)
+            c = patterns[left, k]
+            low[left], high[left] = self.before[c] + self.wavelet.rank(c, low[left]), self.before[c] + self.wavelet.rank(c, high[left])
+            left = left[high[left] > low[left]]
         return low, np.maximum(low, high)
 
     def locate(self, rows: np.ndarray) -> np.ndarray:
@@ -116,68 +128,125 @@ class FMIndex:
         return out
 
 
-class Windows:
-    """What is searched for: the distinct windows of the items, by length, in numbers of their own vocabulary."""
-
-    def __init__(self, items: list[tuple[str, str | None]], width: int = WINDOW):
-        owners: dict[tuple[bytes, ...], set[str]] = {}
-        for item, text in items:
-            words = alnum_words(text)
-            for i in range(max(0, len(words) - width) + 1 if words else 0):
-                owners.setdefault(tuple(words[i : i + width]), set()).add(item)
-        self.vocabulary = {w: i + 1 for i, w in enumerate(sorted({w for x in owners for w in x}))}
-        self.shortest = min(map(len, owners), default=0)
-        self.by_length: list[tuple[int, np.ndarray, list[list[str]]]] = []
-        for n in sorted({len(x) for x in owners}):
-            own = sorted(x for x in owners if len(x) == n)
-            self.by_length.append((n, np.array([[self.vocabulary[w] for w in x] for x in own], dtype=np.int64), [sorted(owners[x]) for x in own]))
-
-
-def find(docs: list[list[bytes]], windows: Windows) -> list[tuple[list[tuple[int, int]], set[str]]]:
+def hashed(word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word)
+
+
+@dataclass
+class Chunk:
+    """Windows to search for. vocabulary: sorted 64-bit hashes of their words; words: numbers of the words (from 1) of all parts of items,
+    one after another; at, length: a distinct window each; owners[first[w]:first[w + 1]]: the items (places in ids) of window w."""
+
+    vocabulary: np.ndarray
+    words: np.ndarray
+    at: np.ndarray
+    length: np.ndarray
+    first: np.ndarray
+    owners: np.ndarray
+    ids: list[str]
+
+    @classmethod
+    def of(cls, parts: list[tuple[str, np.ndarray]], width: int) -> Chunk:
+        """parts: an item's id and hashes of words one after another."""
+        ids = sorted({i for i, _ in parts})
+        number = {x: k for k, x in enumerate(ids)}
+        words = np.concatenate([w for _, w in parts]) if parts else np.zeros(0, dtype=np.uint64)
+        sizes = np.array([len(w) for _, w in parts], dtype=np.int64)
+        start = np.cumsum(sizes) - sizes
+        length = np.minimum(sizes, width)
+        counts = sizes - length + 1
+        at = np.repeat(start - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+        own, length = np.repeat(np.array([number[i] for i, _ in parts], dtype=np.int32), counts), np.repeat(length, counts)
+        key = length.astype(np.uint64)
+        for k in range(width):
+            key = np.where(length > k, mixed(key ^ words[np.minimum(at + k, len(words) - 1)]), key) if len(at) else key
+        order = np.lexsort((own, key))
+        key, own = key[order], own[order]
+        fresh = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, dtype=bool)
+        other = fresh | np.r_[True, own[1:] != own[:-1]] if len(key) else fresh
+        first = np.r_[np.flatnonzero(fresh[other]), other.sum()]
+        vocabulary, symbols = np.unique(words, return_inverse=True)
+        pick = order[fresh]
+        return cls(vocabulary, (symbols + 1).astype(np.int32), at[pick].astype(np.int32), length[pick].astype(np.int8), first.astype(np.int32), own[other], ids)
+
+    @property
+    def shortest(self) -> int:
+        return int(self.length.min(initial=127)) if len(self.length) else 0
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    for _ in range(2):
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+class Numbers(dict):
+    """word -> its number in a vocabulary, 0 outside."""
+
+    def __init__(self, vocabulary: np.ndarray):
+        self.sorted = array("Q", vocabulary.tobytes())
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > CACHE:
+            self.clear()
+        h = hashed(word)
+        k = bisect_left(self.sorted, h)
+        value = self[word] = k + 1 if k < len(self.sorted) and self.sorted[k] == h else 0
+        return value
+
+
+def find(docs: list[list[bytes]], chunk: Chunk, known: Numbers) -> list[tuple[list[tuple[int, int]], set[str]]]:
     """For each document the merged spans of word places (from, to) that are hit, and the items found."""
     lengths = np.array([len(d) for d in docs], dtype=np.int64)
     spans: list[list[tuple[int, int]]] = [[] for _ in docs]
     items: list[set[str]] = [set() for _ in docs]
-    if windows.shortest and lengths.sum():
-        number = windows.vocabulary.get
-        # each document ends with a separator; places: of each number in its document
-        code = np.fromiter((number(w, 0) for d in docs for w in (*d, b"")), dtype=np.int64, count=int(lengths.sum()) + len(docs))
-        doc = np.repeat(np.arange(len(docs)), lengths + 1)
-        place = np.arange(len(code)) - np.repeat(np.cumsum(lengths + 1) - lengths - 1, lengths + 1)
-        word = code > 0
-        edge = np.flatnonzero(np.diff(np.r_[False, word, False].astype(np.int8)))
-        start, end = edge[::2], edge[1::2]
-        long_ = end - start >= windows.shortest
-        start, end = start[long_], end[long_]
-        if len(start):
-            # the stretches one after another, a separator before each and one at the end
-            size = end - start + 1
-            at = np.repeat(start - 1 - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            head = np.cumsum(size) - size
-            seq = code[np.maximum(at, 0)]
-            seq[head] = 0
-            seq = np.r_[seq, 0]
-            index = FMIndex(seq, len(windows.vocabulary) + 1)
-            hit_doc, hit_from, hit_to = [], [], []
-            for n, patterns, owners in windows.by_length:
-                low, high = index.search(patterns)
+    if not chunk.shortest or not lengths.sum():
+        return list(zip(spans, items, strict=True))
+    # each document ends with a separator; places: of each number in its document
+    code = np.zeros(int(lengths.sum()) + len(docs), dtype=np.int64)
+    text = np.ones(len(code), dtype=bool)
+    text[np.cumsum(lengths + 1) - 1] = False
+    code[text] = np.fromiter(map(known.__getitem__, chain.from_iterable(docs)), dtype=np.int64, count=int(lengths.sum()))
+    doc = np.repeat(np.arange(len(docs)), lengths + 1)
+    place = np.arange(len(code)) - np.repeat(np.cumsum(lengths + 1) - lengths - 1, lengths + 1)
+    edge = np.flatnonzero(np.diff(np.r_[False, code > 0, False].astype(np.int8)))
+    start, end = edge[::2], edge[1::2]
+    long_ = end - start >= chunk.shortest
+    start, end = start[long_], end[long_]
+    if len(start):
+        # the stretches one after another, a separator before each and one at the end
+        size = end - start + 1
+        at = np.repeat(start - 1 - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        seq = code[np.maximum(at, 0)]
+        seq[np.cumsum(size) - size] = 0
+        # numbers of the words that the shard has; windows with another word can't occur
+        present, seq = np.unique(np.r_[seq, 0], return_inverse=True)
+        local = np.zeros(len(chunk.vocabulary) + 1, dtype=np.int32)
+        local[present] = np.arange(len(present))
+        words = local[chunk.words]
+        absent = np.r_[0, np.cumsum(words == 0, dtype=np.int32)]
+        may = absent[chunk.at + chunk.length] == absent[chunk.at]
+        index = FMIndex(seq.astype(np.int64), len(present))
+        hits: list[tuple[np.ndarray, ...]] = []
+        for n in np.unique(chunk.length[may]).tolist():
+            own = np.flatnonzero(may & (chunk.length == n))
+            for k in range(0, len(own), BLOCK):
+                which = own[k : k + BLOCK]
+                low, high = index.search(words[chunk.at[which][:, None] + np.arange(n)].astype(np.int64))
                 count = high - low
-                which = np.repeat(np.arange(len(patterns)), count)
                 rows = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
                 where = at[index.locate(rows)]
-                hit_doc.append(doc[where])
-                hit_from.append(place[where])
-                hit_to.append(place[where] + n)
-                for d, w in set(zip(doc[where].tolist(), which.tolist(), strict=True)):
-                    items[d].update(owners[w])
-            who, a, b = map(np.concatenate, (hit_doc, hit_from, hit_to))
-            order = np.lexsort((a, who))
-            for d, x, y in zip(who[order].tolist(), a[order].tolist(), b[order].tolist(), strict=True):
-                own = spans[d]
-                if own and x <= own[-1][1]:
-                    own[-1] = (own[-1][0], max(own[-1][1], y))
-                else:
-                    own.append((x, y))
+                hits.append((doc[where], place[where], place[where] + n, np.repeat(which, count)))
+        who, a, b, window = (np.concatenate(x) if hits else np.zeros(0, dtype=np.int64) for x in (list(zip(*hits, strict=True)) or [()] * 4))
+        for d, w in np.unique(np.stack([who, window], axis=1), axis=0).tolist() if len(who) else ():
+            items[d].update(chunk.ids[o] for o in chunk.owners[chunk.first[w] : chunk.first[w + 1]].tolist())
+        order = np.lexsort((a, who))
+        for d, x, y in zip(who[order].tolist(), a[order].tolist(), b[order].tolist(), strict=True):
+            own = spans[d]
+            if own and x <= own[-1][1]:
+                own[-1] = (own[-1][0], max(own[-1][1], y))
+            else:
+                own.append((x, y))
     return list(zip(spans, items, strict=True))
 
 
@@ -196,21 +265,27 @@ FOUND = (("n_words", pa.int64()), ("spans", SPAN), ("items", pa.list_(pa.string(
 FOUND_SPARK = [T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("items", T.ArrayType(T.StringType()))]
 
 
-def search(windows: Windows, text: str, again: bool):
-    """For mapInArrow: adds n_words, spans and items to each row; again: joins what an earlier pass has found."""
+def search(chunk, text: str, sparse: bool = False):
+    """For mapInArrow: adds n_words, spans and items to each row, with those of an earlier pass if there are any; sparse: only the row
+    numbers, spans and items of rows in which something is found. chunk: broadcast."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, docs, words = [], [], 0
+        own = chunk.value
+        known = Numbers(own.vocabulary)
 
         def flush() -> Iterator[pa.RecordBatch]:
-            found = find(docs, windows)
+            found = find(docs, own, known)
             rows = pa.Table.from_batches(held)
-            if again:
-                found = [(merged([*spans, *((s["first"], s["end"]) for s in old)]), items | set(other)) for (spans, items), old, other in zip(found, rows.column("spans").to_pylist(), rows.column("items").to_pylist(), strict=True)]
-                rows = rows.drop_columns([n for n, _ in FOUND])
+            if "__w_spans" in rows.column_names:
+                before = zip(*(rows.column(c).to_pylist() for c in ("__w_spans", "__w_items")), strict=True)
+                found = [(merged([*spans, *((s["first"], s["end"]) for s in old or ())]), items | set(other or ())) for (spans, items), (old, other) in zip(found, before, strict=True)]
+                rows = rows.drop_columns(["__w_spans", "__w_items"])
             values = ([len(d) for d in docs], [[{"first": a, "end": b} for a, b in s] for s, _ in found], [sorted(i) for _, i in found])
             for (name, kind), v in zip(FOUND, values, strict=True):
                 rows = rows.append_column(pa.field(name, kind), pa.array(v, type=kind))
+            if sparse:
+                rows = rows.filter(pa.array([bool(i) for _, i in found], type=pa.bool_())).select(["__w_row", "spans", "items"])
             yield from rows.combine_chunks().to_batches()
 
         for batch in batches:
@@ -228,19 +303,60 @@ def search(windows: Windows, text: str, again: bool):
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """docs (any columns, with text) and n_words, spans (merged word places hit) and items (ids found)."""
+def parted(width: int, most: int):
+    """For mapInArrow over (item_id, text): hashes of the item's words as bytes, in parts of `most` windows that overlap by a window but a word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                ids, rows = [], []
+                for i, t in zip(part.column("item_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+                    words = alnum_words(t)
+                    h = np.fromiter(map(hashed, words), dtype=np.uint64, count=len(words))
+                    for k in range(0, max(0, len(h) - width) + 1 if len(h) else 0, most):
+                        ids.append(i)
+                        rows.append(h[k : k + most + width - 1].tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(ids, type=pa.string()), pa.array(rows, type=pa.binary())], names=["item_id", "words"])
+
+    return run
+
+
+def chunked(benchmark: DataFrame, width: int, most: int) -> Iterator[Chunk]:
+    """The benchmark's windows, `most` words at a time; a chunk without any if there are none."""
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = int(size // chunk_bytes) + 1
-    names = [n for n, _ in FOUND]
-    own = docs.drop(*names)
-    out = own
-    for k in range(chunks):  # each holds about chunk_bytes
-        part = items if chunks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(chunks)) == k)
-        windows = Windows([(r.item_id, r.text) for r in part.toLocalIterator()], width)
-        out = out.mapInArrow(lean(search(windows, "text", k > 0)), T.StructType([*own.schema.fields, *FOUND_SPARK]))
-    return out
+    parts = materialize(items.mapInArrow(lean(parted(width, most)), "item_id string, words binary"), "windows")
+    held, words, any_ = [], 0, False
+    for r in parts.toLocalIterator():
+        held.append((r["item_id"], np.frombuffer(r["words"], dtype=np.uint64)))
+        words += len(held[-1][1])
+        if words >= most:
+            yield Chunk.of(held, width)
+            held, words, any_ = [], 0, True
+    if held or not any_:
+        yield Chunk.of(held, width)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, chunk_words: int = CHUNK_WORDS) -> DataFrame:
+    """docs (any columns, with text) and n_words, spans (merged word places hit) and items (ids found)."""
+    spark = docs.sparkSession
+    own = docs.drop(*[n for n, _ in FOUND])
+    out = T.StructType([*own.schema.fields, *FOUND_SPARK])
+    rows, before = own, None
+    chunks = chunked(benchmark, width, chunk_words)
+    chunk = next(chunks)
+    for after in chunks:  # this one isn't the last
+        if before is None:
+            rows = materialize(own.withColumn("__w_row", F.monotonically_increasing_id()), "rows")
+        sent = spark.sparkContext.broadcast(chunk)
+        hits = materialize(rows.select("__w_row", "text").mapInArrow(lean(search(sent, "text", True)), T.StructType([T.StructField("__w_row", T.LongType()), *FOUND_SPARK[1:]])), "hits")
+        sent.destroy()
+        before, chunk = hits if before is None else before.unionByName(hits), after
+    if before is not None:
+        before = materialize(before.groupBy(F.col("__w_row").alias("__w_of")).agg(F.flatten(F.collect_list("spans")).alias("__w_spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("__w_items")), "hits")
+        may, rest = sift(rows, "__w_row", before.select("__w_of"))
+        may = may.join(before.hint("merge"), F.col("__w_row") == F.col("__w_of"), "left").drop("__w_of")
+        rows = may.unionByName(rest, allowMissingColumns=True).drop("__w_row")
+    return rows.mapInArrow(lean(search(spark.sparkContext.broadcast(chunk), "text")), out)
 
 
 def report(found: DataFrame) -> DataFrame:
