@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import gen_queries as gen_queries
+from . import hash_sql as X
 from .functions import draws as D
 from .functions import hashing as H
 from .functions.names import jaro_winkler, stem
@@ -15,12 +17,11 @@ from .operators import constraints as C
 from .operators import discover, integrity, profile
 from .operators.generate import adjust, fit_text, shard_ranges, unique_text
 from .plans import depgraph, infer
+from .registry import QUERIES as QUERIES
+from .registry import SQL, query, t
 from .sources.text import csv_line, insert_literal
 from .spec import Relation
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
 # Keys and references of the star schema.
 KEYS = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey"}
 RELATIONS = [
@@ -35,21 +36,6 @@ RELATIONS = [
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-def query(sql: str | None = None, name: str | None = None):
-    def add(f):
-        key = name or f.__name__
-        QUERIES[key] = f
-        if sql:
-            SQL[key] = sql.strip()
-        return f
-
-    return add
-
-
-def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def report_sql(table: str, rules: dict[str, str]) -> str:
     """The SQL twin of constraints.report(): conditions under which each rule is broken."""
     every = {**rules, "*": " OR ".join(f"coalesce({c}, false)" for c in rules.values())}
@@ -361,7 +347,6 @@ def b_existing(spark, sf_dir):
 
 # Generation, with hashes that both engines can compute.
 FNV_SQL = "list_reduce(list_transform(string_split({s}, ''), lambda c: ord(c)::BIGINT), lambda h, c: (xor(h, c) * 16777619) & 4294967295, 2166136261)"
-UNIFORM_SQL = FNV_SQL + " / 4294967296.0::DOUBLE"
 
 
 def uuid_sql(base: str) -> str:
@@ -375,12 +360,12 @@ def g_fnv1a(spark, sf_dir):
 
 
 @query(f"SELECT s_suppkey, d[1:8] || '-' || d[9:12] || '-' || d[13:16] || '-' || d[17:20] || '-' || d[21:32] AS uuid FROM (SELECT s_suppkey, {uuid_sql("('supplier_' || s_suppkey || '_42')")} AS d FROM supplier)")
-def g_uuid(spark, sf_dir):
+def g_fnv_uuid(spark, sf_dir):
     return t(spark, sf_dir, "supplier").select("s_suppkey", H.fnv_uuid(H.joined("supplier", F.col("s_suppkey"), 42)).alias("uuid"))
 
 
 @query(f"SELECT s_suppkey, {uuid_sql("('supplier_' || s_suppkey || '_42')")}[1:24] AS object_id FROM supplier")
-def g_objectid(spark, sf_dir):
+def g_fnv_objectid(spark, sf_dir):
     return t(spark, sf_dir, "supplier").select("s_suppkey", H.fnv_object_id(H.joined("supplier", F.col("s_suppkey"), 42)).alias("object_id"))
 
 
@@ -404,11 +389,11 @@ def gen(spark, sf_dir):
 
 
 def u_sql(field: str, draw: int = 0) -> str:
-    return UNIFORM_SQL.format(s=f"'42_orders_{field}_' || o_orderkey || '_{draw}'")
+    return X.uniform(42, "orders", field, "o_orderkey", draw)
 
 
 def u(field: str, draw: int = 0):
-    return H.fnv_uniform(42, "orders", field, F.col("id"), draw)
+    return H.uniform(42, "orders", field, F.col("id"), draw=draw)
 
 
 @query(f"""
@@ -456,16 +441,6 @@ def g_text(spark, sf_dir):
     return df.select("c_custkey", unique_text(F.col("c_name"), F.col("c_custkey"), 12).alias("name"), mail.alias("mail"), fit_text(F.col("c_mktsegment"), 16, 16).alias("padded"))
 
 
-@query(f"""
-WITH k AS (SELECT o_orderkey AS id, floor(({u_sql("n_tags")}) * 3.0)::INT + 1 AS n FROM orders), d AS (SELECT id, n, unnest(range(n)) AS j FROM k)
-SELECT DISTINCT id, floor(({UNIFORM_SQL.format(s="'42_orders_tag_' || id || '_' || j")}) * 25.0)::BIGINT + 1 AS tag_id FROM d
-""")
-def g_m2n(spark, sf_dir):
-    n = D.integer(u("n_tags"), 1, 3).cast("int")
-    picks = F.array_distinct(F.transform(F.sequence(F.lit(0), n - 1), lambda j: D.integer(H.fnv_uniform(42, "orders", "tag", F.col("id"), j), 1, 25)))
-    return gen(spark, sf_dir).select("id", F.explode(picks).alias("tag_id"))
-
-
 # Text forms of rows.
 @query("""
 SELECT doc_id, CASE WHEN regexp_matches(text, '[,"\n\r]') THEN '"' || replace(text, '"', '""') || '"' ELSE text END || ',' || lang || ',' || n_chars AS line FROM documents
