@@ -50,12 +50,41 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Folders written by materialize() that haven't been deleted.
+_written: list[str] = []
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes df once to the shared folder and reads it back: lineage ends there, and a lost executor costs nothing but its own tasks."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _written.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def free(*tables: DataFrame) -> None:
+    """Deletes tables of materialize() that no later job reads."""
+    for t in tables:
+        delete(t.sparkSession, t.written_at)
+        _written.remove(t.written_at)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what materialize() has written meanwhile: for results that have been written themselves by then."""
+    first = len(_written)
+    yield
+    for path in _written[first:]:
+        delete(spark, path)
+    del _written[first:]
 
 
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
@@ -95,7 +124,7 @@ def sift(rows: DataFrame, key: str, ids: DataFrame, bits: int = SIEVE_BITS) -> t
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
     at = place(F.col(ids.columns[0]).cast("long"))
     words = ids.select(F.shiftright(at, 6).alias("__w_word"), (at % 64).cast("int").alias("__w_bit")).groupBy("__w_word").agg(F.bit_or(F.expr("shiftleft(1L, __w_bit)")).alias("__w_mask"))
-    words = materialize(words, "sieve")
+    words = materialize(words, "sieve")  # a proven bound: bits / 64 rows of two longs
     own = rows.withColumn("__w_at", place(F.col(key).cast("long"))).join(F.broadcast(words), F.shiftright("__w_at", 6) == F.col("__w_word"), "left")
     may = F.coalesce(F.expr("shiftright(__w_mask, cast(__w_at % 64 as int)) & 1L") == 1, F.lit(False))
     return tuple(own.where(x).select(*rows.columns) for x in (may, ~may))

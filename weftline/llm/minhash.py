@@ -4,7 +4,7 @@ Signatures: every coordinate comes from the same two permutations of the 32-bit
 second, read from a place that moves on by one with each coordinate, ranks them; so K coordinates need two permutations, not K.
 Candidates: documents that agree in all rows of a band. Documents with equal shingle sets count as one from the start, so that
 thousands of copies cost one row. Confirmation: the candidates that hang together are brought together once, with whole texts,
-and compared on their full sets of 64-bit shingle hashes. What hangs together in too large a group for one task is compared
+and compared on their full sets of 64-bit shingle hashes; other texts aren't shuffled, but for a few that a sieve lets through. What hangs together in too large a group for one task is compared
 bucket by bucket, in pairs of blocks of bounded size, so nothing is left out and no task grows with the data.
 
 Defined results: a null or empty text has no shingles and is linked with nothing; one of fewer than `width` words has its whole
@@ -24,12 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lean, materialize, plain_words, slices
+from .common import free, lean, materialize, plain_words, sift, slices
 
 #: 36 bands of 5 rows: two documents that share 80 % of their shingles miss each other with a chance below 1e-6.
 BANDS, ROWS = 36, 5
 #: A group up to these sizes is compared in one task; a larger one in pairs of blocks.
 GROUP_DOCS, GROUP_SHINGLES = 4000, 4_000_000
+#: Ids that have so large a share of all links are few enough to be broadcast.
+HUBS = 500
 #: Distinct words whose hashes a worker remembers.
 CACHE = 300_000
 
@@ -144,7 +146,8 @@ def sign(width: int, bands: int, rows: int):
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
     """How many elements each pair of sets shares, from the elements that occur at least twice."""
     n = len(sets)
-    out = np.zeros((n, n), dtype=np.float32)
+    kind = np.float32 if max(map(len, sets), default=0) < 1 << 24 else np.float64  # the counts stay exact
+    out = np.zeros((n, n), dtype=kind)
     owner = np.repeat(np.arange(n), [len(s) for s in sets])
     values = np.concatenate(sets)
     order = np.argsort(values, kind="stable")
@@ -158,13 +161,13 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
             who = owner[at[:, None] + np.arange(d)]
             for i in range(d):
                 for j in range(i + 1, d):
-                    flat += np.bincount(who[:, i] * n + who[:, j], minlength=n * n).astype(np.float32) if n < 256 else 0
+                    flat += np.bincount(who[:, i] * n + who[:, j], minlength=n * n).astype(kind) if n < 256 else 0
                     if n >= 256:
                         np.add.at(flat, who[:, i] * n + who[:, j], 1)
     many = np.flatnonzero(held > 6)
     for a in range(0, len(many), 2048):  # many owners: a product of incidence matrices
         some = many[a : a + 2048]
-        seen = np.zeros((n, len(some)), dtype=np.float32)
+        seen = np.zeros((n, len(some)), dtype=kind)
         seen[owner[np.concatenate([np.arange(first[c], first[c] + held[c]) for c in some])], np.repeat(np.arange(len(some)), held[some])] = 1
         out += np.triu(seen @ seen.T, 1)
     return out
@@ -199,7 +202,7 @@ def confirm(width: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
-        key, ids, sets = None, [], []
+        key, ids, sets, seen = None, [], [], set()
 
         def flush() -> Iterator[pa.RecordBatch]:
             if len(ids) > 1:
@@ -218,9 +221,13 @@ def confirm(width: int, percent: int):
                 for i, (k, doc) in enumerate(zip(keys, part.column("doc_id").to_pylist(), strict=True)):
                     if k != key:
                         yield from flush()
-                        key, ids, sets = k, [], []
-                    ids.append(doc)
-                    sets.append(own_set(h[ends[i] - counts[i] : ends[i]]))
+                        key, ids, sets, seen = k, [], [], set()
+                    own = own_set(h[ends[i] - counts[i] : ends[i]])
+                    same = doc, xxhash.xxh3_128_digest(own.tobytes())
+                    if same not in seen:  # rows that repeat a document
+                        seen.add(same)
+                        ids.append(doc)
+                        sets.append(own)
         yield from flush()
 
     return run
@@ -229,15 +236,19 @@ def confirm(width: int, percent: int):
 def components(links: DataFrame) -> DataFrame:
     """(id, component) of every id in links (a, b): large-star and small-star in turn, until nothing changes.
 
-    Each turn needs memory for no group: a star is a minimum and a join back.
+    Each turn needs memory for no group: a star is a minimum and a join back. Ids with most links meet their minimum by a broadcast: they
+    have over `most` links, of which there are no more than 2 * HUBS * most, so they are 2 * HUBS at most; no other key fills a task.
     """
 
-    def star(pairs: DataFrame, small: bool) -> DataFrame:
+    def star(pairs: DataFrame, small: bool, most: int) -> DataFrame:
         both = pairs.where("a <> b").select("a", "b") if small else pairs.where("a <> b").select("a", "b").union(pairs.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b")))
         if small:  # each edge once, from the larger end
             both = both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("c"), F.least("a", "m").alias("m"))
-        out = both.join(least, F.col("a") == F.col("c"))
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select(F.col("a").alias("c"), F.least("a", "m").alias("m"), "n")
+        hubs = F.broadcast(least.where(F.col("n") > most).select("c", "m"))
+        same = F.col("a") == F.col("c")
+        others = both.join(hubs.select(F.col("c").alias("hub")), F.col("a") == F.col("hub"), "left_anti").join(least.where(F.col("n") <= most).select("c", "m").hint("merge"), same)
+        out = both.join(hubs, same).unionByName(others)
         out = out.select(F.col("b").alias("a"), F.col("m").alias("b")) if small else out.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         if small:
             out = out.union(least.select(F.col("c").alias("a"), F.col("m").alias("b")))
@@ -249,10 +260,12 @@ def components(links: DataFrame) -> DataFrame:
     pairs = materialize(links.select("a", "b").where("a <> b").distinct(), "links")
     seen = state(pairs)
     while True:
-        pairs = materialize(star(star(pairs, False), True), "links")
+        before, most = pairs, max(200, seen[0] // HUBS)
+        pairs = materialize(star(star(pairs, False, most), True, most), "links")
+        free(before)
         now = state(pairs)
         if now == seen:
-            return pairs.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component")).union(pairs.select("b", "b").distinct().toDF("id", "component"))
+            return materialize(pairs.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component")).union(pairs.select("b", "b").distinct().toDF("id", "component")), "components")
         seen = now
 
 
@@ -266,8 +279,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, bands: i
     held = sets.select("rep", "size", F.posexplode("bands").alias("band", "hash"))
     buckets = held.groupBy("band", "hash").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1")
     members = materialize(held.join(buckets, ["band", "hash"]).select("rep", "size", "band", "hash", "least", "n"), "members")
-    whole = components(members.select(F.col("rep").alias("a"), F.col("least").alias("b")))
-    whole = materialize(whole.join(sets.groupBy("rep").agg(F.sum("size").alias("size")), F.col("id") == F.col("rep")).select("id", "component", "size"), "whole")
+    hanging = components(members.select(F.col("rep").alias("a"), F.col("least").alias("b")))
+    whole = materialize(hanging.join(sets.groupBy("rep").agg(F.sum("size").alias("size")), F.col("id") == F.col("rep")).select("id", "component", "size"), "whole")
     sizes = whole.groupBy("component").agg(F.count("*").alias("docs"), F.sum("size").alias("shingles"))
     fits = (F.col("docs") <= group_docs) & (F.col("shingles") <= group_shingles)
     none = F.lit(-1).cast("long")
@@ -275,15 +288,15 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, bands: i
     large = sizes.where(~fits).select("component")
     if not large.isEmpty():
         tasks = tasks.union(block_tasks(members, whole.join(large, "component").select("id"), group_docs // 2, group_shingles // 2))
-    # every set of a document that is a candidate, whole texts: repeated rows and copies are left out by (rep, set)
-    reps = signed.join(sets.select("set_hi", "set_lo", "rep"), ["set_hi", "set_lo"]).where("doc_id = rep").select("doc_id").distinct()
-    wanted = tasks.join(reps, F.col("id") == F.col("doc_id"), "left_semi")
-    # always by shuffle: the ids grow with the input, so a broadcast of them would hold for small inputs only
-    bodies = text.where("doc_id is not null").join(wanted.hint("merge"), F.col("doc_id") == F.col("id")).select("doc_id", "text", "g1", "g2", "g3", "g4")
+    tasks = materialize(tasks, "tasks")
+    # every set of a document that is a candidate, whole texts; few documents are, and the sieve keeps the others' texts out of the shuffle
+    may, _ = sift(text.where("doc_id is not null"), "doc_id", tasks.select("id"))
+    bodies = may.join(tasks.hint("merge"), F.col("doc_id") == F.col("id")).select("doc_id", "text", "g1", "g2", "g3", "g4")
     keys = ["g1", "g2", "g3", "g4"]
     links = bodies.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lean(confirm(width, percent)), LINKS)
     same = signed.where("doc_id is not null and n_shingles > 0").join(sets.where("rep <> last").select("set_hi", "set_lo", "rep"), ["set_hi", "set_lo"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     found = components(links.union(same))
+    free(sets, members, hanging, whole, tasks)
     out = signed.select("doc_id", "n_shingles").join(found, F.col("doc_id") == F.col("id"), "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
