@@ -165,7 +165,7 @@ def custom(rule_name: str, name: str, broken: Column, **more) -> Rule:
 
 
 def from_table(table: Table) -> list[Rule]:
-    """The rules that a schema's fields imply, but for uniqueness and null rates."""
+    """The rules that a schema's fields imply row by row. table_report() adds those over whole columns."""
     out: list[Rule] = []
     for f in table.fields:
         c = f.constraints
@@ -186,6 +186,11 @@ def from_table(table: Table) -> list[Rule]:
         for other, op in ((c.gtColumn, "gt"), (c.ltColumn, "lt"), (c.minColumn, "gte"), (c.maxColumn, "lte")):
             if other and table.field(other):
                 out.append(compare(f.name, op, other))
+        if c.unique and not f.primaryKey:
+            out.append(custom(f"unique_set:{f.name}", f.name, F.col(f.name).isNull(), message=f"{f.name} must be set, as it must be unique", retryable=False))
+        others = [o for o in c.mutuallyExclusive or () if table.field(o)]
+        if others:
+            out.append(mutually_exclusive(f.name, others))
         if c.startDate:
             out.append(temporal(f.name, "after", F.lit(c.startDate).cast("timestamp") - F.expr("interval 1 microsecond")))
         if c.endDate:
@@ -193,6 +198,28 @@ def from_table(table: Table) -> list[Rule]:
     return out
 
 
+def table_report(df: DataFrame, table: Table) -> DataFrame:
+    """rule, checked, violations of all that a schema says of a table: its fields' rules, its keys and unique fields, and null shares (violations
+    1 where a field has more nulls than nullPercentage allows, by three standard errors)."""
+    from .integrity import null_rates, unique_rules
+
+    out = report(df, from_table(table))
+    keys = [f.name for f in table.keys()]
+    single = [f.name for f in table.fields if f.constraints.unique or keys == [f.name]]
+    if single:
+        out = out.unionByName(unique_rules(df, single))
+    if len(keys) > 1:
+        name = "+".join(keys)
+        out = out.unionByName(unique_rules(df.select(F.when(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]), F.to_json(F.struct(*keys))).alias(name)), [name]))
+    shares = {f.name: f.constraints.nullPercentage / 100 for f in table.fields if f.constraints.nullPercentage is not None and not f.required and not f.primaryKey}
+    if shares:
+        most = F.element_at(F.create_map(*[F.lit(x) for kv in shares.items() for x in kv]), F.col("field"))
+        rates = null_rates(df, list(shares), 1.0)
+        over = F.col("rate") > most + 3 * F.sqrt(most * (1 - most) / F.greatest(F.col("n_rows"), F.lit(1)))
+        out = out.unionByName(rates.select(F.concat(F.lit("null_rate:"), "field").alias("rule"), F.col("n_rows").alias("checked"), F.coalesce(over, F.lit(False)).cast("long").alias("violations")))
+    return out
+
+
 @dataclass
 class Registry:
     """Named rules, strictest priority first. mode: strict (raise), warn, skip (drop broken rows) or retry (correct them)."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,54 +45,104 @@ def candidates(tables: dict[str, DataFrame], keys: dict[str, str], unique: set[t
     return out
 
 
+def typed(c: Column, kind: T.DataType) -> Column:
+    """A value as a number if it is a whole one of a numeric type, else as text; both null if it is null."""
+    none = F.lit(None)
+    if isinstance(kind, T.IntegralType):
+        return F.struct(c.cast("bigint").alias("number"), none.cast("string").alias("text"))
+    if isinstance(kind, T.NumericType):
+        number = c.try_cast("bigint")
+        same = F.coalesce(number == c, F.lit(False))
+        return F.struct(F.when(same, number).alias("number"), F.when(~same, c.cast("string")).alias("text"))
+    return F.struct(none.cast("bigint").alias("number"), c.cast("string").alias("text"))
+
+
+def tagged(kind: T.DataType, field: int | None, key: int | None):
+    return lambda v: F.struct(typed(v, kind).alias("value"), F.lit(field).cast("int").alias("field"), F.lit(key).cast("int").alias("key"))
+
+
 def overlap(tables: dict[str, DataFrame], pairs: list[Candidate]) -> DataFrame:
     """child, field, parent, n_valid, n_matched, n_distinct, n_keys, accuracy and coverage for each candidate.
 
-    A child's columns are unpivoted once and counted by value, so one join against all keys answers every pair; a value that
-    fills half a column meets the keys as a single row.
+    Each table is scanned once: its columns and keys are unpivoted and counted by value before one shuffle by value, in which a value that
+    fills half a column is a single row. There the columns and the keys that have a value meet, as two lists no longer than the list of
+    pairs, and the counts of every pair are sums over them.
     """
-    values = keys = None
-    for child in dict.fromkeys(p.child for p in pairs):
-        own = dict.fromkeys((p.column, p.is_array) for p in pairs if p.child == child)
-        df = tables[child]
-        lists = [F.struct(F.lit(c).alias("field"), (F.col(c).cast("array<string>") if arr else F.array(F.col(c).cast("string"))).alias("values")) for c, arr in own]
-        flat = df.select(F.explode(F.array(*lists)).alias("x")).select(F.lit(child).alias("child"), F.col("x.field").alias("field"), F.explode("x.values").alias("value")).where("value is not null")
-        flat = flat.groupBy("child", "field", "value").agg(F.count(F.lit(1)).alias("n"))
-        values = flat if values is None else values.unionByName(flat)
-    for parent, key in dict.fromkeys((p.parent, p.key) for p in pairs):
-        own = tables[parent].where(F.col(key).isNotNull()).select(F.lit(parent).alias("parent"), F.col(key).cast("string").alias("value")).distinct()
-        keys = own if keys is None else keys.unionByName(own)
-    spark = values.sparkSession
-    wanted = spark.createDataFrame([(p.child, p.column, p.parent) for p in pairs], "child string, field string, parent string")
-    valid = values.groupBy("child", "field").agg(F.sum("n").alias("n_valid"))
-    n_keys = keys.groupBy("parent").agg(F.count(F.lit(1)).alias("n_keys"))
-    hits = values.join(keys, "value").groupBy("child", "field", "parent").agg(F.sum("n").alias("n_matched"), F.count(F.lit(1)).alias("n_distinct"))
+    fields = {key: k for k, key in enumerate(dict.fromkeys((p.child, p.column) for p in pairs))}
+    keys = {key: k for k, key in enumerate(dict.fromkeys((p.parent, p.key) for p in pairs))}
+    seen = None
+    for name in dict.fromkeys([*(c for c, _ in fields), *(p for p, _ in keys)]):
+        df, lists = tables[name], []
+        for no, places in enumerate((fields, keys)):
+            for (own, column), k in places.items():
+                if own != name:
+                    continue
+                kind, c = df.schema[column].dataType, F.col(column)
+                is_list = isinstance(kind, T.ArrayType)
+                values = F.coalesce(c, F.array().cast(kind)) if is_list else F.array(c)
+                item = kind.elementType if is_list else kind
+                lists.append(F.transform(values, tagged(item, *((None, k) if no else (k, None)))))
+        flat = df.select(F.explode(F.concat(*lists)).alias("x")).select("x.value.*", "x.field", "x.key").where("number is not null or text is not null")
+        flat = flat.groupBy("number", "text", "field", "key").agg(F.count(F.lit(1)).alias("n"))
+        seen = flat if seen is None else seen.unionByName(flat)
+    met = seen.groupBy("number", "text").agg(F.collect_list(F.when(F.col("field").isNotNull(), F.struct("field", "n"))).alias("fields"), F.collect_set("key").alias("keys"))
+    none, one = F.lit(-1), F.lit(1).cast("long")
+    hits = F.flatten(F.transform("fields", lambda f: F.transform(F.concat(F.array(none), F.col("keys")), lambda k: F.struct(f["field"].alias("field"), k.alias("key"), f["n"].alias("n")))))
+    held = F.transform("keys", lambda k: F.struct(none.alias("field"), k.alias("key"), one.alias("n")))
+    sums = met.select(F.explode(F.concat(hits, held)).alias("x")).groupBy("x.field", "x.key").agg(F.sum("x.n").alias("n"), F.count(F.lit(1)).alias("n_values"))
+    # a few rows: each goes to the pairs that it tells something of
+    named = [(k, p.child, p.column, p.parent, fields[p.child, p.column], keys[p.parent, p.key]) for k, p in enumerate(pairs)]
+    wanted = seen.sparkSession.createDataFrame(named, "pair int, child string, field string, parent string, _f int, _k int")
+    told = wanted.select("pair", F.explode(F.array(F.struct(F.col("_f").alias("field"), F.col("_k").alias("key")), F.struct(F.col("_f").alias("field"), none.alias("key")), F.struct(none.alias("field"), F.col("_k").alias("key")))).alias("at")).select("pair", F.col("at.field").alias("_field"), F.col("at.key").alias("_key"))
+    by_pair = told.join(sums, (F.col("field") == F.col("_field")) & (F.col("key") == F.col("_key"))).groupBy("pair")
+    of = lambda which, what: F.sum(F.when(which, F.col(what)))
+    both = (F.col("field") >= 0) & (F.col("key") >= 0)
+    found = by_pair.agg(of(F.col("key") < 0, "n").alias("n_valid"), of(both, "n").alias("n_matched"), of(both, "n_values").alias("n_distinct"), of(F.col("field") < 0, "n").alias("n_keys"))
     zero = F.lit(0).cast("long")
-    out = wanted.join(valid, ["child", "field"], "left").join(n_keys, "parent", "left").join(hits, ["child", "field", "parent"], "left")
-    out = out.select("child", "field", "parent", *[F.coalesce(c, zero).alias(c) for c in ("n_valid", "n_matched", "n_distinct", "n_keys")])
+    out = wanted.join(found, "pair", "left").select("child", "field", "parent", *[F.coalesce(c, zero).alias(c) for c in ("n_valid", "n_matched", "n_distinct", "n_keys")])
     return out.withColumn("accuracy", F.coalesce(F.try_divide("n_matched", "n_valid"), F.lit(0.0))).withColumn("coverage", F.coalesce(F.try_divide("n_distinct", "n_keys"), F.lit(0.0)))
 
 
+def name_confidence(p: Candidate, indexed: bool) -> float | None:
+    """What a column's name says for a reference; None where it says nothing."""
+    e = name_evidence(p.column, p.parent)
+    if e["similarity"] < 0.6 and not (e["suffix"] or e["exact"] or e["containment"]):
+        return None
+    return round(min(0.5 + 0.3 * e["suffix"] + 0.25 * e["exact"] + 0.15 * (e["containment"] and not e["exact"]) + 0.1 * (e["similarity"] > 0.8) + 0.1 * indexed, 1.0), 10)
+
+
 def discover(tables: dict[str, DataFrame], keys: dict[str, str], unique: set[tuple[str, str]] = frozenset(), indexed: set[tuple[str, str]] = frozenset()) -> DataFrame:
-    """parentTable, childTable, column, confidence and type of each relationship that the data and the names support."""
+    """parentTable, childTable, column, confidence (by names), type, isArrayReference, accuracy, coverage and score of each relationship that the
+    data and the names support, each by itself and as score: confidence() over both; type: by uniqueness where that is declared, else cardinality() of the values.
+    Of the parents of a column those with the best names stay."""
     pairs = candidates(tables, keys, unique)
     spark = next(iter(tables.values())).sparkSession
-    schema = "parentTable string, childTable string, column string, confidence double, type string, isArrayReference boolean"
-    named = []
+    schema = "parentTable string, childTable string, column string, confidence double, isArrayReference boolean, _unique boolean, _similarity double, _suffix boolean, _same boolean"
+    named, chosen = [], []
     for p in pairs:
-        e = name_evidence(p.column, p.parent)
-        if e["similarity"] < 0.6 and not (e["suffix"] or e["exact"] or e["containment"]):
-            continue
-        confidence = 0.5 + 0.3 * e["suffix"] + 0.25 * e["exact"] + 0.15 * (e["containment"] and not e["exact"]) + 0.1 * (e["similarity"] > 0.8) + 0.1 * ((p.parent, p.column) in indexed)
-        confidence = round(min(confidence, 1.0), 10)
-        if confidence >= LEAST_CONFIDENCE:
-            named.append((p.parent, p.child, p.column, confidence, "N:M" if p.is_array else "1:1" if p.unique else "1:N", p.is_array))
+        sure = name_confidence(p, (p.parent, p.column) in indexed)
+        if sure is not None and sure >= LEAST_CONFIDENCE:
+            e = name_evidence(p.column, p.parent)
+            same = type_of(tables[p.child].schema[p.column].dataType) == type_of(tables[p.parent].schema[p.key].dataType)
+            named.append((p.parent, p.child, p.column, sure, p.is_array, p.unique, float(e["similarity"]), bool(e["suffix"]), same))
+            chosen.append(p)
+    columns = ["parentTable", "childTable", "column", "confidence", "type", "isArrayReference", "accuracy", "coverage", "score"]
     if not named:
-        return spark.createDataFrame([], schema)
-    out = spark.createDataFrame(named, schema)
-    chosen = [p for p in pairs if any((p.parent, p.child, p.column) == n[:3] for n in named)]
-    seen = overlap(tables, chosen).where((F.col("n_valid") > 0) & (F.col("accuracy") >= LEAST_ACCURACY)).select(F.col("child").alias("_c"), F.col("field").alias("_f"), F.col("parent").alias("_p"), "accuracy", "coverage")
-    return out.join(seen, (F.col("childTable") == F.col("_c")) & (F.col("column") == F.col("_f")) & (F.col("parentTable") == F.col("_p"))).drop("_c", "_f", "_p")
+        return spark.createDataFrame([], "parentTable string, childTable string, column string, confidence double, type string, isArrayReference boolean, accuracy double, coverage double, score double")
+    seen = overlap(tables, chosen).where((F.col("n_valid") > 0) & (F.col("accuracy") >= LEAST_ACCURACY)).withColumnsRenamed({"child": "_c", "field": "_f", "parent": "_p"})
+    out = spark.createDataFrame(named, schema).join(seen, (F.col("childTable") == F.col("_c")) & (F.col("column") == F.col("_f")) & (F.col("parentTable") == F.col("_p")))
+    kind = F.when(F.col("_unique") & ~F.col("isArrayReference"), "1:1").otherwise(cardinality(F.col("n_distinct"), F.col("n_matched"), F.col("isArrayReference")))
+    fits = type_score(F.when(F.col("_same"), "Number").otherwise("Other"), F.lit("Number"), F.lit(False), F.lit(100))
+    score = confidence(F.col("coverage"), F.col("_similarity"), F.col("_suffix"), (F.lit(1.0) - F.col("accuracy")) * 100, fits, F.lit(0.0))
+    out = out.withColumns({"type": kind, "score": score}).where(F.col("score") >= LEAST_CONFIDENCE)
+    best = F.max("confidence").over(Window.partitionBy("childTable", "column"))  # a row for each candidate, so a few
+    return out.withColumn("_best", best).where(F.col("confidence") == F.col("_best")).select(*columns)
+
+
+def type_of(kind: T.DataType) -> str:
+    """As family(), but whole numbers, other numbers and texts apart."""
+    kind = kind.elementType if isinstance(kind, T.ArrayType) else kind
+    return "whole" if isinstance(kind, T.IntegralType) else family(kind)
 
 
 def by_names(tables: dict[str, T.StructType], keys: dict[str, str]) -> list[dict]:
@@ -118,7 +168,7 @@ def confidence(coverage: Column, similarity: Column, suffix: Column, out_of_rang
 
 
 def cardinality(n_matched: Column, n_parent: Column, is_array: Column) -> Column:
-    """N:M for arrays, 1:N where over half of the parent's side is repeated, else 1:1."""
+    """N:M for arrays, 1:N where over half of the second number has no match of its own in the first, else 1:1."""
     return F.when(is_array, "N:M").when(F.lit(1.0) - F.try_divide(n_matched, n_parent) > 0.5, "1:N").otherwise("1:1")
 
 

@@ -23,6 +23,16 @@ def uniqueness(df: DataFrame, columns: list[str]) -> DataFrame:
     return counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.count(F.lit(1)).alias("n_values"), F.count_if(F.col("n") > 1).alias("n_repeated"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("n_violating"))
 
 
+def unique_rules(df: DataFrame, columns: list[str]) -> DataFrame:
+    """rule, checked and violations, as constraints.report() has them, of the columns that must be unique: rows whose value isn't, and rows
+    without a value. One scan counts the values of all columns."""
+    lists = F.array(*[F.struct(F.lit(c).alias("field"), F.sha2(F.col(c).cast("string"), 256).alias("value")) for c in columns])
+    counts = df.select(F.explode(lists).alias("x")).groupBy("x.field", "x.value").agg(F.count(F.lit(1)).alias("n"))
+    broken = F.when(F.col("value").isNull() | (F.col("n") > 1), F.col("n")).otherwise(0)
+    out = counts.groupBy("field").agg(F.sum("n").alias("checked"), F.sum(broken).alias("violations"))
+    return out.select(F.concat(F.lit("unique:"), "field").alias("rule"), "checked", "violations")
+
+
 def null_rates(df: DataFrame, columns: list[str], most: float, by: list[str] | None = None) -> DataFrame:
     """field, n_rows, n_null, rate and violated (rate > most) for each column, of each group if `by` is given."""
     by = by or []
@@ -40,26 +50,39 @@ def orphans(child: DataFrame, parent: DataFrame, columns: list[str], keys: list[
 
 
 def reference_report(tables: dict[str, DataFrame], relations: list[Relation]) -> DataFrame:
-    """relation, n_checked, n_null and n_orphans for each many-to-one or one-to-one relation.
+    """relation, parent, n_checked, n_null and n_orphans for each many-to-one or one-to-one relation.
 
-    References are counted by value before they meet the parent's keys, so the join sees each value once, however often it is used.
+    A child's references are unpivoted in one scan and counted by value before they meet the parents' keys in a single join, so the join
+    sees each value of a relation once, however often it is used. Whole numbers stay numbers; composite and other keys meet as text.
     """
-    out = None
-    for r in relations:
-        columns, keys = r.fromFields or [r.fromField], r.toFields or [r.toField]
-        child, parent = tables[r.fromTable], tables[r.toTable]
-        full = reduce(lambda a, b: a & b, [F.col(f"_c{i}").isNotNull() for i in range(len(columns))])
-        used = child.groupBy(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(columns)]).agg(F.count(F.lit(1)).alias("n"))
-        own = parent.select(*[F.col(k).alias(f"_p{i}") for i, k in enumerate(keys)]).distinct().withColumn("_found", F.lit(True))
-        both = used.join(own, reduce(lambda a, b: a & b, [F.col(f"_c{i}") == F.col(f"_p{i}") for i in range(len(columns))]), "left")
-        zero = F.lit(0).cast("long")
-        row = both.agg(
-            F.coalesce(F.sum("n"), zero).alias("n_checked"),
-            F.coalesce(F.sum(F.when(~full, F.col("n"))), zero).alias("n_null"),
-            F.coalesce(F.sum(F.when(full & F.col("_found").isNull(), F.col("n"))), zero).alias("n_orphans"),
-        ).select(F.lit(f"{r.fromTable}.{'+'.join(columns)}").alias("relation"), F.lit(r.toTable).alias("parent"), "n_checked", "n_null", "n_orphans")
-        out = row if out is None else out.unionByName(row)
-    return out
+    ends = [((r.fromTable, tuple(r.fromFields or [r.fromField])), (r.toTable, tuple(r.toFields or [r.toField]))) for r in relations]
+    schemas = {n: dict(tables[n].dtypes) for n in {t for pair in ends for t, _ in pair}}
+    whole = [all(len(cols) == 1 and schemas[t][cols[0]] in ("tinyint", "smallint", "int", "bigint") for t, cols in pair) for pair in ends]
+    parents = {key: k for k, key in enumerate(dict.fromkeys((*parent, w) for (_, parent), w in zip(ends, whole, strict=True)))}
+
+    def value(cols: tuple[str, ...], number: bool) -> list[Column]:
+        """The key as a number and as text, one of them null; both if a part is."""
+        none = F.lit(None)
+        full = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cols])
+        text = F.when(full, F.col(cols[0]).cast("string") if len(cols) == 1 else F.to_json(F.array(*[F.col(c).cast("string") for c in cols])))
+        return [(F.col(cols[0]) if number else none).cast("bigint").alias("number"), (none if number else text).cast("string").alias("text")]
+
+    used = None
+    for name in dict.fromkeys(child for (child, _), _ in ends):
+        own = [(k, cols, whole[k], parents[(*parent, whole[k])]) for k, ((child, cols), parent) in enumerate(ends) if child == name]
+        rows = F.array(*[F.struct(F.lit(k).alias("no"), F.lit(p).alias("parent_no"), *value(cols, w)) for k, cols, w, p in own])
+        flat = tables[name].select(F.explode(rows).alias("x")).select("x.*").groupBy("no", "parent_no", "number", "text").agg(F.count(F.lit(1)).alias("n"))
+        used = flat if used is None else used.unionByName(flat)
+    held = None
+    for (name, cols, w), k in parents.items():
+        own = tables[name].select(F.lit(k).alias("_parent_no"), *[c.alias(f"_{n}") for c, n in zip(value(cols, w), ("number", "text"), strict=True)]).where("_number is not null or _text is not null").distinct()
+        held = own if held is None else held.unionByName(own)
+    set_ = F.col("number").isNotNull() | F.col("text").isNotNull()
+    both = used.join(held, (F.col("parent_no") == F.col("_parent_no")) & (F.coalesce("number", F.lit(0)) == F.coalesce("_number", F.lit(0))) & (F.coalesce("text", F.lit("")) == F.coalesce("_text", F.lit(""))) & set_, "left")
+    sums = both.groupBy("no").agg(F.sum("n").alias("n_checked"), F.sum(F.when(~set_, F.col("n"))).alias("n_null"), F.sum(F.when(set_ & F.col("_parent_no").isNull(), F.col("n"))).alias("n_orphans"))
+    named = used.sparkSession.createDataFrame([(k, f"{r.fromTable}.{'+'.join(r.fromFields or [r.fromField])}", r.toTable) for k, r in enumerate(relations)], "no int, relation string, parent string")
+    out = named.join(sums, "no", "left")
+    return out.select("relation", "parent", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_checked", "n_null", "n_orphans")])
 
 
 AGGREGATES = {

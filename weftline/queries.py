@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import catalog_queries as catalog_queries
 from . import gen_queries as gen_queries
 from . import hash_sql as X
 from .functions import draws as D
@@ -20,7 +22,7 @@ from .plans import depgraph, infer
 from .registry import QUERIES as QUERIES
 from .registry import SQL, query, t
 from .sources.text import csv_line, insert_literal
-from .spec import Relation
+from .spec import Constraints, Field, Relation, Table
 
 # Keys and references of the star schema.
 KEYS = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey"}
@@ -180,6 +182,21 @@ rule_query(
 )
 
 
+DECLARED = Table("orders", [Field("o_orderkey", "long", True, primaryKey=True), Field("o_custkey", "integer", constraints=Constraints(unique=True)), Field("o_orderstatus", constraints=Constraints(enum=["F", "O"])), Field("o_totalprice", "float", constraints=Constraints(min=1000, nullPercentage=0))])
+
+
+@query("""
+WITH s(rule, violations) AS (SELECT 'required:o_orderkey', count(*) FROM orders WHERE o_orderkey IS NULL UNION ALL SELECT 'unique_set:o_custkey', count(*) FROM orders WHERE o_custkey IS NULL
+UNION ALL SELECT 'enum:o_orderstatus', count(*) FROM orders WHERE o_orderstatus NOT IN ('F', 'O') UNION ALL SELECT 'range:o_totalprice', count(*) FROM orders WHERE o_totalprice < 1000
+UNION ALL SELECT '*', count(*) FROM orders WHERE coalesce(o_orderstatus NOT IN ('F', 'O'), false) OR coalesce(o_totalprice < 1000, false) OR o_orderkey IS NULL OR o_custkey IS NULL
+UNION ALL SELECT 'unique:o_orderkey', coalesce(sum(n), 0) FROM (SELECT count(*) AS n FROM orders GROUP BY o_orderkey) WHERE n > 1 UNION ALL SELECT 'unique:o_custkey', coalesce(sum(n), 0) FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey) WHERE n > 1
+UNION ALL SELECT 'null_rate:o_totalprice', CASE WHEN count(*) > count(o_totalprice) THEN 1 ELSE 0 END FROM orders)
+SELECT rule, (SELECT count(*) FROM orders) AS checked, violations::BIGINT AS violations FROM s""")
+def v_table(spark, sf_dir):
+    """All that a declared table implies: rules of rows, keys, unique fields, null shares."""
+    return C.table_report(t(spark, sf_dir, "orders"), DECLARED)
+
+
 @query("SELECT o_orderkey, CASE WHEN o_totalprice < 1000 THEN 1000.0 WHEN o_totalprice > 300000 THEN 300000.0 ELSE o_totalprice END AS o_totalprice, CASE WHEN o_orderstatus NOT IN ('F', 'O') THEN 'F' ELSE o_orderstatus END AS o_orderstatus FROM orders")
 def v_correct(spark, sf_dir):
     return C.correct(t(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus"), [total_in_range(), known_status()])
@@ -213,12 +230,27 @@ def i_orphan_rows(spark, sf_dir):
 @query("""
 SELECT l_orderkey, count(*) AS n, sum(l_quantity::DECIMAL(12,2))::DOUBLE AS quantity, sum(l_quantity::DECIMAL(12,2))::DOUBLE / count(*) AS average, min(l_quantity) AS least, max(l_quantity) AS most FROM lineitem GROUP BY 1 HAVING count(*) > 6 OR sum(l_quantity::DECIMAL(12,2)) > 200
 """)
-def i_cross_table(spark, sf_dir):
+def i_groups(spark, sf_dir):
     q = F.col("l_quantity").cast("decimal(12,2)")
     sums = t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.sum(q).cast("double").alias("quantity"), F.min("l_quantity").alias("least"), F.max("l_quantity").alias("most"))
     return sums.where("n > 6 or quantity > 200").select("l_orderkey", "n", "quantity", (F.col("quantity") / F.col("n")).alias("average"), "least", "most")
 
 
+def each_cross(kind: str, value: str) -> str:
+    return f"SELECT '{kind}' AS kind, o_orderkey, value FROM orders LEFT JOIN (SELECT l_orderkey, round({value}, 6)::DOUBLE AS value FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey WHERE NOT coalesce(value < {LIMITS[kind]}, false)"
+
+
+LIMITS = {"sum": 250, "avg": 40, "min": 30, "max": 50, "stddev": 18}
+
+
+@query(" UNION ALL ".join(each_cross(k, v) for k, v in {"sum": "sum(l_quantity)", "avg": "avg(l_quantity)", "min": "min(l_quantity)", "max": "max(l_quantity)", "stddev": "stddev_samp(l_quantity)"}.items()))
+def i_cross_table(spark, sf_dir):
+    """Orders whose lines' totals break a limit, for each aggregate; an order without lines has none and breaks it too."""
+    orders, lines = t(spark, sf_dir, "orders").select("o_orderkey"), t(spark, sf_dir, "lineitem")
+    parts = [integrity.cross_table(orders, "o_orderkey", lines, "l_orderkey", k, "l_quantity", F.round("value", 6) < F.lit(most)).select(F.lit(k).alias("kind"), "o_orderkey", F.round(F.col("value").cast("double"), 6).alias("value")) for k, most in LIMITS.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query("""
 WITH s AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)
 SELECT c_custkey, coalesce(n, 0) AS n_orders FROM customer LEFT JOIN s ON o_custkey = c_custkey WHERE NOT coalesce(n, 0) BETWEEN 1 AND 15
@@ -228,9 +260,9 @@ def i_cross_count(spark, sf_dir):
     return out.select("c_custkey", "n_orders")
 
 
-@query("SELECT l_returnflag, l_linestatus, round(stddev_samp(l_quantity), 4) AS value, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 10")
+@query("SELECT l_returnflag, l_linestatus, round(stddev_samp(l_quantity), 4) AS value FROM lineitem GROUP BY 1, 2 HAVING NOT coalesce(stddev_samp(l_quantity) < 14.4, false)")
 def i_aggregation(spark, sf_dir):
-    return t(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.round(integrity.AGGREGATES["stddev"]("l_quantity"), 4).alias("value"), F.count(F.lit(1)).alias("n")).where("n > 10")
+    return integrity.aggregation(t(spark, sf_dir, "lineitem"), "stddev", "l_quantity", ["l_returnflag", "l_linestatus"], "value < 14.4").withColumn("value", F.round("value", 4))
 
 
 @query("SELECT o_custkey, max(o_totalprice) AS value FROM orders WHERE o_orderstatus = 'O' GROUP BY 1 HAVING NOT max(o_totalprice) < 350000")
@@ -254,18 +286,39 @@ def overlaps(spark, sf_dir) -> DataFrame:
 
 
 query(overlap_sql(), "d_overlap")(overlaps)
-SIMILAR = {(p.column, p.parent): jaro_winkler(stem(p.column[2:] if p.column[1] == "_" else p.column), stem(p.parent)) for p in PAIRS}
-NAMES_SQL = ", ".join(f"('{c}', '{p}', {s!r}::DOUBLE)" for (c, p), s in SIMILAR.items())
+def bare(column: str) -> str:
+    """A column's name without the letter of its table."""
+    return column[2:] if column[1] == "_" else column
+
+
+def similarity_sql(a: str, b: str) -> str:
+    """jaro_winkler() in another engine's terms."""
+    prefix = " + ".join(f"CASE WHEN length({a}) >= {k} AND {a}[1:{k}] = {b}[1:{k}] THEN 1 ELSE 0 END" for k in range(1, 5))
+    near = f"(jaro_similarity({a}, {b}) + CASE WHEN jaro_similarity({a}, {b}) > 0 THEN ({prefix}) * 0.1 * (1 - jaro_similarity({a}, {b})) ELSE 0 END)"
+    held = f"least(0.85 + 0.15 * least(length({a}), length({b})) / greatest(length({a}), length({b})), 1.0)"
+    return f"CASE WHEN {a} = {b} THEN 1.0 WHEN contains({a}, {b}) OR contains({b}, {a}) THEN {held} ELSE {near} END::DOUBLE"
+
+
+STEMS = {(p.column, p.parent): (stem(bare(p.column)), stem(p.parent)) for p in PAIRS}
+STEMS_SQL = f"SELECT field, parent, {similarity_sql('a', 'b')} AS similarity FROM (VALUES " + ", ".join(f"('{c}', '{p}', '{a}', '{b}')" for (c, p), (a, b) in STEMS.items()) + ") n(field, parent, a, b)"
+
+
+def similar(spark) -> DataFrame:
+    return spark.createDataFrame([(c, p, jaro_winkler(a, b)) for (c, p), (a, b) in STEMS.items()], "field string, parent string, similarity double")
+
+
+@query(f"SELECT field, parent, round(similarity, 9) AS similarity FROM ({STEMS_SQL})")
+def d_similarity(spark, sf_dir):
+    return similar(spark).withColumn("similarity", F.round("similarity", 9))
 
 
 @query(f"""
-WITH o AS ({overlap_sql()}), n(field, parent, similarity) AS (VALUES {NAMES_SQL})
+WITH o AS ({overlap_sql()}), n AS ({STEMS_SQL})
 SELECT child, o.field, o.parent, floor((least(coverage, 1.0) * 0.40 + similarity * 0.25 + 0.0 * 0.20 + (1.0 - least((1.0 - accuracy) * 100 / 100, 1.0)) * 0.10 + 1.0 * 0.15) * (1.0 - 0.0 * 0.3) * 100 + 0.5) / 100 AS confidence
 FROM o JOIN n ON n.field = o.field AND n.parent = o.parent
 """)
 def d_score(spark, sf_dir):
-    names = spark.createDataFrame([(c, p, s) for (c, p), s in SIMILAR.items()], "field string, parent string, similarity double")
-    both = overlaps(spark, sf_dir).join(names, ["field", "parent"])
+    both = overlaps(spark, sf_dir).join(similar(spark), ["field", "parent"])
     score = discover.confidence(F.col("coverage"), F.col("similarity"), F.lit(False), (F.lit(1.0) - F.col("accuracy")) * 100, F.lit(True), F.lit(0.0))
     return both.select("child", "field", "parent", score.alias("confidence"))
 
@@ -275,11 +328,24 @@ def d_cardinality(spark, sf_dir):
     return overlaps(spark, sf_dir).select("child", "field", "parent", discover.cardinality(F.col("n_distinct"), F.col("n_keys"), F.lit(False)).alias("cardinality"))
 
 
-@query()
+# Columns named as a foreign schema would name them, so that names and values both speak.
+RENAMED = {"customer": {"c_custkey": "id", "c_nationkey": "nation_id"}, "nation": {"n_nationkey": "id", "n_regionkey": "region_id"}, "region": {"r_regionkey": "id"}, "orders": {"o_orderkey": "id", "o_custkey": "customer_id"}, "events": {"event_id": "id", "user_id": "customerId"}}
+
+
+def discover_sql() -> str:
+    """For each column called like a reference to a table: overlap, and the score by hand. An exact name with an ending has all of the names' evidence."""
+    told = [("customer", "c_nationkey", "nation", "n_nationkey", "nation_id"), ("nation", "n_regionkey", "region", "r_regionkey", "region_id"), ("orders", "o_custkey", "customer", "c_custkey", "customer_id"), ("events", "user_id", "customer", "c_custkey", "customerId")]
+    one = "SELECT '{p}' AS \"parentTable\", '{c}' AS \"childTable\", '{name}' AS \"column\", (SELECT count({f}) FROM {c}) AS n_valid, (SELECT count(*) FROM {c} WHERE {f} IN (SELECT {k} FROM {p})) AS n_matched, (SELECT count(DISTINCT {f}) FROM {c} WHERE {f} IN (SELECT {k} FROM {p})) AS n_distinct, (SELECT count(*) FROM {p}) AS n_keys"
+    rows = " UNION ALL ".join(one.format(c=c, f=f, p=p, k=k, name=n) for c, f, p, k, n in told)
+    return f"""
+SELECT "parentTable", "childTable", "column", 1.0::DOUBLE AS confidence, CASE WHEN 1.0 - n_distinct::DOUBLE / n_matched > 0.5 THEN '1:N' ELSE '1:1' END AS type, false AS "isArrayReference", n_matched::DOUBLE / n_valid AS accuracy, n_distinct::DOUBLE / n_keys AS coverage,
+floor((least(n_distinct::DOUBLE / n_keys, 1.0) * 0.40 + 1.0 * 0.25 + 1.0 * 0.20 + (1.0 - least((1.0 - n_matched::DOUBLE / n_valid) * 100 / 100, 1.0)) * 0.10 + 1.0 * 0.15) * 100 + 0.5) / 100 AS score
+FROM ({rows}) WHERE n_valid > 0 AND n_matched::DOUBLE / n_valid >= 0.5"""
+
+
+@query(discover_sql())
 def d_discover(spark, sf_dir):
-    # columns named as a foreign schema would name them, so that names and values both speak
-    names = {"customer": {"c_custkey": "id", "c_nationkey": "nation_id"}, "nation": {"n_nationkey": "id", "n_regionkey": "region_id"}, "region": {"r_regionkey": "id"}, "orders": {"o_orderkey": "id", "o_custkey": "customer_id"}}
-    return discover.discover({n: t(spark, sf_dir, n).withColumnsRenamed(m) for n, m in names.items()}, dict.fromkeys(names, "id"))
+    return discover.discover({n: t(spark, sf_dir, n).withColumnsRenamed(m) for n, m in RENAMED.items()}, dict.fromkeys(RENAMED, "id"))
 
 
 # Profiles.

@@ -58,6 +58,7 @@ class Constraints:
     maxColumn: str | None = None
     gtColumn: str | None = None
     ltColumn: str | None = None
+    mutuallyExclusive: list[str] | None = None
 
 
 @dataclass
