@@ -27,7 +27,10 @@ SIEVE_BITS = 1 << 26
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keeps batches to Python workers small where the session has Spark's own bounds: long texts make 10,000 rows too many."""
+    """Keeps batches to Python workers small where the session has Spark's own bound: long texts make 10,000 rows too many.
+
+    This changes a setting of the session, as Spark has none for a single operator; the registered queries call it, the operators don't.
+    """
     for key, spark_own, ours in (("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000, 500),):
         if int(spark.conf.get(key)) == spark_own:
             spark.conf.set(key, ours)
@@ -38,15 +41,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Temporary folders of applications on one machine that name none.
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; where that is unset (tests on one machine), a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or _own.get(context.applicationId)
     if not found:
-        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+        if not (context.master == "local" or context.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="weftline-")
+        found = _own[context.applicationId] = tempfile.mkdtemp(prefix="weftline-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 

@@ -5,8 +5,8 @@ table into one boolean column over the measures of measure(); no user function r
 
 Words are [^\\x20\\x09-\\x0D]+ of the whole text. Windows of five words are compared by 64-bit hashes of their words' hashes.
 
-Write the result before joining or filtering it further (common.materialize): Spark's constraint propagation takes minutes to plan a
-filter over so many derived columns, and spark.sql.constraintPropagation.enabled=false is the other way round it.
+The counts, some numbers a row, are written once (common.materialize), so later joins and filters neither copy the expressions behind
+them nor plan over these.
 
 Defined results: null and blank texts have no words and fail the base rule; ratios without a denominator are null and pass.
 Rows are independent of each other; other columns are not looked at.
@@ -19,7 +19,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS
+from .common import BLANKS, materialize
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -119,8 +119,7 @@ def measure(docs: DataFrame) -> DataFrame:
     windows = F.transform(F.sequence(F.lit(0), F.size("h") - WINDOW), lambda i: F.xxhash64(*[F.get("h", i + k) for k in range(WINDOW)]))
     d = d.withColumn("h", F.when(F.size("h") >= WINDOW, windows).otherwise(F.array().cast("array<bigint>")))
     repeated = F.when(F.size(F.array_distinct("h")) < F.size("h"), covered(F.col("h"), WINDOW)).otherwise(F.lit(0)).cast("long")
-    # rand() is never below 0; it keeps later filters above this projection, where they would otherwise be pushed down as copies of it
-    d = d.withColumn("n_repeat_words", F.when(F.rand(0) >= 0, repeated)).drop("h")
+    d = materialize(d.withColumn("n_repeat_words", repeated).drop("h"), "measures")
     return d.withColumns({name: ratio(a, b) for name, (a, b) in MEASURES.items()})
 
 
