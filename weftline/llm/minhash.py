@@ -30,6 +30,7 @@ from .common import free, lean, materialize, plain_words, sift, slices
 BANDS, ROWS = 36, 5
 #: A group up to these sizes is compared in one task; a larger one in pairs of blocks.
 GROUP_DOCS, GROUP_SHINGLES = 4000, 4_000_000
+SALTS = 16
 #: Ids that have so large a share of all links are few enough to be broadcast.
 HUBS = 500
 #: Distinct words whose hashes a worker remembers.
@@ -294,7 +295,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, bands: i
     bodies = may.join(tasks.hint("merge"), F.col("doc_id") == F.col("id")).select("doc_id", "text", "g1", "g2", "g3", "g4")
     keys = ["g1", "g2", "g3", "g4"]
     links = bodies.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lean(confirm(width, percent)), LINKS)
-    same = signed.where("doc_id is not null and n_shingles > 0").join(sets.where("rep <> last").select("set_hi", "set_lo", "rep"), ["set_hi", "set_lo"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    # a set of thousands of copies is dealt to SALTS tasks
+    copied = sets.where("rep <> last").select("set_hi", "set_lo", "rep", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    dealt = signed.where("doc_id is not null and n_shingles > 0").select("doc_id", "set_hi", "set_lo", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    same = dealt.join(copied, ["set_hi", "set_lo", "salt"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     found = components(links.union(same))
     free(sets, members, hanging, whole, tasks)
     out = signed.select("doc_id", "n_shingles").join(found, F.col("doc_id") == F.col("id"), "left")
