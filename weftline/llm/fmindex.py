@@ -40,8 +40,8 @@ SAMPLE = 8
 #: Words of benchmark items searched in one pass, and windows searched at a time.
 CHUNK_WORDS, BLOCK = 4_000_000, 100_000
 WINDOW = 8
-#: Distinct words whose numbers a worker remembers.
-CACHE = 300_000
+#: Distinct words whose numbers a worker remembers, and words of a vocabulary that is kept as a table.
+CACHE, TABLE = 500_000, 200_000
 
 
 class WaveletMatrix:
@@ -128,8 +128,7 @@ class FMIndex:
         return out
 
 
-def hashed(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word)
+hashed = xxhash.xxh3_64_intdigest
 
 
 @dataclass
@@ -169,6 +168,10 @@ class Chunk:
         pick = order[fresh]
         return cls(vocabulary, (symbols + 1).astype(np.int32), at[pick].astype(np.int32), length[pick].astype(np.int8), first.astype(np.int32), own[other], ids)
 
+    def plain(self) -> tuple:
+        """What a broadcast carries: a worker may not know this class."""
+        return self.vocabulary, self.words, self.at, self.length, self.first, self.owners, self.ids
+
     @property
     def shortest(self) -> int:
         return int(self.length.min(initial=127)) if len(self.length) else 0
@@ -181,17 +184,22 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Numbers(dict):
-    """word -> its number in a vocabulary, 0 outside."""
+    """word -> its number in a vocabulary, 0 outside. A small vocabulary is looked up in a table, a large one by bisection."""
 
     def __init__(self, vocabulary: np.ndarray):
         self.sorted = array("Q", vocabulary.tobytes())
+        self.few = {h: k + 1 for k, h in enumerate(self.sorted)} if len(self.sorted) <= TABLE else None
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > CACHE:
             self.clear()
         h = hashed(word)
-        k = bisect_left(self.sorted, h)
-        value = self[word] = k + 1 if k < len(self.sorted) and self.sorted[k] == h else 0
+        if self.few is not None:
+            value = self.few.get(h, 0)
+        else:
+            k = bisect_left(self.sorted, h)
+            value = k + 1 if k < len(self.sorted) and self.sorted[k] == h else 0
+        self[word] = value
         return value
 
 
@@ -271,7 +279,7 @@ def search(chunk, text: str, sparse: bool = False):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, docs, words = [], [], 0
-        own = chunk.value
+        own = Chunk(*chunk.value)
         known = Numbers(own.vocabulary)
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -347,7 +355,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, ch
     for after in chunks:  # this one isn't the last
         if before is None:
             rows = materialize(own.withColumn("__w_row", F.monotonically_increasing_id()), "rows")
-        sent = spark.sparkContext.broadcast(chunk)
+        sent = spark.sparkContext.broadcast(chunk.plain())
         hits = materialize(rows.select("__w_row", "text").mapInArrow(lean(search(sent, "text", True)), T.StructType([T.StructField("__w_row", T.LongType()), *FOUND_SPARK[1:]])), "hits")
         sent.destroy()
         before, chunk = hits if before is None else before.unionByName(hits), after
@@ -356,7 +364,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, ch
         may, rest = sift(rows, "__w_row", before.select("__w_of"))
         may = may.join(before.hint("merge"), F.col("__w_row") == F.col("__w_of"), "left").drop("__w_of")
         rows = may.unionByName(rest, allowMissingColumns=True).drop("__w_row")
-    return rows.mapInArrow(lean(search(spark.sparkContext.broadcast(chunk), "text")), out)
+    return rows.mapInArrow(lean(search(spark.sparkContext.broadcast(chunk.plain()), "text")), out)
 
 
 def report(found: DataFrame) -> DataFrame:
