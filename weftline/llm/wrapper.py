@@ -52,7 +52,7 @@ SALTS = 64
 #: Bytes of all wrappers that are sent to every executor rather than joined by shuffle.
 BROADCAST_BYTES = 16 << 20
 #: (node, text) sums that a worker holds before it passes them on.
-SUMS = 200_000
+SUMS = 50_000
 #: Levels of a tree, and pairs of children that are tried for two nodes.
 DEPTH, CELLS = 100, 100_000
 
