@@ -143,6 +143,32 @@ def test_pipeline_stages_on_odd_rows(spark, sf, odd):
         assert docs.count() >= 0 and all(r["score"] == r["spans"] == r["items"] == 7 for r in docs.collect() if "score" in rows.columns)
 
 
+def test_copies_under_one_id_or_none_go(spark, make):
+    import corpus_pipeline
+
+    text = "the same eight words stand in this row"
+    rows = [(1, text), (1, text), (None, text), (None, text), (2, text), (None, "another text that nobody has copied so far"), (None, None), (None, None), (3, ""), (3, "")]
+    docs = make(rows).withColumn("__w_a", F.lit(1))
+    got = corpus_pipeline.near_copies(spark, docs, "")
+    assert got.columns == docs.columns
+    left = [(r["doc_id"], r["text"]) for r in got.collect()]
+    assert sum(t == text for _, t in left) == 1 and len(left) == 6 and (1, text) in left
+
+
+def test_the_pipeline_deletes_what_it_no_longer_needs(spark, sf, tmp_path, monkeypatch):
+    import os
+
+    import corpus_pipeline
+    from weftline.llm import common
+
+    for module in (common, corpus_pipeline):
+        monkeypatch.setattr(module, "shared_dir", lambda spark: str(tmp_path))
+    assert corpus_pipeline.run(spark, sf).count() > 0
+    left = [x.split("-")[0] for x in os.listdir(tmp_path)]
+    assert left.count("stage") == 1 and set(left) <= {"stage", "directory"}
+    assert all(os.path.exists(p) for p in common._written if p.startswith(str(tmp_path)))
+
+
 def test_documents_without_languages_stay(spark, make):
     import corpus_pipeline
 
