@@ -27,7 +27,7 @@ def test_recursive_levels(spark):
 
 @pytest.mark.parametrize("field, table, want", [
     ("email", "users", "email"), ("name", "products", "product_name"), ("name", "users", "full_name"), ("title", "movies", "movie_title"), ("order_number", "", "order_number"), ("updatedAt", "", "updated_at"),
-    ("is_strange", "", "flag50"), ("zzz_count", "", "counter"), ("qwerty", "", "word"), ("views", "", "views"), ("user_uuid", "", "uuid"),
+    ("is_strange", "", "flag70"), ("zzz_count", "", "counter"), ("zzz_no", "", "count1000"), ("built_at", "", "created_at"), ("overtime", "", "created_at"), ("heartbeat", "", "created_at"), ("ghref", "", "word"), ("g_href", "", "url"), ("namely", "", "word"), ("qname", "", "full_name"), ("qwerty", "", "word"), ("views", "", "views"), ("user_uuid", "", "uuid"),
 ])
 def test_inference(field, table, want):
     assert infer.infer(field, table) == want

@@ -8,8 +8,8 @@ from itertools import accumulate
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Ranks of a Zipf distribution that are kept one by one.
-MAX_RANKS = 50_000
+#: Ranks of a Zipf distribution that are kept one by one; beyond, its tail is inverted in closed form.
+MAX_RANKS = 20_000
 
 
 def integer(u: Column, low: int, high: int) -> Column:
@@ -50,13 +50,23 @@ def zipf_shares(n: int, s: float) -> list[float]:
 
 
 def zipf(u: Column, n: int, s: float = 1.0) -> Column:
-    """The first rank whose running share is at least u, by binary search in a constant array."""
-    if n > MAX_RANKS:
-        raise ValueError(f"zipf keeps at most {MAX_RANKS} ranks")
-    shares = F.lit(zipf_shares(n, s)) if n > 1 else F.array(F.lit(1.0))
-    steps = [1 << k for k in range(max(1, n.bit_length()) - 1, -1, -1)]
+    """The first rank whose running share is at least u: by binary search in a constant array, of any number of ranks.
+
+    The weights of ranks m + 1 to k beyond the array are the integral of x^-s from m + 1/2 to k + 1/2, right to 1 / (24 m^(s + 1)).
+    """
+    m = min(n, MAX_RANKS)
+    head = sum(1.0 / k**s for k in range(1, m + 1))
+    area = lambda a, b: math.log(b / a) if s == 1 else (b ** (1 - s) - a ** (1 - s)) / (1 - s)
+    total = head + (area(m + 0.5, n + 0.5) if n > m else 0.0)
+    shares = F.lit([x * head / total for x in zipf_shares(m, s)]) if m > 1 else F.array(F.lit(1.0))
+    steps = [1 << k for k in range(max(1, m.bit_length()) - 1, -1, -1)]
     below = F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), lambda at, step: F.when(F.coalesce(F.get(shares, at + step - 1) < u, F.lit(False)), at + step).otherwise(at))
-    return F.least(below + 1, F.lit(n)).cast("long")
+    if n == m:
+        return F.least(below + 1, F.lit(n)).cast("long")
+    rest = u * F.lit(total) - F.lit(head)
+    end = F.exp(rest) * F.lit(m + 0.5) if s == 1 else F.pow(rest * F.lit(1 - s) + F.lit((m + 0.5) ** (1 - s)), F.lit(1 / (1 - s)))
+    far = F.greatest(F.lit(m + 1).cast("long"), F.least(F.ceil(end - 0.5).cast("long"), F.lit(n).cast("long")))
+    return F.when(rest > 0, far).otherwise((below + 1).cast("long"))
 
 
 def clamp(value: Column, low=None, high=None) -> Column:

@@ -11,95 +11,96 @@ from pyspark.sql import functions as F
 from . import draws as D
 from .hashing import hash_digits, uniform
 
-CORPORA: dict[str, list[str]] = {k: v.split("; ") for k, v in {
-    "given_names": "Ana; Ben; Chloe; David; Elena; Farid; Grace; Hugo; Ines; Jonas; Kira; Liam; Mei; Noah; Olga; Pedro; Quinn; Rosa; Samir; Tara; Uma; Viktor; Wendy; Yusuf",
-    "family_names": "Adler; Brown; Costa; Dubois; Evans; Fischer; Garcia; Hansen; Ito; Jensen; Kowalski; Lopez; Meyer; Novak; Okafor; Park; Rossi; Silva; Tanaka; Weber",
-    "given_names_india": "Aarav; Aditi; Arjun; Diya; Ishaan; Kavya; Lakshmi; Meera; Nikhil; Priya; Rahul; Rohan; Sanya; Vikram",
-    "family_names_india": "Agarwal; Banerjee; Chopra; Desai; Gupta; Iyer; Joshi; Kapoor; Mehta; Nair; Patel; Reddy; Sharma; Singh; Verma",
-    "domains": "example.com; example.org; mail.example.net; corp.example.com; inbox.example.org",
-    "companies": "Northwind Labs; Blue Harbor; Acorn Systems; Summit Foods; Vertex Motors; Lumen Energy; Cedar Health; Orbit Media; Harvest Bank; Pioneer Steel",
-    "job_titles": "Accountant; Analyst; Architect; Designer; Developer; Director; Engineer; Manager; Nurse; Researcher; Sales Lead; Teacher; Technician",
-    "product_names": "Desk Lamp; Travel Mug; Running Shoes; Wireless Mouse; Yoga Mat; Water Bottle; Office Chair; Notebook; Headphones; Backpack",
-    "movie_titles": "The Long Winter; Paper Moons; City of Rivers; A Quiet Signal; The Last Orchard; Northern Lights; Broken Compass; Second Tide",
-    "genres": "Action; Comedy; Documentary; Drama; Fantasy; Horror; Mystery; Romance; Thriller",
-    "cities": "Amsterdam; Boston; Cairo; Delhi; Lagos; Lima; London; Madrid; Mumbai; Nairobi; Oslo; Paris; Seoul; Sydney; Tokyo; Toronto",
-    "countries": "Argentina; Brazil; Canada; Egypt; France; Germany; India; Japan; Kenya; Mexico; Nigeria; Norway; Spain; United Kingdom; United States",
-    "states": "California; Colorado; Florida; Georgia; Illinois; Maine; Nevada; Ohio; Oregon; Texas; Utah; Washington",
-    "states_india": "Assam; Gujarat; Karnataka; Kerala; Maharashtra; Punjab; Rajasthan; Tamil Nadu; West Bengal",
-    "streets": "Oak Street; Main Street; Park Avenue; Hill Road; Lake Drive; Mill Lane; River Road; Station Road",
-    "banks": "First Harbor Bank; Unity Savings; Meridian Trust; Coastal Credit; Granite Bank",
-    "carriers": "Swift Freight; Blue Parcel; Trans Global; Road Runner Cargo; Sky Post",
-    "universities": "Lakeside University; Northern Institute; Riverside College; Central Technical University; Harbor University",
-    "car_makes": "Aster; Bolt; Corvo; Dynamo; Eagle; Falcon; Giga; Horizon",
-    "car_models": "Sedan S; Coupe C; Wagon W; Roadster R; Truck T; Van V",
-    "user_agents": "Mozilla/5.0 (X11; Linux x86_64) Firefox/128.0|Mozilla/5.0 (Windows NT 10.0) Chrome/126.0|Mozilla/5.0 (Macintosh) Safari/17.5|Mozilla/5.0 (iPhone) Mobile Safari/17.4",
-    "payment_methods": "credit card; debit card; bank transfer; cash; gift card; mobile wallet; invoice",
-    "tax_types": "VAT; GST; sales tax; income tax; customs duty; excise",
-    "case_statuses": "open; in review; hearing scheduled; settled; dismissed; closed; appealed",
-    "units": "kg; g; lb; oz; t; l; ml; m; cm; km; piece; box",
-    "resolutions": "1280x720; 1920x1080; 2560x1440; 3840x2160; 7680x4320",
-    "protocols": "HTTP; HTTPS; FTP; SSH; SMTP; MQTT; WebSocket; gRPC",
-    "sentiments": "positive; neutral; negative; mixed",
-    "social_platforms": "PhotoShare; MicroBlog; VideoTube; ChatRoom; ProLink",
-    "vital_types": "heart rate; blood pressure; temperature; oxygen saturation; respiratory rate; glucose",
-    "iso_codes": "AR; BR; CA; DE; EG; ES; FR; GB; IN; JP; KE; MX; NG; NO; US",
-    "flight_statuses": "scheduled; boarding; departed; in air; landed; delayed; cancelled; diverted",
-    "planets": "Mercury; Venus; Earth; Mars; Jupiter; Saturn; Uranus; Neptune",
-    "instruments": "piano; violin; guitar; drums; flute; cello; trumpet; harp",
-    "tools": "hammer; drill; saw; wrench; level; crane; excavator; ladder",
-    "crops": "wheat; rice; maize; barley; cotton; soy; potato; coffee",
-    "organs": "heart; liver; lung; kidney; brain; stomach; skin; pancreas",
-    "elements": "hydrogen; helium; carbon; nitrogen; oxygen; sodium; iron; copper; silver; gold",
-    "interactions": "view; click; like; share; comment; follow; save; purchase",
-    "order_statuses": "pending; paid; packed; shipped; delivered; returned; refunded; cancelled",
-    "statuses": "active; inactive; pending; approved; rejected; archived; draft",
-    "cloud_providers": "Alpha Cloud; Beta Compute; Gamma Stack; Delta Host",
-    "databases": "PostgreSQL; MySQL; SQLite; MongoDB; Redis; Cassandra; ClickHouse",
-    "animals": "cat; dog; horse; eagle; dolphin; otter; tiger; owl; fox",
-    "plants": "rose; tulip; oak; fern; lotus; maple; orchid; cactus",
-    "timezones": "UTC; Europe/Paris; Europe/London; America/New_York; America/Sao_Paulo; Asia/Kolkata; Asia/Tokyo; Australia/Sydney",
-    "sports": "football; tennis; cricket; hockey; swimming; rowing; chess; cycling",
-    "subjects": "algebra; biology; chemistry; economics; geography; history; literature; physics",
-    "certifications": "Project Management; Cloud Practitioner; First Aid; Data Analyst; Security Auditor",
-    "amenities": "pool; gym; parking; breakfast; wifi; spa; bar; airport shuttle",
-    "investment_types": "stock; bond; fund; real estate; commodity; savings",
-    "marketing_channels": "email; search; social; display; affiliate; referral; direct; events",
-    "gaming_platforms": "PC; console; handheld; mobile; cloud; arcade",
-    "materials": "steel; aluminium; copper; glass; wood; plastic; rubber; concrete",
-    "legal_documents": "contract; deed; will; lease; patent; affidavit; power of attorney",
-    "id_types": "passport; driving licence; national id; residence permit",
-    "id_types_india": "aadhaar; pan; voter id; passport; ration card",
-    "weather": "sunny; cloudy; rain; snow; storm; fog; windy; hail",
-    "device_types": "phone; tablet; laptop; desktop; watch; television; sensor",
-    "clothing": "shirt; trousers; dress; jacket; skirt; coat; sweater; socks",
-    "energy_sources": "solar; wind; hydro; nuclear; gas; coal; biomass; geothermal",
-    "airlines": "Aero North; Blue Wing; Condor Line; Delta Sky; Eastern Air",
-    "employment_types": "full time; part time; contract; internship; freelance; remote",
-    "departments": "Engineering; Finance; Legal; Marketing; Operations; People; Sales; Support",
-    "property_types": "apartment; house; villa; studio; office; warehouse; land",
-    "cuisines": "French; Indian; Italian; Japanese; Lebanese; Mexican; Thai; Turkish",
-    "isps": "FiberOne; NetWave; Skyline Internet; MetroConnect; RuralNet",
-    "ministries": "Agriculture; Defence; Education; Finance; Health; Home Affairs; Railways; Science",
-    "specialties": "cardiology; dermatology; neurology; oncology; orthopedics; pediatrics; psychiatry; radiology",
-    "hashtags": "#travel; #food; #music; #tech; #fitness; #nature; #art; #news",
-    "programming_languages": "Python; Java; Scala; Go; Rust; C; JavaScript; SQL; Kotlin; Ruby",
-    "frameworks": "Django; Flask; Spring; Rails; Express; Laravel; Angular; React; Vue; Svelte",
-    "currencies": "USD; EUR; GBP; INR; JPY; CAD; AUD; CHF; CNY; BRL",
-    "mime_types": "text/html; text/plain; application/json; application/pdf; image/png; image/jpeg; audio/mpeg; video/mp4",
-    "locales": "en-US; en-GB; fr-FR; de-DE; es-ES; pt-BR; hi-IN; ja-JP",
-    "roles": "admin; editor; viewer; owner; member; guest; moderator; support",
-    "plans": "free; basic; pro; business; enterprise",
-    "operating_systems": "Linux; Windows; macOS; Android; iOS; ChromeOS",
-    "transaction_types": "deposit; withdrawal; transfer; payment; refund; fee",
-    "reasons": "duplicate; expired; requested by user; policy; out of stock; damaged; other",
-    "errors": "connection timed out; permission denied; resource not found; invalid argument; quota exceeded; internal error",
-    "sizes": "XS; S; M; L; XL; XXL",
-    "words": "amber; brook; cloud; delta; ember; field; grove; haven; inlet; jade; knoll; lumen; mesa; north; opal; pine; quartz; ridge; stone; vale",
-    "sentences": "The order arrived on time. We will follow up next week. Please review the attached notes. The team agreed on a plan. Results look better than expected. Nothing else was changed. A short summary is below. Costs stayed within budget. The service was restarted. Feedback has been positive. The next step is testing. All checks have passed.",
-}.items()}
-CORPORA["user_agents"] = "; ".join(CORPORA["user_agents"]).split("|")
-CORPORA["sentences"] = [f"{s.rstrip('.')}." for s in "; ".join(CORPORA["sentences"]).split(". ")]
-CORPORA["ports"] = ["22", "25", "80", "443", "3000", "5432", "6379", "8080", "8443", "9092"]
+CORPORA: dict[str, list[str]] = {
+    "given_names": ["Ana", "Ben", "Chloe", "David", "Elena", "Farid", "Grace", "Hugo", "Ines", "Jonas", "Kira", "Liam", "Mei", "Noah", "Olga", "Pedro", "Quinn", "Rosa", "Samir", "Tara", "Uma", "Viktor", "Wendy", "Yusuf"],
+    "family_names": ["Adler", "Brown", "Costa", "Dubois", "Evans", "Fischer", "Garcia", "Hansen", "Ito", "Jensen", "Kowalski", "Lopez", "Meyer", "Novak", "Okafor", "Park", "Rossi", "Silva", "Tanaka", "Weber"],
+    "given_names_india": ["Aarav", "Aditi", "Arjun", "Diya", "Ishaan", "Kavya", "Lakshmi", "Meera", "Nikhil", "Priya", "Rahul", "Rohan", "Sanya", "Vikram"],
+    "family_names_india": ["Agarwal", "Banerjee", "Chopra", "Desai", "Gupta", "Iyer", "Joshi", "Kapoor", "Mehta", "Nair", "Patel", "Reddy", "Sharma", "Singh", "Verma"],
+    "domains": ["example.com", "example.org", "mail.example.net", "corp.example.com", "inbox.example.org"],
+    "companies": ["Northwind Labs", "Blue Harbor", "Acorn Systems", "Summit Foods", "Vertex Motors", "Lumen Energy", "Cedar Health", "Orbit Media", "Harvest Bank", "Pioneer Steel"],
+    "job_titles": ["Accountant", "Analyst", "Architect", "Designer", "Developer", "Director", "Engineer", "Manager", "Nurse", "Researcher", "Sales Lead", "Teacher", "Technician"],
+    "product_names": ["Desk Lamp", "Travel Mug", "Running Shoes", "Wireless Mouse", "Yoga Mat", "Water Bottle", "Office Chair", "Notebook", "Headphones", "Backpack"],
+    "movie_titles": ["The Long Winter", "Paper Moons", "City of Rivers", "A Quiet Signal", "The Last Orchard", "Northern Lights", "Broken Compass", "Second Tide"],
+    "genres": ["Action", "Comedy", "Documentary", "Drama", "Fantasy", "Horror", "Mystery", "Romance", "Thriller"],
+    "cities": ["Amsterdam", "Boston", "Cairo", "Delhi", "Lagos", "Lima", "London", "Madrid", "Mumbai", "Nairobi", "Oslo", "Paris", "Seoul", "Sydney", "Tokyo", "Toronto"],
+    "countries": ["Argentina", "Brazil", "Canada", "Egypt", "France", "Germany", "India", "Japan", "Kenya", "Mexico", "Nigeria", "Norway", "Spain", "United Kingdom", "United States"],
+    "states": ["California", "Colorado", "Florida", "Georgia", "Illinois", "Maine", "Nevada", "Ohio", "Oregon", "Texas", "Utah", "Washington"],
+    "states_india": ["Assam", "Gujarat", "Karnataka", "Kerala", "Maharashtra", "Punjab", "Rajasthan", "Tamil Nadu", "West Bengal"],
+    "streets": ["Oak Street", "Main Street", "Park Avenue", "Hill Road", "Lake Drive", "Mill Lane", "River Road", "Station Road"],
+    "banks": ["First Harbor Bank", "Unity Savings", "Meridian Trust", "Coastal Credit", "Granite Bank"],
+    "carriers": ["Swift Freight", "Blue Parcel", "Trans Global", "Road Runner Cargo", "Sky Post"],
+    "universities": ["Lakeside University", "Northern Institute", "Riverside College", "Central Technical University", "Harbor University"],
+    "car_makes": ["Aster", "Bolt", "Corvo", "Dynamo", "Eagle", "Falcon", "Giga", "Horizon"],
+    "car_models": ["Sedan S", "Coupe C", "Wagon W", "Roadster R", "Truck T", "Van V"],
+    "user_agents": ["Mozilla/5.0 (X11; Linux x86_64) Firefox/128.0", "Mozilla/5.0 (Windows NT 10.0) Chrome/126.0", "Mozilla/5.0 (Macintosh) Safari/17.5", "Mozilla/5.0 (iPhone) Mobile Safari/17.4"],
+    "payment_methods": ["credit card", "debit card", "bank transfer", "cash", "gift card", "mobile wallet", "invoice"],
+    "tax_types": ["VAT", "GST", "sales tax", "income tax", "customs duty", "excise"],
+    "case_statuses": ["open", "in review", "hearing scheduled", "settled", "dismissed", "closed", "appealed"],
+    "units": ["kg", "g", "lb", "oz", "t", "l", "ml", "m", "cm", "km", "piece", "box"],
+    "resolutions": ["1280x720", "1920x1080", "2560x1440", "3840x2160", "7680x4320"],
+    "protocols": ["HTTP", "HTTPS", "FTP", "SSH", "SMTP", "MQTT", "WebSocket", "gRPC"],
+    "sentiments": ["positive", "neutral", "negative", "mixed"],
+    "social_platforms": ["PhotoShare", "MicroBlog", "VideoTube", "ChatRoom", "ProLink"],
+    "vital_types": ["heart rate", "blood pressure", "temperature", "oxygen saturation", "respiratory rate", "glucose"],
+    "iso_codes": ["AR", "BR", "CA", "DE", "EG", "ES", "FR", "GB", "IN", "JP", "KE", "MX", "NG", "NO", "US"],
+    "flight_statuses": ["scheduled", "boarding", "departed", "in air", "landed", "delayed", "cancelled", "diverted"],
+    "planets": ["Mercury", "Venus", "Earth", "Mars", "Jupiter", "Saturn", "Uranus", "Neptune"],
+    "instruments": ["piano", "violin", "guitar", "drums", "flute", "cello", "trumpet", "harp"],
+    "tools": ["hammer", "drill", "saw", "wrench", "level", "crane", "excavator", "ladder"],
+    "crops": ["wheat", "rice", "maize", "barley", "cotton", "soy", "potato", "coffee"],
+    "organs": ["heart", "liver", "lung", "kidney", "brain", "stomach", "skin", "pancreas"],
+    "elements": ["hydrogen", "helium", "carbon", "nitrogen", "oxygen", "sodium", "iron", "copper", "silver", "gold"],
+    "interactions": ["view", "click", "like", "share", "comment", "follow", "save", "purchase"],
+    "order_statuses": ["pending", "paid", "packed", "shipped", "delivered", "returned", "refunded", "cancelled"],
+    "statuses": ["active", "inactive", "pending", "approved", "rejected", "archived", "draft"],
+    "cloud_providers": ["Alpha Cloud", "Beta Compute", "Gamma Stack", "Delta Host"],
+    "databases": ["PostgreSQL", "MySQL", "SQLite", "MongoDB", "Redis", "Cassandra", "ClickHouse"],
+    "animals": ["cat", "dog", "horse", "eagle", "dolphin", "otter", "tiger", "owl", "fox"],
+    "plants": ["rose", "tulip", "oak", "fern", "lotus", "maple", "orchid", "cactus"],
+    "timezones": ["UTC", "Europe/Paris", "Europe/London", "America/New_York", "America/Sao_Paulo", "Asia/Kolkata", "Asia/Tokyo", "Australia/Sydney"],
+    "sports": ["football", "tennis", "cricket", "hockey", "swimming", "rowing", "chess", "cycling"],
+    "subjects": ["algebra", "biology", "chemistry", "economics", "geography", "history", "literature", "physics"],
+    "certifications": ["Project Management", "Cloud Practitioner", "First Aid", "Data Analyst", "Security Auditor"],
+    "amenities": ["pool", "gym", "parking", "breakfast", "wifi", "spa", "bar", "airport shuttle"],
+    "investment_types": ["stock", "bond", "fund", "real estate", "commodity", "savings"],
+    "marketing_channels": ["email", "search", "social", "display", "affiliate", "referral", "direct", "events"],
+    "gaming_platforms": ["PC", "console", "handheld", "mobile", "cloud", "arcade"],
+    "materials": ["steel", "aluminium", "copper", "glass", "wood", "plastic", "rubber", "concrete"],
+    "legal_documents": ["contract", "deed", "will", "lease", "patent", "affidavit", "power of attorney"],
+    "id_types": ["passport", "driving licence", "national id", "residence permit"],
+    "id_types_india": ["aadhaar", "pan", "voter id", "passport", "ration card"],
+    "weather": ["sunny", "cloudy", "rain", "snow", "storm", "fog", "windy", "hail"],
+    "device_types": ["phone", "tablet", "laptop", "desktop", "watch", "television", "sensor"],
+    "clothing": ["shirt", "trousers", "dress", "jacket", "skirt", "coat", "sweater", "socks"],
+    "energy_sources": ["solar", "wind", "hydro", "nuclear", "gas", "coal", "biomass", "geothermal"],
+    "airlines": ["Aero North", "Blue Wing", "Condor Line", "Delta Sky", "Eastern Air"],
+    "employment_types": ["full time", "part time", "contract", "internship", "freelance", "remote"],
+    "departments": ["Engineering", "Finance", "Legal", "Marketing", "Operations", "People", "Sales", "Support"],
+    "property_types": ["apartment", "house", "villa", "studio", "office", "warehouse", "land"],
+    "cuisines": ["French", "Indian", "Italian", "Japanese", "Lebanese", "Mexican", "Thai", "Turkish"],
+    "isps": ["FiberOne", "NetWave", "Skyline Internet", "MetroConnect", "RuralNet"],
+    "ministries": ["Agriculture", "Defence", "Education", "Finance", "Health", "Home Affairs", "Railways", "Science"],
+    "specialties": ["cardiology", "dermatology", "neurology", "oncology", "orthopedics", "pediatrics", "psychiatry", "radiology"],
+    "hashtags": ["#travel", "#food", "#music", "#tech", "#fitness", "#nature", "#art", "#news"],
+    "programming_languages": ["Python", "Java", "Scala", "Go", "Rust", "C", "JavaScript", "SQL", "Kotlin", "Ruby"],
+    "frameworks": ["Django", "Flask", "Spring", "Rails", "Express", "Laravel", "Angular", "React", "Vue", "Svelte"],
+    "currencies": ["USD", "EUR", "GBP", "INR", "JPY", "CAD", "AUD", "CHF", "CNY", "BRL"],
+    "mime_types": ["text/html", "text/plain", "application/json", "application/pdf", "image/png", "image/jpeg", "audio/mpeg", "video/mp4"],
+    "locales": ["en-US", "en-GB", "fr-FR", "de-DE", "es-ES", "pt-BR", "hi-IN", "ja-JP"],
+    "roles": ["admin", "editor", "viewer", "owner", "member", "guest", "moderator", "support"],
+    "plans": ["free", "basic", "pro", "business", "enterprise"],
+    "operating_systems": ["Linux", "Windows", "macOS", "Android", "iOS", "ChromeOS"],
+    "transaction_types": ["deposit", "withdrawal", "transfer", "payment", "refund", "fee"],
+    "reasons": ["duplicate", "expired", "requested by user", "policy", "out of stock", "damaged", "other"],
+    "errors": ["connection timed out", "permission denied", "resource not found", "invalid argument", "quota exceeded", "internal error"],
+    "sizes": ["XS", "S", "M", "L", "XL", "XXL"],
+    "words": ["amber", "brook", "cloud", "delta", "ember", "field", "grove", "haven", "inlet", "jade", "knoll", "lumen", "mesa", "north", "opal", "pine", "quartz", "ridge", "stone", "vale"],
+    "sentences": ["The order arrived on time.", "We will follow up next week.", "Please review the attached notes.", "The team agreed on a plan.", "Results look better than expected.", "Nothing else was changed.", "A short summary is below.", "Costs stayed within budget.", "The service was restarted.", "Feedback has been positive.", "The next step is testing.", "All checks have passed."],
+    "ports": ["22", "25", "80", "443", "3000", "5432", "6379", "8080", "8443", "9092"],
+    "topics": ["Data Quality", "Urban Gardening", "Remote Teams", "Stream Processing", "Home Cooking", "Trail Running", "Open Data", "Event Planning", "Battery Care", "Photography"],
+    "titles": ["{Topic} in Practice", "Notes on {Topic}", "{Topic} for Beginners", "A Field Guide to {Topic}", "{Topic} at {Company}", "Questions about {Topic}"],
+    "article_titles": ["What {Topic} Taught Us", "Ten Facts about {Topic}", "{Topic} Comes to {City}", "Why {Topic} Matters Now", "Inside {Company}: {Topic}"],
+}
 
 DAY_MS = 86_400_000
 
@@ -190,6 +191,26 @@ def letters(c: Context, n: int, draw: int) -> Column:
     return F.concat(*[F.char(F.lit(65) + F.floor(c.u(draw + k) * 26.0).cast("int")) for k in range(n)])
 
 
+def from_template(c: Context, templates: str, draw: int = 0) -> Column:
+    """One of a list of templates, each {name} in it replaced by one of the list that the name stands for (PLACEHOLDERS)."""
+    out = c.pick(templates, draw)
+    for k, (name, corpus) in enumerate(PLACEHOLDERS.items()):
+        if any(f"{{{name}}}" in t for t in c.listed(templates)):
+            out = F.replace(out, F.lit(f"{{{name}}}"), c.pick(corpus, draw + 1 + k))
+    return out
+
+
+def title(c: Context) -> Column:
+    """By the table: articles and posts have other templates than the rest; products and films their own names."""
+    low = f"{c.table}_{c.name}".lower()
+    if "product" in low:
+        return c.pick("product_names", 1)
+    return from_template(c, "article_titles" if any(x in low for x in ("post", "article", "blog", "news")) else "titles", 1)
+
+
+#: What a template's placeholders are replaced by.
+PLACEHOLDERS = {"Topic": "topics", "City": "cities", "Company": "companies", "Word": "words"}
+
 Generator = Callable[[Context], Column]
 FROM_LIST = {
     "job_title": "job_titles", "product_name": "product_names", "movie_title": "movie_titles", "genre": "genres", "city": "cities", "country": "countries", "state": "states", "bank": "banks",
@@ -207,7 +228,7 @@ FROM_LIST = {
 TEXT: dict[str, Generator] = {
     **{name: (lambda c, k=corpus: c.pick(k)) for name, corpus in FROM_LIST.items()},
     "full_name": full_name, "username": username, "email": email, "content": content, "url": url, "slug": slug, "status": status,
-    "title": lambda c: F.initcap(F.concat_ws(" ", c.pick("words", 1), c.pick("words", 2), c.pick("words", 3))),
+    "title": title,
     "phone": lambda c: F.concat(F.lit("+1"), digits_text(c, 10)),
     "address": lambda c: F.concat(D.integer(c.u(1), 1, 999).cast("string"), F.lit(" "), c.pick("streets", 2), F.lit(", "), c.pick("cities", 3)),
     "zip_code": lambda c: digits_text(c, 6 if "india" in f"{c.table}_{c.name}".lower() else 5),
@@ -239,7 +260,7 @@ NUMBER: dict[str, Generator] = {
     "quantity": near(10, 5, 1, 0), "age": near(32, 12, 1, 0), "score": lambda c: F.least(near(75, 15)(c), F.lit(100.0)), "rating": lambda c: F.least(near(4.2, 0.8, 1, 1)(c), F.lit(5.0)),
     "counter": lambda c: D.zipf(c.u(), 500, 1.3), "views": lambda c: D.zipf(c.u(), 10_000, 1.1), "likes": lambda c: D.zipf(c.u(), 5_000, 1.2), "followers": lambda c: D.zipf(c.u(), 50_000, 1.2),
     "duration": near(300, 200, 1, 0), "elapsed": near(1200, 600, 1, 0), "seconds": lambda c: D.integer(c.u(), 0, 3599), "minutes": lambda c: D.integer(c.u(), 0, 59), "hours": lambda c: D.integer(c.u(), 0, 23),
-    "ordinal": lambda c: D.integer(c.u(), 1, 1000), "latitude": lambda c: F.round(D.number(c.u(), -90, 90), 6), "longitude": lambda c: F.round(D.number(c.u(), -180, 180), 6),
+    "count1000": lambda c: D.integer(c.u(), 0, 999), "ordinal": lambda c: D.integer(c.u(), 1, 1000), "latitude": lambda c: F.round(D.number(c.u(), -90, 90), 6), "longitude": lambda c: F.round(D.number(c.u(), -180, 180), 6),
     "year": lambda c: D.integer(c.u(), 1950, 2024), "port": lambda c: D.pick(c.u(), CORPORA["ports"]).cast("int"),
 }
 

@@ -6,9 +6,11 @@ Output therefore doesn't depend on the partitioning, and any range of rows can b
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from threading import Lock
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -372,15 +374,27 @@ class Generator:
         return {n: self.frame(spark, n) for n in depgraph.table_order(self.schema) if n in self.config.counts}
 
     def write(self, spark: SparkSession, sink: Callable[[str, DataFrame], None], threads: int = 4) -> list[dict]:
-        """Hands the tables to a sink, level by level, the tables of a level side by side. Errors are collected, not raised."""
+        """Hands the tables to a sink, level by level, the tables of a level side by side. Errors are collected, not raised.
+
+        Each result has the table's rows, seconds and rows a second, and as of then the rows of all tables, rows a second overall and the seconds
+        that the rest should take at that pace (None before the first row).
+        """
         out: list[dict] = []
+        began, done, lock = time.monotonic(), [0], Lock()
+        total = sum(self.config.counts.values())
 
         def one(name: str) -> dict:
+            start = time.monotonic()
             try:
                 sink(name, self.frame(spark, name))
                 found = {"table": name, "rows": self.count(name), "error": None}
             except Exception as e:  # noqa: BLE001
                 found = {"table": name, "rows": 0, "error": str(e)}
+            now = time.monotonic()
+            with lock:
+                done[0] += found["rows"]
+                pace = done[0] / max(now - began, 1e-9)
+                found |= {"seconds": now - start, "rows_per_sec": found["rows"] / max(now - start, 1e-9), "total_rows": done[0], "total_rows_per_sec": pace, "seconds_left": (total - done[0]) / pace if pace else None}
             if self.config.on_progress:
                 self.config.on_progress(name, found["rows"])
             return found

@@ -34,6 +34,15 @@ def type_histogram(df: DataFrame, column: str) -> DataFrame:
     return counts.withColumn("dominant", rank == 1)
 
 
+def item_types(df: DataFrame, column: str) -> DataFrame:
+    """key and items of each member that is an array anywhere: object, primitive or mixed, by all of its elements; primitive without any."""
+    lists = json_fields(df, column).where(json_type(F.col("value")) == "array")
+    items = lists.select("key", F.explode_outer(F.try_variant_get("value", "$", "array<variant>")).alias("item"))
+    kind = json_type(F.col("item"))
+    sums = items.groupBy("key").agg(F.coalesce(F.bool_or(kind == "object"), F.lit(False)).alias("o"), F.coalesce(F.bool_or(F.col("item").isNotNull() & (kind != "object")), F.lit(False)).alias("p"))
+    return sums.select("key", F.when(F.col("o") & F.col("p"), "mixed").when(F.col("o"), "object").otherwise("primitive").alias("items"))
+
+
 def infer_table(df: DataFrame, column: str, name: str) -> Table:
     """The fields of a column of JSON documents: dominant type, nullable if any is null or missing; _id first, then by name."""
     total = df.count()
@@ -47,7 +56,8 @@ def infer_table(df: DataFrame, column: str, name: str) -> Table:
             own["type"] = {"number": "number", "date": "timestamp"}.get(r["type"], r["type"])
     if not seen:
         return Table(name, [Field("_id", "objectid", True, primaryKey=True)])
-    fields = [Field(k, v["type"], required=not v["null"] and v["n"] >= total, primaryKey=k == "_id") for k, v in seen.items()]
+    items = {r["key"]: r["items"] for r in item_types(df, column).collect()} if any(v["type"] == "array" for v in seen.values()) else {}
+    fields = [Field(k, v["type"], arrayItemType=items.get(k) if v["type"] == "array" else None, required=not v["null"] and v["n"] >= total, primaryKey=k == "_id") for k, v in seen.items()]
     return Table(name, sorted(fields, key=lambda f: (f.name != "_id", f.name)))
 
 

@@ -74,28 +74,85 @@ def table_order(schema: Schema) -> list[str]:
     return [n for level in levels(table_graph(schema))[0] for n in level]
 
 
+def catalog_order(schema: Schema) -> tuple[list[str], set[str]]:
+    """Tables by their declared references only, and those that refer to themselves: what a relational store that checks keys needs.
+
+    A reference that may be null is weak and gives way in a cycle; a reference to the table itself is no dependency.
+    """
+    names = [t.name for t in schema.tables]
+    out, own = Graph(names, {n: set() for n in names}, {n: set() for n in names}), set()
+    told = set()
+    for r in schema.relations:
+        if r.type in ("many-to-many", "N:M"):
+            continue
+        child, parent = (schema.table(x) for x in ((r.toTable, r.fromTable) if r.type in ("one-to-many", "1:N") else (r.fromTable, r.toTable)))
+        if child and parent:
+            columns = r.fromFields or [r.toField if r.type in ("one-to-many", "1:N") else r.fromField]
+            told |= {(child.name, c) for c in columns}
+            fields = [f for f in map(child.field, filter(None, columns)) if f]
+            out.add(child.name, parent.name, all(f.required for f in fields))
+            own |= {child.name} if child is parent else set()
+    for t in schema.tables:
+        for f in t.fields:
+            parent = schema.table((f.references or "").rsplit(".", 1)[0] or None) or schema.table((f.references or "").split(".")[0] or None)
+            if parent and (t.name, f.name) not in told:
+                out.add(t.name, parent.name, f.required)
+                own |= {t.name} if parent is t else set()
+    return [n for level in levels(out)[0] for n in level], own
+
+
+def given_order(schema: Schema) -> list[str]:
+    """Tables as they are listed: for stores that check no references."""
+    return [t.name for t in schema.tables]
+
+
+#: How the tables are ordered for a store.
+ORDERS = {"postgresql": lambda s: catalog_order(s)[0], "mysql": lambda s: catalog_order(s)[0], "sqlserver": lambda s: catalog_order(s)[0], "sqlite": table_order, "memory": given_order, "null": given_order, "parquet": given_order, "json": given_order, "csv": given_order}
+
+
+def order_for(store: str, schema: Schema) -> list[str]:
+    return ORDERS.get(store, table_order)(schema)
+
+
 def column_order(table: Table) -> list[str]:
-    """Fields so that each comes after the columns its constraints look at; where these form a cycle, in the order given."""
+    """Fields so that each comes after the columns its constraints look at; of a cycle one edge is dropped, the last that closes it, and all others hold."""
     names = [f.name for f in table.fields]
-    needs = {f.name: {x for x in (f.constraints.minColumn, f.constraints.maxColumn, f.constraints.gtColumn, f.constraints.ltColumn) if x in names and x != f.name} for f in table.fields}
-    if "createdAt" in needs and "updatedAt" in needs:
-        needs["updatedAt"] |= {"createdAt"} if "updatedAt" not in needs["createdAt"] else set()
+    needs: dict[str, list[str]] = {n: [] for n in names}
+
+    def reaches(a: str, b: str) -> bool:
+        seen, left = set(), [a]
+        while left:
+            x = left.pop()
+            if x == b:
+                return True
+            if x not in seen:
+                seen.add(x)
+                left += needs[x]
+        return False
+
+    wanted = [(f.name, x) for f in table.fields for x in (f.constraints.minColumn, f.constraints.maxColumn, f.constraints.gtColumn, f.constraints.ltColumn)]
+    wanted += [("updatedAt", "createdAt")]
+    for a, b in wanted:
+        if a in needs and b in needs and a != b and b not in needs[a] and not reaches(b, a):
+            needs[a].append(b)
     out: list[str] = []
     while len(out) < len(names):
-        out.append(next((n for n in names if n not in out and needs[n] <= set(out)), next(n for n in names if n not in out)))
+        out.append(next(n for n in names if n not in out and set(needs[n]) <= set(out)))
     return out
 
 
 def recursive_levels(spark: SparkSession, edges: list[tuple[str, str]]) -> DataFrame:
     """table and level (0: needs nothing) for acyclic edges (child, parent), by a recursive query."""
-    view = "weftline_edges"
-    spark.createDataFrame(edges, "child string, parent string").createOrReplaceTempView(view)
-    return spark.sql(f"""
+    held = spark.createDataFrame(edges, "child string, parent string")
+    return spark.sql(
+        """
         WITH RECURSIVE walk(name, level) AS (
-            SELECT DISTINCT parent, 0 FROM {view} WHERE parent NOT IN (SELECT child FROM {view})
+            SELECT DISTINCT parent, 0 FROM {edges} WHERE parent NOT IN (SELECT child FROM {edges})
             UNION ALL
-            SELECT e.child, walk.level + 1 FROM walk JOIN {view} e ON e.parent = walk.name)
-        SELECT name, max(level) AS level FROM walk GROUP BY name""")
+            SELECT e.child, walk.level + 1 FROM walk JOIN {edges} e ON e.parent = walk.name)
+        SELECT name, max(level) AS level FROM walk GROUP BY name""",
+        edges=held,
+    )
 
 
 def relation_edges(relations: list[Relation]) -> list[tuple[str, str]]:

@@ -359,6 +359,17 @@ def p_types(spark, sf_dir):
     return profile.type_histogram(t(spark, sf_dir, "events"), "props")
 
 
+LISTS = """'{"turns": [' || turn || ', {"n": ' || turn || '}], "roles": ["' || role || '"], "parts": [{"t": 1}], "none": []}'"""
+
+
+@query(f"""
+WITH d AS (SELECT {LISTS} AS j FROM conversations), k AS (SELECT unnest(json_keys(j)) AS key, j FROM d), e AS (SELECT key, unnest(CAST(json_extract(j, '$.' || key) AS JSON[])) AS item FROM k)
+SELECT k.key, CASE WHEN coalesce(o AND p, false) THEN 'mixed' WHEN o THEN 'object' ELSE 'primitive' END AS items FROM (SELECT DISTINCT key FROM k) k
+LEFT JOIN (SELECT key, bool_or(json_type(item) = 'OBJECT') AS o, bool_or(json_type(item) <> 'OBJECT') AS p FROM e GROUP BY 1) x ON x.key = k.key""")
+def p_item_types(spark, sf_dir):
+    return profile.item_types(t(spark, sf_dir, "conversations").select(F.expr(LISTS).alias("j")), "j")
+
+
 TEXTS = ["c_name", "c_mktsegment"]
 
 

@@ -95,6 +95,65 @@ def jdbc(url: str, truncate: bool = False, batch: int = 5000, allow_production:
     return write
 
 
+def execute(spark: SparkSession, url: str, statements: list[str], **options) -> list[int]:
+    """Runs statements in the database, one after another in a transaction; rows that each changed."""
+    driver = options.pop("driver", None) or DRIVERS.get(url.split(":")[1])
+    if driver:
+        spark._jvm.org.apache.spark.sql.execution.datasources.jdbc.DriverRegistry.register(driver)
+    properties = spark._jvm.java.util.Properties()
+    for k, v in options.items():
+        properties.setProperty(k, str(v))
+    connection, out = spark._jvm.java.sql.DriverManager.getConnection(url, properties), []
+    try:
+        connection.setAutoCommit(False)
+        statement = connection.createStatement()
+        for s in statements:
+            out.append(statement.executeUpdate(s))
+        connection.commit()
+    except Exception:
+        connection.rollback()
+        raise
+    finally:
+        connection.close()
+    return out
+
+
+def new_rows(url: str, keys: dict[str, list[str]], batch: int = 5000, allow_production: bool = False, **options) -> Sink:
+    """Into tables that exist: only rows whose key (keys[table]) isn't there yet, so a load may be repeated. Spark's tasks fill a staging table side by
+    side, and the database takes from it what is new, in one statement of plain SQL."""
+    guarded(url, allow_production)
+
+    def write(name: str, df: DataFrame) -> None:
+        stage = f"{name}_staged"
+        jdbc(url, True, batch, True, **options)(stage, df.dropDuplicates(keys[name]))
+        # staging columns are quoted as Spark made them
+        mark = spark_quote(url)
+        columns = ", ".join(mark(c) for c in df.columns)
+        same = " AND ".join(f"{name}.{mark(k)} = s.{mark(k)}" for k in keys[name])
+        take = f"INSERT INTO {name} ({columns}) SELECT {columns} FROM {stage} s WHERE NOT EXISTS (SELECT 1 FROM {name} WHERE {same})"
+        execute(df.sparkSession, url, [take, f"DROP TABLE {stage}"], **options)
+
+    return write
+
+
+def spark_quote(url: str) -> Callable[[str], str]:
+    """Identifiers between the marks of the database."""
+    left, right = {"mysql": "``", "sqlserver": "[]"}.get(url.split(":")[1], '""')
+    return lambda name: f"{left}{name}{right}"
+
+
+def foreign_key_statements(relations: list) -> list[str]:
+    """ALTER TABLE statements that declare references once all tables are loaded."""
+    out = []
+    for r in relations:
+        if r.type in ("many-to-many", "N:M"):
+            continue
+        child, mine, parent, theirs = (r.toTable, r.toFields or [r.toField], r.fromTable, r.fromFields or [r.fromField]) if r.type in ("one-to-many", "1:N") else (r.fromTable, r.fromFields or [r.fromField], r.toTable, r.toFields or [r.toField])
+        if all(mine) and all(theirs):
+            out.append(f"ALTER TABLE {child} ADD CONSTRAINT fk_{child}_{'_'.join(mine)} FOREIGN KEY ({', '.join(mine)}) REFERENCES {parent} ({', '.join(theirs)})")
+    return out
+
+
 def connector(store: str, allow_production: bool = False, **options) -> Sink:
     guarded(" ".join(map(str, options.values())), allow_production)
     kind, key = CONNECTORS[store]
