@@ -9,7 +9,8 @@ A text that stands at its node in most pages is template; a node whose texts var
 The tree starts from a bounded sample, the `sample` pages of each host with the least hash; it says which nodes of two pages are the same
 and nothing else. Every page is aligned with it in the workers; nodes without a partner are told by their parent, label and turn among
 such siblings, so layouts that the sample lacks have nodes too. Counts are of all distinct pages: each worker adds up (node, text) before
-the shuffle, and template is decided from the whole sums. Of a page that stands in n rows each row counts 1/n.
+the shuffle, and template is decided from the whole sums. Of a page that stands in n rows each row counts 1/n. In the same pass a worker
+passes on each page's aligned texts, so a page is parsed and aligned once, and its markup is read by nothing later.
 
 Varying slots are content unless their place says otherwise: menus, headers and footers of the page, sidebars, adverts, forms, scripts,
 styles and reader comments are told by their elements, roles and class names, as they vary like content does. Names that sections of
@@ -17,8 +18,9 @@ the text have too (MAYBE) decide only where the wrapper leaves a section open, h
 isn't most of the page's text; elsewhere the section is content if its texts, by length, are mostly ones that stand in a single page of the host. Where a page has an article or main
 element, only slots inside it are content, unless its nodes outside hold more varying text in the host's pages than those inside.
 
-Trees, wrappers and repeated pages are written once and their bytes summed up: up to BROADCAST_BYTES they are broadcast, and no page is
-shuffled; beyond that they meet pages in a shuffled join, a host that has a third of all pages being dealt to SALTS tasks.
+Trees and wrappers are written once and their bytes summed up: up to BROADCAST_BYTES they are broadcast, and no page is shuffled;
+beyond that the trees meet the pages, and the wrappers the aligned texts, in a shuffled join, a host that has a third of all pages being
+dealt to SALTS tasks. Sampled and repeated pages are told by a sieve, so no other page is shuffled for them.
 
 Alignment is bounded: a tree is DEPTH levels deep, what stands deeper hangs side by side at the last level; equal subtrees at either end
 of two child lists are paired first, and lists whose product is still above CELLS are paired by label and turn, in order.
@@ -42,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lean, materialize, slices
+from .common import free, lean, materialize, sift, slices
 
 #: Distinct pages of a host that its tree starts from.
 SAMPLE = 12
@@ -367,51 +369,62 @@ def aligned(root: Node, tree: Slot | None) -> Iterator[tuple[Node, int | None, b
     return walk(root, tree, tree.key if tree else None, False, None)
 
 
+def body_of(page: str | None, tree: Slot | None) -> list:
+    """Whether the page has an article or main element, and of each node with texts: key, inside one, number of its MAYBE section, texts, places."""
+    if not page:
+        return [False, []]
+    root = fold(parse(page))
+    numbers: dict[int, int] = {}
+    nodes = [[key, inside, numbers.setdefault(id(section), len(numbers) + 1) if section else 0, node.texts, node.order] for node, key, inside, section in aligned(root, tree)]
+    return [root.main, nodes]
+
+
 @dataclass
 class Wrapper:
-    """A host's tree, the digests of (key, text) of its template texts, and of its slots that LEAST pages have: characters a page of texts
-    that aren't template, and whether most of these texts stand in a single page."""
+    """Of a host: the digests of (key, text) of its template texts, and of its slots that LEAST pages have: characters a page of texts that
+    aren't template, and whether most of these texts stand in a single page."""
 
-    tree: Slot
     template: frozenset[int]
     slots: dict[int, tuple[float, bool]]
 
     @classmethod
-    def load(cls, host: str, dumped: str) -> Wrapper:
+    def load(cls, dumped: str) -> Wrapper:
         x = json.loads(dumped)
-        return cls(Slot.load(json.loads(x["tree"]), digest("host", host)), frozenset(x.get("template") or ()), {n["node"]: (n["varying"], n["single"]) for n in x.get("slots") or ()})
+        return cls(frozenset(x.get("template") or ()), {n["node"]: (n["varying"], n["single"]) for n in x.get("slots") or ()})
 
 
-def extract(page: str | None, wrapper: Wrapper | None) -> str:
-    if not page:
-        return ""
-    root = fold(parse(page))
-    nodes = list(aligned(root, wrapper.tree if wrapper else None))
+def chosen(body: list, wrapper: Wrapper | None) -> str:
+    """The main text among a page's aligned texts."""
+    main, nodes = body
     slots = wrapper.slots if wrapper else {}
     sections: dict[int, float] = {}  # varying characters of texts of a single page, less those of others
-    for _, key, _, section in nodes:
+    length = {section: 0 for _, _, section, _, _ in nodes}
+    for key, _, section, texts, _ in nodes:
+        length[section] += sum(map(len, texts))
         if section and key in slots:
             varying, single = slots[key]
-            sections[id(section)] = sections.get(id(section), 0.0) + (varying if single else -varying)
-    length = {id(x[3]): 0 for x in nodes}
-    for node, _, _, section in nodes:
-        length[id(section)] += sum(map(len, node.texts))
+            sections[section] = sections.get(section, 0.0) + (varying if single else -varying)
     # a section that the wrapper says nothing about is content if it is most of the page
     most = {x for x, n in length.items() if x not in sections and 2 * n > sum(length.values())}
-    nodes = [x for x in nodes if not x[3] or sections.get(id(x[3]), 0.0) > 0 or id(x[3]) in most]
     found: list[tuple[int, str, bool]] = []
     held = {True: 0.0, False: 0.0}  # varying characters inside and outside article and main
-    for node, key, inside, _ in nodes:
-        own = [(order, text, inside) for text, order in zip(node.texts, node.order, strict=True) if not wrapper or digest(key, text) not in wrapper.template]
+    for key, inside, section, texts, order in nodes:
+        if section and sections.get(section, 0.0) <= 0 and section not in most:
+            continue
+        own = [(k, text, inside) for text, k in zip(texts, order, strict=True) if not wrapper or digest(key, text) not in wrapper.template]
         found += own
         if key in slots:
             held[inside] += slots[key][0]
         elif inside:
             held[inside] += sum(len(t) for _, t, _ in own)
-    main = root.main and held[True] >= held[False]
+    main = main and held[True] >= held[False]
     return "\n".join(t for _, t, inside in sorted(found) if inside or not main)
 
 
+def extract(page: str | None, wrapper: Wrapper | None = None, tree: Slot | None = None) -> str:
+    return chosen(body_of(page, tree), wrapper)
+
+
 def inducer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by host: a tree for each."""
     host, pages = None, []
@@ -426,31 +439,38 @@ def inducer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"of": [host], "tree": [induce(pages)]})
 
 
-SUMMED = pa.schema([("host", pa.string()), ("node", pa.int64()), ("text", pa.int64()), ("length", pa.int64()), ("pages", pa.float64())])
+#: What a worker passes on: of a page its row and its aligned texts, and sums, in whose rows `of` is null.
+SUMMED = [("host", pa.string()), ("node", pa.int64()), ("text", pa.int64()), ("length", pa.int64()), ("pages", pa.float64())]
 
 
-def counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial sums: in how many pages a node stands (text is null, host is given) and in how many each of its texts."""
+def aligner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each page's aligned texts, and partial sums: in how many pages a node stands (text is null, host is given) and in how many each of its texts."""
     trees: dict[str, Slot] = {}
     sums: dict[tuple[str | None, int, int | None, int], float] = {}
+    kinds: list[pa.DataType] = []
 
     def out() -> pa.RecordBatch:
         keys = list(zip(*sums, strict=True))
-        got = pa.RecordBatch.from_arrays([pa.array(x, type=f.type) for x, f in zip([*keys, list(sums.values())], SUMMED, strict=True)], schema=SUMMED)
+        arrays = [*(pa.nulls(len(sums), k) for k in kinds), *(pa.array(x, type=k) for x, (_, k) in zip([*keys, list(sums.values())], SUMMED, strict=True))]
         sums.clear()
-        return got
+        return pa.RecordBatch.from_arrays(arrays, names=["page_id", "url", "of", "body", *(n for n, _ in SUMMED)])
 
     for batch in batches:
+        kinds = [batch.schema.field("page_id").type, pa.string(), pa.string(), pa.string()]
         for part in slices(batch, "html"):
+            bodies = []
             for page, host, tree, n in zip(*(part.column(c).to_pylist() for c in ("html", "host", "tree", "n")), strict=True):
-                if host not in trees:
+                if tree and host not in trees:
                     if len(trees) > 500:
                         trees.clear()
                     trees[host] = Slot.load(json.loads(tree), digest("host", host))
-                share = 1.0 / n
-                for node, key, _, _ in aligned(fold(parse(page)), trees[host]):
-                    for at in ((host, key, None, 0), *((None, key, digest(key, t), len(t)) for t in set(node.texts))):
-                        sums[at] = sums.get(at, 0.0) + share
+                body = body_of(page, trees.get(host))
+                bodies.append(json.dumps(body, ensure_ascii=False, separators=(",", ":")))
+                for node, _, _, texts, _ in body[1]:
+                    for at in ((host, node, None, 0), *((None, node, digest(node, t), len(t)) for t in set(texts))):
+                        sums[at] = sums.get(at, 0.0) + 1.0 / n
+            rows = len(bodies)
+            yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), part.column("host"), pa.array(bodies, type=pa.string()), *(pa.nulls(rows, k) for _, k in SUMMED)], names=["page_id", "url", "of", "body", *(n for n, _ in SUMMED)])
             if len(sums) > SUMS:
                 yield out()
     if sums:
@@ -460,14 +480,14 @@ def counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extractor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     loaded: dict[str, Wrapper] = {}
     for batch in batches:
-        for part in slices(batch, "html"):
+        for part in slices(batch, "body"):
             texts = []
-            for page, host, dumped in zip(*(part.column(c).to_pylist() for c in ("html", "host", "wrapper")), strict=True):
+            for body, host, dumped in zip(*(part.column(c).to_pylist() for c in ("body", "of", "wrapper")), strict=True):
                 if dumped and host not in loaded:
                     if len(loaded) > 500:
                         loaded.clear()
-                    loaded[host] = Wrapper.load(host, dumped)
-                texts.append(extract(page, loaded.get(host)))
+                    loaded[host] = Wrapper.load(dumped)
+                texts.append(chosen(json.loads(body), loaded.get(host)))
             yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, type=pa.string()), pa.array([len(t) for t in texts], type=pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
@@ -487,27 +507,39 @@ def attach(rows: DataFrame, few: DataFrame, keys: dict[str, str], how: str, salt
     return rows.join(few.hint("merge"), [*same, F.col("__w_salt") == F.col("__w_of_salt")], how).drop(*gone, "__w_salt", "__w_of_salt")
 
 
-def wrappers(keyed: DataFrame, sample: int = SAMPLE, salts: int = SALTS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """of (host) and wrapper of keyed (page_id, url, html, host): trees from each host's `sample` pages with the least hash, counts from all."""
-    keyed = keyed.where(F.length("html") > 0).withColumn("h", F.xxhash64("html"))
-    row_salt = F.xxhash64("page_id", "url")
-    hashes = materialize(keyed.groupBy("host", "h").agg(F.count("*").alias("n")), "hashes")
+def trees_of(keyed: DataFrame, sample: int) -> tuple[DataFrame, DataFrame]:
+    """of (host) and tree, from each host's `sample` pages with the least hash; and of_host, of_h and n of pages that stand in several rows."""
+    hashes = materialize(keyed.where("h is not null").groupBy("host", "h").agg(F.count("*").alias("n")), "hashes")
     salt = F.pmod(F.col("h"), F.lit(SALTS))
     first = hashes.withColumn("k", F.row_number().over(Window.partitionBy("host", salt).orderBy("h"))).where(F.col("k") <= sample)
     ranked = first.withColumn("k", F.row_number().over(Window.partitionBy("host").orderBy("h"))).where(F.col("k") <= sample)
-    chosen = materialize(ranked.select(F.col("host").alias("of_host"), F.col("h").alias("of_h")), "chosen")
+    picked = materialize(ranked.select(F.col("host").alias("of_host"), F.col("h").alias("of_h")), "chosen")
+    may, _ = sift(keyed.where("h is not null"), "h", picked.select("of_h"))
     # of pages with the same html one is enough; they agree, so any is the same
-    bodies = attach(keyed, chosen, {"host": "of_host", "h": "of_h"}, "inner", row_salt, salts, broadcast_bytes).groupBy("host", "h").agg(F.min("html").alias("html"))
+    once = may.groupBy("host", "h").agg(F.min("html").alias("html"))
+    bodies = once.join(picked, (F.col("host") == F.col("of_host")) & (F.col("h") == F.col("of_h")), "left_semi")
     trees = materialize(bodies.select("host", "html").repartition("host").sortWithinPartitions("host", "html").mapInArrow(lean(inducer), "of string, tree string"), "trees")
     repeats = materialize(hashes.where("n > 1").select(F.col("host").alias("of_host"), F.col("h").alias("of_h"), "n"), "repeats")
-    shares = attach(attach(keyed, trees, {"host": "of"}, "inner", row_salt, salts, broadcast_bytes), repeats, {"host": "of_host", "h": "of_h"}, "left", row_salt, salts, broadcast_bytes)
-    parts = shares.select("html", F.col("host"), "tree", F.coalesce("n", F.lit(1)).alias("n")).mapInArrow(lean(counter), "host string, node long, text long, length long, pages double")
-    counts = materialize(parts.groupBy("node", "text").agg(F.max("host").alias("host"), F.max("length").alias("length"), F.round(F.sum("pages")).cast("long").alias("pages")), "counts")
-    return decide(counts, trees, salts, broadcast_bytes)
-
-
-def decide(counts: DataFrame, trees: DataFrame, salts: int, broadcast_bytes: int) -> DataFrame:
-    """of and wrapper: a text is template that stands in CONSTANT of the pages that have its node, if these are LEAST or more."""
+    free(hashes, picked)
+    return trees, repeats
+
+
+def aligned_pages(keyed: DataFrame, sample: int, salts: int, broadcast_bytes: int) -> DataFrame:
+    """A written table: page_id, url, of (host) and body of each row of keyed, and rows of partial sums, in which `of` is null."""
+    trees, repeats = trees_of(keyed, sample)
+    may, rest = sift(keyed, "h", repeats.select("of_h"))
+    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")
+    dealt = repeats.withColumn("of_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    again = may.withColumn("salt", salt).join(dealt, (F.col("host") == F.col("of_host")) & (F.col("h") == F.col("of_h")) & (F.col("salt") == F.col("of_salt")), "left").select(*keyed.columns, "n")
+    rows = attach(again.unionByName(rest.withColumn("n", F.lit(None).cast("long"))), trees, {"host": "of"}, "left", F.xxhash64("page_id", "url"), salts, broadcast_bytes)
+    schema = f"page_id {dict(keyed.dtypes)['page_id']}, url string, of string, body string, host string, node long, text long, length long, pages double"
+    out = materialize(rows.select("page_id", "url", "html", "host", "tree", F.coalesce("n", F.lit(1)).alias("n")).mapInArrow(lean(aligner), schema), "aligned")
+    free(trees, repeats)
+    return out
+
+
+def decide(counts: DataFrame, salts: int, broadcast_bytes: int) -> DataFrame:
+    """slots_of (host) and wrapper, of hosts with a node in LEAST pages: a text is template that stands in CONSTANT of the pages that have its node, if these are LEAST or more."""
     count = lambda which, what="pages": F.coalesce(F.sum(F.when(which, F.col(what))), F.lit(0))
     counts = counts.withColumn("chars", F.col("pages") * F.col("length"))
     a_text = F.col("text").isNotNull()
@@ -523,14 +555,17 @@ def decide(counts: DataFrame, trees: DataFrame, salts: int, broadcast_bytes: int
     single = 2 * F.col("singles") > F.col("texts") - F.coalesce("gone", F.lit(0))
     slots = left.groupBy(F.col("of").alias("slots_of")).agg(F.sort_array(F.collect_list(F.struct(F.col("of_node").alias("node"), varying.alias("varying"), single.alias("single")))).alias("slots"))
     found = template.groupBy(F.col("of").alias("template_of")).agg(F.sort_array(F.collect_list("text")).alias("template"))
-    both = trees.join(slots, F.col("of") == F.col("slots_of"), "left").join(found, F.col("of") == F.col("template_of"), "left")
-    return both.select("of", F.to_json(F.struct("tree", "template", "slots")).alias("wrapper"))
+    both = slots.join(found, F.col("slots_of") == F.col("template_of"), "left")
+    return both.select("slots_of", F.to_json(F.struct("template", "slots")).alias("wrapper"))
 
 
 def main_text(pages: DataFrame, sample: int = SAMPLE, salts: int = SALTS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """page_id, url, text and n_chars of each row of pages (page_id, url, html)."""
     own = pages.select("page_id", "url", F.col("html").cast("string").alias("html")).withColumn("host", host_of("url"))
-    models = materialize(wrappers(own, sample, salts, broadcast_bytes), "wrappers")
-    both = attach(own, models, {"host": "of"}, "left", F.xxhash64("page_id", "url"), salts, broadcast_bytes)
+    keyed = own.withColumn("h", F.when(F.length("html") > 0, F.xxhash64("html")))
+    found = aligned_pages(keyed, sample, salts, broadcast_bytes)
+    sums = found.where("of is null").groupBy("node", "text").agg(F.max("host").alias("host"), F.max("length").alias("length"), F.round(F.sum("pages")).cast("long").alias("pages"))
+    models = materialize(decide(materialize(sums, "counts"), salts, broadcast_bytes), "wrappers")
+    both = attach(found.where("of is not null").select("page_id", "url", "of", "body"), models, {"of": "slots_of"}, "left", F.xxhash64("page_id", "url"), salts, broadcast_bytes)
     id_type = dict(own.dtypes)["page_id"]
-    return both.select("page_id", "url", "html", "host", "wrapper").mapInArrow(lean(extractor), f"page_id {id_type}, url string, text string, n_chars long")
+    return both.select("page_id", "url", "of", "body", "wrapper").mapInArrow(lean(extractor), f"page_id {id_type}, url string, text string, n_chars long")
