@@ -36,6 +36,32 @@ def test_targets():
     assert cube.targets({}) == {} and cube.targets({"a": 0}) == {"a": 0.0}
 
 
+def poured(sizes, weights=(5.0, 2.0, 1.0)):
+    """Targets by pouring: the level at which min(twice the size, level * weight) adds up to 150 % of all sizes, by bisection."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weigh = {s: weights[k % 3] for k, s in enumerate(order)}
+    low, high = 0.0, 4.0 * max(sum(sizes.values()), 1)
+    for _ in range(200):
+        level = (low + high) / 2
+        low, high = (low, level) if sum(min(2 * sizes[s], level * weigh[s]) for s in order) >= 1.5 * sum(sizes.values()) else (level, high)
+    return {s: min(2.0 * sizes[s], high * weigh[s]) for s in order}
+
+
+def test_digest_of_the_mix_equals_sql_and_pouring(spark, sf, con):
+    got = {r["doc_id"]: r for r in queries.op4_cube_mix(spark, sf).collect()}
+    sql = r"""WITH d AS (SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS size FROM documents)
+    SELECT doc_id, source, size, sum(size) OVER (PARTITION BY source) AS source_size FROM d"""
+    rows = con.execute(sql).fetchall()
+    want = poured({s: int(n) for _, s, _, n in rows})
+    taken, docs = Counter(), Counter()
+    for i, source, size, source_size in rows:
+        r = got.pop(i)
+        assert (r["size"], r["source_size"]) == (size, source_size) and r["target"] == pytest.approx(want[source], rel=1e-9) and r["taken"] in (0, size, 2 * size) and r["taken"] >= size * int(want[source] / max(source_size, 1) + 1e-9)
+        taken[source] += r["taken"]
+        docs[source] += size > 0
+    assert not got and all(abs(taken[s] - want[s]) <= 0.01 * want[s] + max(n for _, t, n, _ in rows if t == s) / 2 for s in want)
+
+
 def test_flight_keeps_both_totals():
     r = np.random.default_rng(2)
     p, words = r.random(500), r.integers(0, 900, 500).astype(float)
