@@ -125,3 +125,36 @@ def test_zipf_tail_joins_the_exact_ranks(spark):
     for u, k in zip(picks, got, strict=True):
         want = next(i for i, x in enumerate(upto, 1) if x >= u * total)
         assert abs(k - want) <= max(1, want * 1e-4)
+
+
+def test_tables_of_other_catalogues(spark):
+    told = spark.createDataFrame([("id", "int(11)", "NO", "PRI", None, "auto_increment"), ("mail", "varchar(80)", "YES", "UNI", None, ""), ("kind", "enum('a','b')", "NO", "", "a", "")], "Field string, Type string, Null string, Key string, Default string, Extra string")
+    t = catalog.from_describe("users", told)
+    assert t.field("id").primaryKey and t.field("id").isSerial and t.field("mail").constraints.unique and t.field("mail").constraints.maxLength == 80 and t.field("kind").constraints.enum == ["a", "b"] and t.field("kind").default == "a"
+    info = spark.createDataFrame([(0, "a", "INTEGER", 1, None, 1), (1, "b", "TEXT", 0, "'x'", 2), (2, "c", "REAL", 0, None, 0)], "cid int, name string, type string, notnull int, dflt_value string, pk int")
+    refs = spark.createDataFrame([(0, 0, "p", "a", "x"), (0, 1, "p", "b", "y"), (1, 0, "q", "c", "z")], "id int, seq int, `table` string, `from` string, `to` string")
+    t, rel = catalog.from_pragma("t", info, refs, [["c"]])
+    assert [f.name for f in t.keys()] == ["a", "b"] and t.field("b").default == "x" and t.field("c").references == "q.z"
+    assert [(r.toTable, r.type, r.fromFields) for r in rel] == [("p", "one-to-one", ["a", "b"]), ("q", "one-to-one", None)]
+    spark.sql("CREATE OR REPLACE TEMP VIEW said AS SELECT 1 AS x")
+    assert [f.name for f in catalog.from_spark(spark, "said").fields] == ["x"]
+
+
+def test_handlers_read_what_is_stored(spark, tmp_path):
+    for name, n in (("a", 3), ("b", 0)):
+        spark.range(n).write.parquet(f"{tmp_path}/{name}")
+    spark.range(2).write.json(f"{tmp_path}/c.json")
+    own = sinks.handler(spark, "parquet", str(tmp_path))
+    assert own.tables() == ["a", "b", "c"] and own.count("a") == 3 and not own.has_data("b") and [f.name for f in own.schema("a").fields] == ["id"]
+    assert sinks.handler(spark, "json", str(tmp_path)).count("c") == 2
+    spark.range(40).selectExpr("cast(id as int) as k").write.format("jdbc").options(url="jdbc:derby:memory:held;create=true", dbtable="nums").save()
+    held = sinks.jdbc_handler(spark, "jdbc:derby:memory:held", ["nums"], key={"nums": ("k", 0, 40, 4)})
+    assert held.tables() == ["nums"] and held.read("nums").rdd.getNumPartitions() == 4 and held.count("nums") == 40
+    with pytest.raises(ValueError, match="unsupported"):
+        sinks.handler(spark, "tape")
+
+
+def test_types_of_a_document_store(spark):
+    rows = [('{"r": {"path": "a/1"}, "g": {"latitude": 1.5, "longitude": 2}, "t": {"_seconds": 5, "_nanoseconds": 0}, "b": {"_bytes": "eA=="}, "o": {"x": 1}, "n": 1}',)]
+    table = profile.infer_table(spark.createDataFrame(rows, "j string"), "j", "t", profile.document_type)
+    assert {f.name: f.type for f in table.fields} == {"r": "reference", "g": "geopoint", "t": "timestamp", "b": "bytes", "o": "object", "n": "number"}

@@ -161,6 +161,25 @@ def by_names(tables: dict[str, T.StructType], keys: dict[str, str]) -> list[dict
     return out
 
 
+def by_paths(df: DataFrame, path: str, column: str) -> DataFrame:
+    """parentTable, childTable, column, confidence, type and isArrayReference that a document store's own references declare.
+
+    path: of each document, collection/id or collection/id/subcollection/id and so on. A member that is an object with a path refers to the path's
+    first collection; so do lists of such (N:M). A document in a subcollection refers to the collection above it by _parent.
+    """
+    parts = F.split(F.trim(F.col(path), F.lit("/")), "/")
+    rows = df.select(parts.alias("_parts"), column).where(F.size("_parts") >= 2).select(F.get("_parts", F.size("_parts") - 2).alias("childTable"), F.get("_parts", F.size("_parts") - 4).alias("_above"), column)
+    members = rows.withColumn("_data", F.try_parse_json(F.col(column)))
+    members = members.select("childTable", F.explode(F.when(F.schema_of_variant("_data").startswith("OBJECT"), F.try_variant_get("_data", "$", "map<string,variant>"))).alias("column", "value"))
+    is_list = F.schema_of_variant("value").startswith("ARRAY")
+    target = lambda at: F.get(F.split(F.trim(F.try_variant_get("value", at, "string"), F.lit("/")), "/"), 0)
+    whole = lambda at: F.size(F.split(F.trim(F.try_variant_get("value", at, "string"), F.lit("/")), "/")) >= 2
+    told = members.select("childTable", "column", is_list.alias("isArrayReference"), F.when(is_list & whole("$[0].path"), target("$[0].path")).when(~is_list & whole("$.path"), target("$.path")).alias("parentTable")).where("parentTable is not null")
+    above = rows.where("_above is not null").select("childTable", F.lit("_parent").alias("column"), F.lit(False).alias("isArrayReference"), F.col("_above").alias("parentTable"))
+    out = told.unionByName(above).distinct()
+    return out.select("parentTable", "childTable", "column", F.lit(1.0).alias("confidence"), F.when(F.col("isArrayReference"), "N:M").otherwise("1:N").alias("type"), "isArrayReference")
+
+
 def confidence(coverage: Column, similarity: Column, suffix: Column, out_of_range: Column, same_type: Column, risk: Column) -> Column:
     """The weighted score of a candidate; it can pass 1, as its weights sum to 1.1. Rounded to two places."""
     raw = F.least(coverage, F.lit(1.0)) * 0.40 + similarity * 0.25 + suffix.cast("double") * 0.20 + (F.lit(1.0) - F.least(out_of_range / 100, F.lit(1.0))) * 0.10 + same_type.cast("double") * 0.15

@@ -20,6 +20,14 @@ def json_type(value: Column) -> Column:
     )
 
 
+def document_type(value: Column) -> Column:
+    """As json_type(), but objects as a document store writes its own types: reference (a path), geopoint, timestamp and bytes."""
+    has = lambda *names: F.array_size(F.array_compact(F.array(*[F.try_variant_get(value, f"$.{n}", "string") for n in names]))) == len(names)
+    kind = json_type(value)
+    own = F.when(has("path"), "reference").when(has("latitude", "longitude") | has("_latitude", "_longitude") | has("lat", "lng"), "geopoint").when(has("_seconds"), "timestamp").when(has("_bytes"), "bytes")
+    return F.when(kind == "object", F.coalesce(own, kind)).otherwise(kind)
+
+
 def json_fields(df: DataFrame, column: str) -> DataFrame:
     """key and value (variant) of each member of a column of JSON objects; what isn't one has none."""
     parsed = F.try_parse_json(F.col(column))
@@ -27,9 +35,9 @@ def json_fields(df: DataFrame, column: str) -> DataFrame:
     return df.select(F.explode(members).alias("key", "value"))
 
 
-def type_histogram(df: DataFrame, column: str) -> DataFrame:
+def type_histogram(df: DataFrame, column: str, type_of=json_type) -> DataFrame:
     """key, type, n and dominant (the type with most values but null, the first by name on a tie)."""
-    counts = json_fields(df, column).groupBy("key", json_type(F.col("value")).alias("type")).agg(F.count(F.lit(1)).alias("n"))
+    counts = json_fields(df, column).groupBy("key", type_of(F.col("value")).alias("type")).agg(F.count(F.lit(1)).alias("n"))
     rank = F.row_number().over(Window.partitionBy("key").orderBy(F.col("type") == "null", F.desc("n"), "type"))
     return counts.withColumn("dominant", rank == 1)
 
@@ -43,11 +51,12 @@ def item_types(df: DataFrame, column: str) -> DataFrame:
     return sums.select("key", F.when(F.col("o") & F.col("p"), "mixed").when(F.col("o"), "object").otherwise("primitive").alias("items"))
 
 
-def infer_table(df: DataFrame, column: str, name: str) -> Table:
-    """The fields of a column of JSON documents: dominant type, nullable if any is null or missing; _id first, then by name."""
+def infer_table(df: DataFrame, column: str, name: str, type_of=json_type) -> Table:
+    """The fields of a column of JSON documents: dominant type, nullable if any is null or missing; _id first, then by name. type_of: document_type
+    where the documents come from a store with types of its own."""
     total = df.count()
     seen: dict[str, dict] = {}
-    for r in type_histogram(df, column).collect():
+    for r in type_histogram(df, column, type_of).collect():
         own = seen.setdefault(r["key"], {"n": 0, "null": 0, "type": "null"})
         own["n"] += r["n"]
         if r["type"] == "null":

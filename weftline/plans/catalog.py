@@ -7,6 +7,7 @@ description, a few rows a table, comes to the driver.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -89,9 +90,9 @@ def described(catalog: Catalog) -> DataFrame:
     return out.withColumn("is_unique", F.coalesce("is_unique", F.lit(False)))
 
 
-def schema_of(catalog: Catalog, with_schema: bool = False) -> Schema:
+def schema_of(catalog: Catalog, qualified: bool = False) -> Schema:
     """The declared schema: types, keys, references, lengths, defaults and what CHECK clauses imply."""
-    name = lambda s, t: f"{s}.{t}" if with_schema else t
+    name = lambda s, t: f"{s}.{t}" if qualified else t
     tables: dict[str, Table] = {}
     for r in described(catalog).orderBy("table_schema", "table_name", "ordinal_position").collect():
         table = tables.setdefault(name(r["table_schema"], r["table_name"]), Table(name(r["table_schema"], r["table_name"]), schema=r["table_schema"]))
@@ -120,6 +121,46 @@ def schema_of(catalog: Catalog, with_schema: bool = False) -> Schema:
     return Schema(list(tables.values()), relations)
 
 
+def from_describe(name: str, rows: DataFrame) -> Table:
+    """A table from DESCRIBE's rows: Field, Type, Null, Key (PRI, UNI), Default, Extra."""
+    out = Table(name)
+    for k, r in enumerate(rows.toDF(*[c.lower() for c in rows.columns]).collect()):
+        kind, enum = str(r["type"]), re.match(r"(?:enum|set)\((.*)\)", str(r["type"]), re.I)
+        sized = re.match(r"(?:var)?char(?:acter varying)?\((\d+)\)", kind, re.I)
+        limits = Constraints(enum=[x.strip().strip("'") for x in enum[1].split(",")] if enum else None, maxLength=int(sized[1]) if sized else None, unique=True if r["key"] == "UNI" else None)
+        serial = any(x in str(r["extra"] or "").lower() for x in SERIAL)
+        out.fields.append(Field(r["field"], "string" if enum else canonical_type(kind), r["null"] == "NO", unquoted(r["default"]), limits, r["key"] == "PRI", rawType=kind, isSerial=serial, keyIndex=k if r["key"] == "PRI" else None))
+    return out
+
+
+def from_pragma(name: str, columns: DataFrame, references: DataFrame | None = None, unique: list[list[str]] = ()) -> tuple[Table, list[Relation]]:
+    """A table and its references from SQLite's table_info (cid, name, type, notnull, dflt_value, pk) and foreign_key_list (id, seq, table, from, to)."""
+    out, relations = Table(name), []
+    for r in columns.orderBy("cid").collect():
+        limits = Constraints(unique=True if [r["name"]] in unique else None)
+        out.fields.append(Field(r["name"], canonical_type(r["type"]), bool(r["notnull"]), unquoted(r["dflt_value"]), limits, r["pk"] > 0, rawType=r["type"], isSerial=r["pk"] > 0 and str(r["type"]).upper() == "INTEGER", keyIndex=r["pk"] - 1 if r["pk"] else None))
+    groups: dict[int, list] = {}
+    for r in references.orderBy("id", "seq").collect() if references is not None else ():
+        groups.setdefault(r["id"], []).append(r)
+    for own in groups.values():
+        mine, theirs = [r["from"] for r in own], [r["to"] for r in own]
+        kind = "one-to-one" if mine in unique or mine == [f.name for f in out.keys()] else "many-to-one"
+        relations.append(Relation(name, own[0]["table"], kind, mine[0], theirs[0]) if len(own) == 1 else Relation(name, own[0]["table"], kind, fromFields=mine, toFields=theirs))
+        for c, t in zip(mine, theirs, strict=True):
+            f = out.field(c)
+            f.foreignKey, f.references = True, f"{own[0]['table']}.{t}" if t else own[0]["table"]
+    return out, relations
+
+
+def from_spark(spark: SparkSession, name: str) -> Table:
+    """A table of Spark's catalogue, with what DESCRIBE says of its columns."""
+    out = Table.of(name.split(".")[-1], spark.table(name).schema)
+    said = {r["col_name"]: r["comment"] for r in spark.sql(f"DESCRIBE TABLE {name}").collect()}
+    for f in out.fields:
+        f.description = said.get(f.name)
+    return out
+
+
 def unquoted(default: str | None):
     """A declared default without its quotes and cast."""
     if default is None or default.strip().upper() in ("NULL", ""):

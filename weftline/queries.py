@@ -349,6 +349,19 @@ def d_discover(spark, sf_dir):
     return discover.discover({n: t(spark, sf_dir, n).withColumnsRenamed(m) for n, m in RENAMED.items()}, dict.fromkeys(RENAMED, "id"))
 
 
+DOCUMENTS = """select 'talks/' || conv_id || '/turns/' || turn as path, '{"by": {"path": "people/' || turn || '"}, "tags": [{"path": "labels/1"}, {"path": "labels/2"}], "odd": {"path": "alone"}, "n": ' || turn || CASE WHEN role = 'user' THEN ', "site": {"path": "/places/x/rooms/y"}' ELSE '' END || '}' as data"""
+
+
+@query(f"""
+WITH d AS ({DOCUMENTS} FROM conversations), p AS (SELECT string_split(path, '/') AS p, data FROM d), m AS (SELECT p[len(p) - 1] AS child, unnest(json_keys(data)) AS key, data FROM p),
+v AS (SELECT child, key, json_type(json_extract(data, '$.' || key)) = 'ARRAY' AS many, coalesce(json_extract_string(data, '$.' || key || '.path'), json_extract_string(data, '$.' || key || '[0].path')) AS path FROM m)
+SELECT DISTINCT string_split(trim(path, '/'), '/')[1] AS "parentTable", child AS "childTable", key AS "column", 1.0::DOUBLE AS confidence, CASE WHEN many THEN 'N:M' ELSE '1:N' END AS type, many AS "isArrayReference" FROM v WHERE len(string_split(trim(path, '/'), '/')) >= 2
+UNION ALL SELECT DISTINCT p[len(p) - 3], p[len(p) - 1], '_parent', 1.0::DOUBLE, '1:N', false FROM p WHERE len(p) >= 4""")
+def d_paths(spark, sf_dir):
+    """References and subcollections that documents declare by their paths."""
+    return discover.by_paths(t(spark, sf_dir, "conversations").selectExpr(*[x for x in (DOCUMENTS[7:].split(" as path, ")[0] + " as path", DOCUMENTS[7:].split(" as path, ")[1])]), "path", "data")
+
+
 # Profiles.
 @query("""
 WITH m AS (SELECT unnest(json_keys(props)) AS key, props FROM events),

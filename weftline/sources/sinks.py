@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..spec import Table
 from .text import NESTED, insert_literal
 
 Sink = Callable[[str, DataFrame], None]
@@ -180,6 +182,88 @@ def read(spark: SparkSession, path: str, kind: str = "parquet", schema: T.Struct
     return (reader.schema(schema) if schema else reader).load(path)
 
 
+@dataclass
+class Handler:
+    """What is stored somewhere, whatever the store: its tables by name, as frames, with their schema and size."""
+
+    spark: SparkSession
+    names: Callable[[], list[str]]
+    frame: Callable[[str], DataFrame]
+
+    def tables(self) -> list[str]:
+        return self.names()
+
+    def read(self, name: str) -> DataFrame:
+        return self.frame(name)
+
+    def all(self) -> dict[str, DataFrame]:
+        return {n: self.frame(n) for n in self.names()}
+
+    def schema(self, name: str) -> Table:
+        return Table.of(name.split(".")[-1], self.frame(name).schema)
+
+    def has_data(self, name: str) -> bool:
+        return not self.frame(name).isEmpty()
+
+    def count(self, name: str) -> int:
+        return self.frame(name).count()
+
+
+def folder_names(spark: SparkSession, folder: str) -> list[str]:
+    """The entries of a folder, by whatever file system it is on, without endings."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = [s.getPath().getName() for s in where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)]
+    return sorted(n.rsplit(".", 1)[0] if "." in n else n for n in found if not n.startswith(("_", ".")))
+
+
+def file_handler(spark: SparkSession, folder: str, kind: str, **options) -> Handler:
+    def frame(name: str) -> DataFrame:
+        return read(spark, f"{folder}/{name}{{,.{kind}}}", kind, **options)
+
+    return Handler(spark, lambda: folder_names(spark, folder), frame)
+
+
+def jdbc_handler(spark: SparkSession, url: str, names: list[str] | None = None, schema: str | None = None, key: dict[str, tuple[str, int, int, int]] | None = None, **options) -> Handler:
+    """A database's tables. key: of large tables a number column, its least and greatest value and how many tasks read it side by side."""
+    load = lambda **more: spark.read.format("jdbc").options(url=url, **options, **more).load()
+
+    def listed() -> list[str]:
+        if names is not None:
+            return names
+        own = load(dbtable="information_schema.tables")
+        own = own.toDF(*[c.lower() for c in own.columns]).where("table_type = 'BASE TABLE'")
+        return [r["table_name"] for r in (own.where(F.col("table_schema") == schema) if schema else own).orderBy("table_name").collect()]
+
+    def frame(name: str) -> DataFrame:
+        split = (key or {}).get(name)
+        more = dict(zip(("partitionColumn", "lowerBound", "upperBound", "numPartitions"), split, strict=True)) if split else {}
+        return load(dbtable=f"{schema}.{name}" if schema else name, **more)
+
+    return Handler(spark, listed, frame)
+
+
+def catalog_handler(spark: SparkSession, database: str) -> Handler:
+    return Handler(spark, lambda: tables(spark, database), lambda name: spark.table(f"{database}.{name}"))
+
+
+def connector_handler(spark: SparkSession, store: str, names: list[str], **options) -> Handler:
+    kind, key = CONNECTORS[store]
+    return Handler(spark, lambda: names, lambda name: spark.read.format(kind).options(**{key: name}, **options).load())
+
+
+def handler(spark: SparkSession, store: str, *args, **options) -> Handler:
+    """Factory by store: parquet, orc, json, csv (a folder), catalog (a database), the JDBC stores (a url) and the document stores (names)."""
+    if store in ("parquet", "orc", "json", "csv"):
+        return file_handler(spark, *args, kind=store, **options)
+    if store == "catalog":
+        return catalog_handler(spark, *args)
+    if store in DRIVERS:
+        return jdbc_handler(spark, *args, **options)
+    if store in CONNECTORS:
+        return connector_handler(spark, store, *args, **options)
+    raise ValueError(f"unsupported store: {store}")
+
+
 def databases(spark: SparkSession) -> list[str]:
     return [d.name for d in spark.catalog.listDatabases()]
 
