@@ -31,8 +31,6 @@ BANDS, ROWS = 36, 5
 #: A group up to these sizes is compared in one task; a larger one in pairs of blocks.
 GROUP_DOCS, GROUP_SHINGLES = 4000, 4_000_000
 SALTS = 16
-#: Ids that have so large a share of all links are few enough to be broadcast.
-HUBS = 500
 #: Distinct words whose hashes a worker remembers.
 CACHE = 300_000
 
@@ -235,39 +233,36 @@ def confirm(width: int, percent: int):
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, component) of every id in links (a, b): large-star and small-star in turn, until nothing changes.
+    """(id, component) of every id in links (a, b): large-star and small-star in turn, until all are stars around their least id.
 
-    Each turn needs memory for no group: a star is a minimum and a join back. Ids with most links meet their minimum by a broadcast: they
-    have over `most` links, of which there are no more than 2 * HUBS * most, so they are 2 * HUBS at most; no other key fills a task.
+    Each turn needs memory for no group: a star is a minimum and a join back. In a large star an id with most links meets its minimum in
+    SALTS tasks; in a small star an id has only links to smaller ones, which the large star before has brought to a few.
     """
 
-    def star(pairs: DataFrame, small: bool, most: int) -> DataFrame:
-        both = pairs.where("a <> b").select("a", "b") if small else pairs.where("a <> b").select("a", "b").union(pairs.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b")))
-        if small:  # each edge once, from the larger end
-            both = both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select(F.col("a").alias("c"), F.least("a", "m").alias("m"), "n")
-        hubs = F.broadcast(least.where(F.col("n") > most).select("c", "m"))
-        same = F.col("a") == F.col("c")
-        others = both.join(hubs.select(F.col("c").alias("hub")), F.col("a") == F.col("hub"), "left_anti").join(least.where(F.col("n") <= most).select("c", "m").hint("merge"), same)
-        out = both.join(hubs, same).unionByName(others)
-        out = out.select(F.col("b").alias("a"), F.col("m").alias("b")) if small else out.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    def star(pairs: DataFrame, small: bool) -> DataFrame:
+        both = pairs.select("a", "b") if small else pairs.select("a", "b").union(pairs.select("b", "a"))  # a > b in all pairs
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("c"), F.least("a", "m").alias("m"))
         if small:
-            out = out.union(least.select(F.col("c").alias("a"), F.col("m").alias("b")))
-        return out.where("a <> b").distinct()
-
-    def state(pairs: DataFrame):
-        return pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-
-    pairs = materialize(links.select("a", "b").where("a <> b").distinct(), "links")
-    seen = state(pairs)
-    while True:
-        before, most = pairs, max(200, seen[0] // HUBS)
-        pairs = materialize(star(star(pairs, False, most), True, most), "links")
+            return both.join(least, F.col("a") == F.col("c")).select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("c", "m")).where("a <> b").distinct()
+        dealt = least.withColumn("of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = both.where("b > a").withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).join(dealt, (F.col("a") == F.col("c")) & (F.col("salt") == F.col("of")))
+        return met.select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+
+    def stars(pairs: DataFrame) -> bool:
+        """Each id has one link, to an id that has none."""
+        n, ids = pairs.agg(F.count("*"), F.count_distinct("a")).first()
+        return n == ids and pairs.join(pairs.select(F.col("a").alias("c")), F.col("b") == F.col("c"), "left_semi").isEmpty()
+
+    pairs = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    done = pairs.isEmpty()
+    while not done:
+        before = pairs
+        pairs = materialize(star(star(pairs, False), True), "links")
         free(before)
-        now = state(pairs)
-        if now == seen:
-            return materialize(pairs.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component")).union(pairs.select("b", "b").distinct().toDF("id", "component")), "components")
-        seen = now
+        done = stars(pairs)
+    out = materialize(pairs.select(F.col("a").alias("id"), F.col("b").alias("component")).union(pairs.select("b", "b").distinct().toDF("id", "component")), "components")
+    free(pairs)
+    return out
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, bands: int = BANDS, rows: int = ROWS, group_docs: int = GROUP_DOCS, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
@@ -278,8 +273,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, bands: i
     sets = materialize(sets, "sets")
     # a doc_id may stand in several rows with other texts: all its sets belong to the same document
     held = sets.select("rep", "size", F.posexplode("bands").alias("band", "hash"))
-    buckets = held.groupBy("band", "hash").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1")
-    members = materialize(held.join(buckets, ["band", "hash"]).select("rep", "size", "band", "hash", "least", "n"), "members")
+    buckets = materialize(held.groupBy("band", "hash").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1"), "buckets")
+    # most bands are their document's alone; a sieve of those that aren't leaves few rows to join
+    may, _ = sift(held, "hash", buckets.select("hash"))
+    members = materialize(may.join(buckets, ["band", "hash"]).select("rep", "size", "band", "hash", "least", "n"), "members")
+    free(buckets)
     hanging = components(members.select(F.col("rep").alias("a"), F.col("least").alias("b")))
     whole = materialize(hanging.join(sets.groupBy("rep").agg(F.sum("size").alias("size")), F.col("id") == F.col("rep")).select("id", "component", "size"), "whole")
     sizes = whole.groupBy("component").agg(F.count("*").alias("docs"), F.sum("size").alias("shingles"))
