@@ -169,10 +169,11 @@ def brute_hits(text, items, width=8):
     return words, hit, found
 
 
-@pytest.mark.parametrize("shard_words, chunk", [(500_000, 4_000_000), (40, 10), (300, 40)])
-def test_decontamination_equals_brute_force(spark, make, monkeypatch, shard_words, chunk):
-    """Also with shards and chunks of the benchmark so small that there are many of each."""
+@pytest.mark.parametrize("shard_words, chunk, table", [(500_000, 4_000_000, 300_000), (40, 10, 300_000), (300, 40, 0)])
+def test_decontamination_equals_brute_force(spark, make, monkeypatch, shard_words, chunk, table):
+    """Also with shards and chunks of the benchmark so small that there are many of each, and with a vocabulary too large for a table."""
     monkeypatch.setattr(fmindex, "SHARD_WORDS", shard_words)
+    monkeypatch.setattr(fmindex, "TABLE", table)
     r = random.Random(9)
     word = lambda: r.choice(["a", "B", "cc", "d1", "é", "x-y", "漢"])
     items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate([3, 8, 9, 12, 20, 30])] + [(10, None), (11, "..."), (None, "a b c"), (3, "another text of item three with nine words here")]

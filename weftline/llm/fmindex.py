@@ -22,7 +22,7 @@ from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +41,7 @@ SAMPLE = 8
 CHUNK_WORDS, BLOCK = 4_000_000, 100_000
 WINDOW = 8
 #: Distinct words whose numbers a worker remembers, and words of a vocabulary that is kept as a table.
-CACHE, TABLE = 500_000, 200_000
+CACHE, TABLE = 500_000, 300_000
 
 
 class WaveletMatrix:
@@ -134,7 +134,8 @@ hashed = xxhash.xxh3_64_intdigest
 @dataclass
 class Chunk:
     """Windows to search for. vocabulary: sorted 64-bit hashes of their words; words: numbers of the words (from 1) of all parts of items,
-    one after another; at, length: a distinct window each; owners[first[w]:first[w + 1]]: the items (places in ids) of window w."""
+    one after another; at, length: a distinct window each; owners[first[w]:first[w + 1]]: the items (places in ids) of window w. spelled: the
+    words of a small vocabulary themselves, in its order."""
 
     vocabulary: np.ndarray
     words: np.ndarray
@@ -143,10 +144,11 @@ class Chunk:
     first: np.ndarray
     owners: np.ndarray
     ids: list[str]
+    spelled: list[bytes] | None
 
     @classmethod
-    def of(cls, parts: list[tuple[str, np.ndarray]], width: int) -> Chunk:
-        """parts: an item's id and hashes of words one after another."""
+    def of(cls, parts: list[tuple[str, np.ndarray]], width: int, spelled: set[bytes] | None = None) -> Chunk:
+        """parts: an item's id and hashes of words one after another. spelled: all their words."""
         ids = sorted({i for i, _ in parts})
         number = {x: k for k, x in enumerate(ids)}
         words = np.concatenate([w for _, w in parts]) if parts else np.zeros(0, dtype=np.uint64)
@@ -166,11 +168,11 @@ class Chunk:
         first = np.r_[np.flatnonzero(fresh[other]), other.sum()]
         vocabulary, symbols = np.unique(words, return_inverse=True)
         pick = order[fresh]
-        return cls(vocabulary, (symbols + 1).astype(np.int32), at[pick].astype(np.int32), length[pick].astype(np.int8), first.astype(np.int32), own[other], ids)
+        return cls(vocabulary, (symbols + 1).astype(np.int32), at[pick].astype(np.int32), length[pick].astype(np.int8), first.astype(np.int32), own[other], ids, None if spelled is None else sorted(spelled, key=hashed))
 
     def plain(self) -> tuple:
         """What a broadcast carries: a worker may not know this class."""
-        return self.vocabulary, self.words, self.at, self.length, self.first, self.owners, self.ids
+        return self.vocabulary, self.words, self.at, self.length, self.first, self.owners, self.ids, self.spelled
 
     @property
     def shortest(self) -> int:
@@ -184,27 +186,31 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Numbers(dict):
-    """word -> its number in a vocabulary, 0 outside. A small vocabulary is looked up in a table, a large one by bisection."""
+    """word -> its number in a large vocabulary, 0 outside, by bisection."""
 
     def __init__(self, vocabulary: np.ndarray):
         self.sorted = array("Q", vocabulary.tobytes())
-        self.few = {h: k + 1 for k, h in enumerate(self.sorted)} if len(self.sorted) <= TABLE else None
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > CACHE:
             self.clear()
         h = hashed(word)
-        if self.few is not None:
-            value = self.few.get(h, 0)
-        else:
-            k = bisect_left(self.sorted, h)
-            value = k + 1 if k < len(self.sorted) and self.sorted[k] == h else 0
-        self[word] = value
+        k = bisect_left(self.sorted, h)
+        value = self[word] = k + 1 if k < len(self.sorted) and self.sorted[k] == h else 0
         return value
 
 
-def find(docs: list[list[bytes]], chunk: Chunk, known: Numbers) -> list[tuple[list[tuple[int, int]], set[str]]]:
-    """For each document the merged spans of word places (from, to) that are hit, and the items found."""
+def numbering(chunk: Chunk):
+    """For words one after another their numbers: from a table where the words are spelled out."""
+    if chunk.spelled is None:
+        known = Numbers(chunk.vocabulary)
+        return lambda words: map(known.__getitem__, words)
+    table = {w: k + 1 for k, w in enumerate(chunk.spelled)}
+    return lambda words: map(table.get, words, repeat(0))
+
+
+def find(docs: list[list[bytes]], chunk: Chunk, numbers) -> list[tuple[list[tuple[int, int]], set[str]]]:
+    """For each document the merged spans of word places (from, to) that are hit, and the items found. numbers: numbering() of the chunk."""
     lengths = np.array([len(d) for d in docs], dtype=np.int64)
     spans: list[list[tuple[int, int]]] = [[] for _ in docs]
     items: list[set[str]] = [set() for _ in docs]
@@ -214,7 +220,7 @@ def find(docs: list[list[bytes]], chunk: Chunk, known: Numbers) -> list[tuple[li
     code = np.zeros(int(lengths.sum()) + len(docs), dtype=np.int64)
     text = np.ones(len(code), dtype=bool)
     text[np.cumsum(lengths + 1) - 1] = False
-    code[text] = np.fromiter(map(known.__getitem__, chain.from_iterable(docs)), dtype=np.int64, count=int(lengths.sum()))
+    code[text] = np.fromiter(numbers(chain.from_iterable(docs)), dtype=np.int64, count=int(lengths.sum()))
     doc = np.repeat(np.arange(len(docs)), lengths + 1)
     place = np.arange(len(code)) - np.repeat(np.cumsum(lengths + 1) - lengths - 1, lengths + 1)
     edge = np.flatnonzero(np.diff(np.r_[False, code > 0, False].astype(np.int8)))
@@ -280,10 +286,10 @@ def search(chunk, text: str, sparse: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, docs, words = [], [], 0
         own = Chunk(*chunk.value)
-        known = Numbers(own.vocabulary)
+        numbers = numbering(own)
 
         def flush() -> Iterator[pa.RecordBatch]:
-            found = find(docs, own, known)
+            found = find(docs, own, numbers)
             rows = pa.Table.from_batches(held)
             if "__w_spans" in rows.column_names:
                 before = zip(*(rows.column(c).to_pylist() for c in ("__w_spans", "__w_items")), strict=True)
@@ -312,19 +318,20 @@ def search(chunk, text: str, sparse: bool = False):
 
 
 def parted(width: int, most: int):
-    """For mapInArrow over (item_id, text): hashes of the item's words as bytes, in parts of `most` windows that overlap by a window but a word."""
+    """For mapInArrow over (item_id, text): hashes of the item's words as bytes, and the words themselves, in parts of `most` windows that overlap by a window but a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                ids, rows = [], []
+                ids, rows, spelled = [], [], []
                 for i, t in zip(part.column("item_id").to_pylist(), part.column("text").to_pylist(), strict=True):
                     words = alnum_words(t)
                     h = np.fromiter(map(hashed, words), dtype=np.uint64, count=len(words))
                     for k in range(0, max(0, len(h) - width) + 1 if len(h) else 0, most):
                         ids.append(i)
                         rows.append(h[k : k + most + width - 1].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(ids, type=pa.string()), pa.array(rows, type=pa.binary())], names=["item_id", "words"])
+                        spelled.append(b" ".join(set(words[k : k + most + width - 1])))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, type=pa.string()), pa.array(rows, type=pa.binary()), pa.array(spelled, type=pa.binary())], names=["item_id", "words", "spelled"])
 
     return run
 
@@ -332,16 +339,19 @@ def parted(width: int, most: int):
 def chunked(benchmark: DataFrame, width: int, most: int) -> Iterator[Chunk]:
     """The benchmark's windows, `most` words at a time; a chunk without any if there are none."""
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-    parts = materialize(items.mapInArrow(lean(parted(width, most)), "item_id string, words binary"), "windows")
-    held, words, any_ = [], 0, False
+    parts = materialize(items.mapInArrow(lean(parted(width, most)), "item_id string, words binary, spelled binary"), "windows")
+    held, words, any_, spelled = [], 0, False, set()
     for r in parts.toLocalIterator():
         held.append((r["item_id"], np.frombuffer(r["words"], dtype=np.uint64)))
         words += len(held[-1][1])
+        if spelled is not None:
+            spelled.update(bytes(r["spelled"]).split(b" "))
+            spelled = spelled if len(spelled) <= TABLE else None
         if words >= most:
-            yield Chunk.of(held, width)
-            held, words, any_ = [], 0, True
+            yield Chunk.of(held, width, spelled)
+            held, words, any_, spelled = [], 0, True, set()
     if held or not any_:
-        yield Chunk.of(held, width)
+        yield Chunk.of(held, width, spelled)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, chunk_words: int = CHUNK_WORDS) -> DataFrame:
