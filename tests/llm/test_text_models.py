@@ -333,8 +333,9 @@ def test_least_hashes_equal_a_sort(spark):
     rows = [("ab"[k % 7 == 0], r.randint(-(2**63), 2**63 - 1), k) for k in range(4000)]
     df = spark.createDataFrame(rows + rows[:500] * 3, "g string, h long, i long")
     for n in (1, 5, 300, 5000):
-        got = sorted((x["g"], x["h"], x["i"]) for x in least_hashes(df, "g", "h", n).collect())
+        got = sorted((x["g"], x["h"], x["i"]) for x in least_hashes(df, "g", "h", n, 2).collect())
         assert got == sorted(x for g in "ab" for x in sorted((y for y in rows if y[0] == g), key=lambda y: y[1:])[:n])
+        assert {x["g"] for x in least_hashes(df, "g", "h", n, 1).collect()} == {"a"}
 
 
 # Toxicity.

@@ -61,11 +61,11 @@ def shared_dir(spark: SparkSession) -> str:
 _written: list[str] = []
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
     """Writes df once to the shared folder and reads it back: lineage ends there, and a lost executor costs nothing but its own tasks."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     _written.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
@@ -110,14 +110,15 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     return wrapped
 
 
-def least_hashes(rows: DataFrame, group: str, h: str, n: int) -> DataFrame:
-    """The n different rows of each group with the least 64-bit hash h, ties by the other columns, and their rank k.
+def least_hashes(rows: DataFrame, group: str, h: str, n: int, groups: int) -> DataFrame:
+    """The n different rows of each of the first `groups` groups, by name, with the least 64-bit hash h, ties by the other columns, and their rank k.
 
-    Only rows with a hash below what about 3 n of the group's hashes are below get ranked, whatever their number; groups stay in the cluster.
+    Only rows with a hash below what about 3 n of the group's hashes are below are shuffled and ranked, whatever their number.
     """
     share = F.lit(3.0 * n + 50) / F.greatest(F.approx_count_distinct(h, 0.02), F.lit(1))
-    upto = rows.groupBy(F.col(group).alias("__w_group")).agg(F.when(share < 0.9, (share * float(1 << 64) - float(1 << 63)).cast("long")).alias("__w_upto"))
-    near = rows.join(upto, F.col(group) == F.col("__w_group")).where("__w_upto is null or " + h + " <= __w_upto").select(*rows.columns).distinct()
+    upto = rows.where(F.col(group).isNotNull()).groupBy(F.col(group).alias("__w_group")).agg(F.when(share < 0.9, (share * float(1 << 64) - float(1 << 63)).cast("long")).alias("__w_upto"))
+    few = F.broadcast(upto.orderBy("__w_group").limit(groups))  # a proven bound: a row a group
+    near = rows.join(few, F.col(group) == F.col("__w_group")).where("__w_upto is null or " + h + " <= __w_upto").select(*rows.columns).distinct()
     order = [h, *[c for c in rows.columns if c not in (group, h)]]
     return near.withColumn("k", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("k") <= n)
 

@@ -268,7 +268,7 @@ def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, per_lang: int = PER_LANG, sample: int = SAMPLE) -> Model | None:
     """A model from docs (doc_id, text, lang) that aren't held out."""
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id")).select(F.col("lang").cast("string").alias("lang"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    first = least_hashes(known.select("lang", F.xxhash64("doc_id").alias("h"), "doc_id"), "lang", "h", per_lang)
+    first = least_hashes(known.select("lang", F.xxhash64("doc_id").alias("h"), "doc_id"), "lang", "h", per_lang, sample)
     chosen = {(r.lang, r.doc_id) for r in first.orderBy("k", "lang").limit(sample).collect()}
     if not chosen:
         return None

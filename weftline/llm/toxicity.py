@@ -124,7 +124,7 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model | None:
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("_of")).agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.withColumn("h", F.xxhash64("_of"))
-    chosen = {r["_of"]: r["toxic"] for r in least_hashes(known, "toxic", "h", per_class).collect()}
+    chosen = {r["_of"]: r["toxic"] for r in least_hashes(known, "toxic", "h", per_class, 2).collect()}
     if not chosen:
         return None
     count = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
