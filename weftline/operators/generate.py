@@ -315,7 +315,11 @@ class Generator:
         total = self.count(table.name)
         last = total if n is None else first + n
         parts = self.config.partitions or max(1, min(10_000, (last - first) // 500_000 + 1))
-        rows = spark.range(first, last, 1, parts).withColumnRenamed("id", "_row")
+        return self.project(spark.range(first, last, 1, parts).withColumnRenamed("id", "_row"), table.name)
+
+    def project(self, rows: DataFrame, name: str, keep: tuple[str, ...] = ()) -> DataFrame:
+        """A table's row for each row number (_row) of a frame or stream, and the columns to keep."""
+        table = self.schema.table(name)
         index, targets = F.col("_row"), self.targets(table)
         plain, later = {}, []
         for column in depgraph.column_order(table):
@@ -332,10 +336,10 @@ class Generator:
                 updated = f.name.lower() in UPDATED and next((x for x in CREATED if table.field(x)), None)
                 if bounds or updated:
                     later.append((f, bounds, updated))
-        df = rows.select("_row", *[v.alias(x) for x, v in plain.items()])
+        df = rows.select("_row", *keep, *[v.alias(x) for x, v in plain.items()])
         for f, bounds, updated in later:
             df = self.bounded(df, table, f, bounds, updated)
-        return df.select(*[F.col(f.name).cast(f.spark_type()).alias(f.name) for f in table.fields])
+        return df.select(*keep, *[F.col(f.name).cast(f.spark_type()).alias(f.name) for f in table.fields])
 
     def referring(self, table: Table, f: Field, target: tuple, index: Column) -> Column:
         parent, column, r = target

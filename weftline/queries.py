@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import catalog_queries as catalog_queries
 from . import gen_queries as gen_queries
 from . import hash_sql as X
+from . import stream_queries as stream_queries
 from .functions import draws as D
 from .functions import hashing as H
 from .functions.names import jaro_winkler, stem

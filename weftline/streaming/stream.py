@@ -19,14 +19,7 @@ def rows(spark: SparkSession, per_second: int = 100, partitions: int = 1) -> Dat
 
 def generated(generator: Generator, table: str, source: DataFrame) -> DataFrame:
     """Rows of a table for the indices in a stream's column `value`: row i is the same as in the batch of that table."""
-    own = generator.schema.table(table)
-    index, targets = F.col("value"), generator.targets(own)
-    columns = []
-    for f in own.fields:
-        value = generator.key(own, f, index) if f.primaryKey else generator.referring(own, f, targets[f.name], index) if f.name in targets else generator.value(own, f, index, {})
-        columns.append(value.cast(f.spark_type()).alias(f.name))
-    keep = [c for c in ("timestamp",) if c in source.columns]
-    return source.select(*keep, *columns)
+    return generator.project(source.withColumn("_row", F.col("value")), table, tuple(c for c in ("timestamp",) if c in source.columns))
 
 
 def validated(stream: DataFrame, rules: list[C.Rule], fix: bool = False) -> DataFrame:
