@@ -533,7 +533,7 @@ def aligned_pages(keyed: DataFrame, sample: int, salts: int, broadcast_bytes: in
     again = may.withColumn("salt", salt).join(dealt, (F.col("host") == F.col("of_host")) & (F.col("h") == F.col("of_h")) & (F.col("salt") == F.col("of_salt")), "left").select(*keyed.columns, "n")
     rows = attach(again.unionByName(rest.withColumn("n", F.lit(None).cast("long"))), trees, {"host": "of"}, "left", F.xxhash64("page_id", "url"), salts, broadcast_bytes)
     schema = f"page_id {dict(keyed.dtypes)['page_id']}, url string, of string, body string, host string, node long, text long, length long, pages double"
-    out = materialize(rows.select("page_id", "url", "html", "host", "tree", F.coalesce("n", F.lit(1)).alias("n")).mapInArrow(lean(aligner), schema), "aligned")
+    out = materialize(rows.select("page_id", "url", "html", "host", "tree", F.coalesce("n", F.lit(1)).alias("n")).mapInArrow(lean(aligner), schema), "aligned", "zstd")
     free(trees, repeats)
     return out
 
