@@ -38,7 +38,7 @@ SHARD_WORDS = 500_000
 #: Every so many places of the sequence the suffix array is kept.
 SAMPLE = 8
 #: Words of benchmark items searched in one pass, and windows searched at a time.
-CHUNK_WORDS, BLOCK = 4_000_000, 100_000
+CHUNK_WORDS, BLOCK = 2_000_000, 100_000
 WINDOW = 8
 #: Distinct words whose numbers a worker remembers, and words of a vocabulary that is kept as a table.
 CACHE, TABLE = 500_000, 300_000

@@ -7,7 +7,7 @@ don't count.
 
 Fitted on a bounded sample: of each known language the `per_lang` training ids (never held-out ones) with the least hash, `sample` in
 all; only (lang, hash, doc_id) is ranked, and the workers turn the chosen texts into counts. A model has CELLS weights at most: beyond
-(hundreds of languages) it keeps the features that weigh most.
+(hundreds of languages) it keeps the features that weigh most, and a machine sees only some rows of the other classes.
 
 Defined results: a null text or one without a letter is `und` with score 0; so is every text where nothing could be learned. A null
 doc_id is not held out and not learned from; of rows that repeat an id in one language the least text teaches. A language without a family in FAMILIES is a family of its own. Rows are independent
@@ -50,6 +50,8 @@ SHORT = 6
 #: Runs of letters, and of the numerals among which no digit is (such as fractions), which features() leaves out.
 LETTERS = re.compile(r"[^\W\d_]+")
 PER_LANG, SAMPLE = 300, 3000
+#: Rows of other classes that all machines have together, and each at least.
+OTHERS, LEAST_OTHERS = 60_000, 200
 #: Words, and numbers in all, that a worker keeps scores of; numbers of a model.
 CACHE, CELLS = 200_000, 1 << 23
 #: A prediction below this is a rejection: no family's machine claims the text.
@@ -180,9 +182,11 @@ def learn(sample: Iterator[tuple[str, np.ndarray, np.ndarray]], cells: int = CEL
     most = max(1, cells // n)  # features that are kept
     bias, strong, total = np.zeros(n), [], np.zeros(1 << BITS)
     for k, (a, b) in enumerate(tasks):
-        mask = np.ones(len(docs), dtype=bool) if a is None else (lang == a) | (lang == b)
-        rows = Rows([docs[i] for i in np.flatnonzero(mask)])
-        w, bias[k] = machine(rows, np.where(family == b if a is None else lang[mask] == a, 1.0, -1.0))
+        own, other = (np.flatnonzero(family == b), np.flatnonzero(family != b)) if a is None else (np.flatnonzero(lang == a), np.flatnonzero(lang == b))
+        if len(other) > (few := max(LEAST_OTHERS, OTHERS // n, len(own))):  # with hundreds of machines each gets some of the others, evenly
+            other = other[np.linspace(0, len(other) - 1, few).astype(int)]
+        rows = Rows([docs[i] for i in (*own, *other)])
+        w, bias[k] = machine(rows, np.repeat([1.0, -1.0], [len(own), len(other)]))
         total[rows.names] += w * w
         best = np.argpartition(-np.abs(w), most)[:most] if len(w) > most else np.arange(len(w))
         strong.append((rows.names[best].astype(np.int32), (w[best] * scale).astype(np.float32)))
