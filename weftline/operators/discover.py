@@ -78,10 +78,11 @@ def overlap(tables: dict[str, DataFrame], pairs: list[Candidate]) -> DataFrame:
                 if own != name:
                     continue
                 kind, c = df.schema[column].dataType, F.col(column)
-                is_list = isinstance(kind, T.ArrayType)
-                values = F.coalesce(c, F.array().cast(kind)) if is_list else F.array(c)
-                item = kind.elementType if is_list else kind
-                lists.append(F.transform(values, tagged(item, *((None, k) if no else (k, None)))))
+                place = (None, k) if no else (k, None)
+                if isinstance(kind, T.ArrayType):
+                    lists.append(F.transform(F.coalesce(c, F.array().cast(kind)), tagged(kind.elementType, *place)))
+                else:
+                    lists.append(F.array(tagged(kind, *place)(c)))
         flat = df.select(F.explode(F.concat(*lists)).alias("x")).select("x.value.*", "x.field", "x.key").where("number is not null or text is not null")
         flat = flat.groupBy("number", "text", "field", "key").agg(F.count(F.lit(1)).alias("n"))
         seen = flat if seen is None else seen.unionByName(flat)
